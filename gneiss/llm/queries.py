@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import decontaminate, packing, quality, simhash, toxicity
+from gneiss.llm import chat, decontaminate, htmltext, imatch, licenses, ngram_lm, packing, quality, simhash, toxicity
 from gneiss.llm.common import held_out, table
 
 TOXIC_FROM = 0.5
@@ -49,12 +49,48 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.with_quality(docs, model), "quality_score", GOOD_FROM)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.transform("license_spans", lambda s: s["sentence_id"])
+    first = F.get("license_spans", F.lit(0))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join(ids, ",").alias("sentence_ids"), F.size("license_spans").cast("long").alias("n_sentences"), first["start"].alias("first_start"))
+
+
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    one = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    return chat.digest(chat.examples(rows.unionByName(one)))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.with_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality": op5_quality,
+    "op6_license_scan": op6_license_scan,
+    "op7_imatch": op7_imatch,
+    "op8_chat_format": op8_chat_format,
+    "op9_html_text": op9_html_text,
+    "op10_lm_score": op10_lm_score,
 }
 
-ORACLES = {"op1_decontamination": decontaminate.ORACLE_SQL}
+ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op8_chat_format": chat.ORACLE_SQL,
+    "op10_lm_score": ngram_lm.ORACLE_SQL,
+}
