@@ -1,4 +1,583 @@
 """Registry of the engine's queries over the driver's tables, each with its SQL twin."""
 
+from __future__ import annotations
+
+from math import ceil
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gneiss.config import Chunking, Retrieval
+from gneiss.functions import text
+from gneiss.functions.vectors import nearest
+from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retrieval, sessions
+from gneiss.plans import views
+from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
+from gneiss.sources.readers import table
+from gneiss.streaming import streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+TERMS = "the and"
+FLOOR = 0.1
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ------------------------------------------------------------------ vector search
+
+_SIM = "round(list_cosine_similarity(c.embedding::double[], q.embedding::double[]), 9)"
+
+
+def _topk_sql(k: int, where: str = "true", floor: float | None = None) -> str:
+    bar = f"WHERE s >= {floor}" if floor is not None else ""
+    return f"""WITH {CHUNKS_SQL}, s AS (
+      SELECT c.chunk_id, {_SIM} AS s FROM chunks c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where})
+    SELECT chunk_id, s AS cosine_similarity, row_number() OVER (ORDER BY s DESC, chunk_id)::int AS rank_vec FROM s {bar}
+    ORDER BY s DESC, chunk_id LIMIT {k}"""
+
+
+def _near(spark, d, k, floor=None, chunk_type=None):
+    pool = retrieval.of_type(views.chunks(spark, d), chunk_type)
+    return nearest(pool, {0: views.vector_of(spark, d, 0)}, k, floor=floor).drop("query_id")
+
+
+@query(_topk_sql(10))
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d, 10)
+
+
+@query(_topk_sql(50, floor=FLOOR))
+def cosine_topk_floor(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d, 50, FLOOR)
+
+
+@query(_topk_sql(10, "c.chunk_type = 'text'"))
+def cosine_topk_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d, 10, chunk_type="text")
+
+
+def _every_hundredth(spark: SparkSession, d: str, block: int = 1000):
+    """Blocks of query vectors: every row whose id is divisible by 100."""
+    rows = table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select("vec_id", "embedding")
+    blocks = max(1, ceil(rows.count() / block))
+    for b in range(blocks):
+        yield {r[0]: list(r[1]) for r in rows.where(F.pmod(F.floor(F.col("vec_id") / 100), F.lit(blocks)) == b).collect()}
+
+
+@query(f"""WITH {CHUNKS_SQL}, s AS (
+  SELECT q.vec_id AS query_id, c.chunk_id, {_SIM} AS s FROM chunks c, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::int AS rank_vec FROM s)
+SELECT query_id, chunk_id, s AS cosine_similarity, rank_vec FROM r WHERE rank_vec <= 5""")
+def cosine_topk_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    found = [nearest(views.chunks(spark, d), block, 5) for block in _every_hundredth(spark, d)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+@query("SELECT len(embedding)::int AS dims, count(*) AS vectors FROM embeddings GROUP BY 1")
+def vector_dims_check(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("vectors"))
+
+
+# ------------------------------------------------------------------ keyword search
+
+_TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
+_MATCH = f"""held AS (
+  SELECT chunk_id, {_TOK.format('chapter_path')} AS a, {_TOK.format('content')} AS b FROM chunks), m AS (
+  SELECT chunk_id, len(a) + len(b) AS length,
+    len(list_filter(a, lambda t: t = 'and')) AS a0, len(list_filter(b, lambda t: t = 'and')) AS b0,
+    len(list_filter(a, lambda t: t = 'the')) AS a1, len(list_filter(b, lambda t: t = 'the')) AS b1 FROM held)"""
+_BM25 = """stats AS (
+  SELECT count(*)::double AS n, avg(length) AS mean, count(*) FILTER (WHERE a0 + b0 > 0)::double AS d0, count(*) FILTER (WHERE a1 + b1 > 0)::double AS d1 FROM m), kw AS (
+  SELECT chunk_id, round(
+    ln(1.0 + (n - d0 + 0.5) / (d0 + 0.5)) * (a0 + b0) * 2.2 / ((a0 + b0) + 1.2 * (0.25 + 0.75 * length / mean)) +
+    ln(1.0 + (n - d1 + 0.5) / (d1 + 0.5)) * (a1 + b1) * 2.2 / ((a1 + b1) + 1.2 * (0.25 + 0.75 * length / mean)), 9) AS bm25
+  FROM m, stats WHERE a0 + b0 > 0 AND a1 + b1 > 0)"""
+
+
+@query(f"SELECT doc_id, len({_TOK.format('text')})::int AS n_tokens FROM documents")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(f"""WITH {CHUNKS_SQL}, p AS (
+  SELECT DISTINCT chunk_id, unnest(list_concat({_TOK.format('chapter_path')}, {_TOK.format('content')})) AS term FROM chunks)
+SELECT term, count(*) AS df FROM p GROUP BY term""")
+def postings_df(spark: SparkSession, d: str) -> DataFrame:
+    held = lexical.postings(views.chunks(spark, d))
+    return held.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"WITH {CHUNKS_SQL}, {_MATCH} SELECT chunk_id FROM m WHERE a0 + b0 > 0 AND a1 + b1 > 0")
+def keyword_and_match(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.match_all(views.chunks(spark, d), lexical.query_terms(TERMS)).select("chunk_id")
+
+
+@query(f"""WITH {CHUNKS_SQL}, {_MATCH}, w AS (
+  SELECT chunk_id, round(1.0 * a0 / (a0 + 1.0) + 0.4 * b0 / (b0 + 1.0) + 1.0 * a1 / (a1 + 1.0) + 0.4 * b1 / (b1 + 1.0), 9)::double AS wtf
+  FROM m WHERE a0 + b0 > 0 AND a1 + b1 > 0)
+SELECT chunk_id, wtf, row_number() OVER (ORDER BY wtf DESC, chunk_id)::int AS rank_kw FROM w ORDER BY wtf DESC, chunk_id LIMIT 30""")
+def keyword_wtf_rank(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.ranked(lexical.match_all(views.chunks(spark, d), lexical.query_terms(TERMS)), "wtf", "rank_kw", 30)
+
+
+@query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_BM25} SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id)::int AS rank_kw FROM kw ORDER BY bm25 DESC, chunk_id LIMIT 30")
+def keyword_bm25_rank(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.ranked(lexical.bm25(views.chunks(spark, d), lexical.query_terms(TERMS)), "bm25", "rank_kw", 30)
+
+
+# ------------------------------------------------------------------ hybrid search
+
+
+def _hybrid_sql(select: str, where: str = "true", queries: str = "vec_id = 0", limit: int = 15) -> str:
+    return f"""WITH {CHUNKS_SQL.replace('chunks AS', 'every AS')}, chunks AS (SELECT * FROM every WHERE {where}), {_MATCH}, {_BM25},
+    q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE {queries}), s AS (
+      SELECT q.query_id, c.chunk_id, {_SIM} AS s FROM chunks c, q), v AS (
+      SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank_vec FROM s WHERE s >= {FLOOR}) WHERE rank_vec <= 30), k AS (
+      SELECT q.query_id, z.* FROM q, (SELECT chunk_id, row_number() OVER (ORDER BY bm25 DESC, chunk_id) AS rank_kw FROM kw) z WHERE rank_kw <= 30), f AS (
+      SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, rank_vec, rank_kw,
+        round(coalesce(1.0::double / (60.0::double + rank_vec), 0) + coalesce(1.0::double / (60.0::double + rank_kw), 0), 9) AS rrf_score
+      FROM v FULL OUTER JOIN k ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id), r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM f)
+    SELECT {select} FROM r WHERE rank <= {limit}"""
+
+
+_HITS = "chunk_id, rank_vec, rank_kw, rrf_score"
+
+
+def _hybrid(spark, d, chunk_type=None):
+    return retrieval.hybrid(views.chunks(spark, d), {0: TERMS}, {0: views.vector_of(spark, d, 0)}, 15, Retrieval(floor=FLOOR), chunk_type)
+
+
+@query(_hybrid_sql(_HITS))
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d).select("chunk_id", "rank_vec", "rank_kw", "rrf_score")
+
+
+@query(_hybrid_sql(_HITS, "chunk_type = 'text'"))
+def hybrid_rrf_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, "text").select("chunk_id", "rank_vec", "rank_kw", "rrf_score")
+
+
+@query(_hybrid_sql("query_id, rank, " + _HITS, queries="vec_id % 100 = 0", limit=10))
+def hybrid_rrf_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    pool = views.chunks(spark, d)
+    kw = retrieval.keyword_ranks(pool, {0: TERMS}, 30).drop("query_id")
+    out = None
+    for block in _every_hundredth(spark, d):
+        near = nearest(pool, block, 30, floor=FLOOR).select("query_id", "chunk_id", F.col("rank_vec").cast("bigint").alias("rank_vec"))
+        asked = spark.createDataFrame([(q,) for q in sorted(block)], "query_id bigint")
+        fused = retrieval.fuse(near, asked.join(kw), ["query_id", "chunk_id"])
+        out = fused if out is None else out.union(fused)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "chunk_id")
+    return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 10").select("query_id", "rank", "chunk_id", "rank_vec", "rank_kw", "rrf_score")
+
+
+@query(f"""WITH t AS ({_topk_sql(10)}) SELECT chunk_id, cosine_similarity, NULL::bigint AS rank_vec, NULL::bigint AS rank_kw, NULL::double AS rrf_score FROM t""")
+def vector_only_shape(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_only(views.chunks(spark, d), {0: views.vector_of(spark, d, 0)}, 10).drop("query_id")
+
+
+_RERANK = f"""hits AS ({_hybrid_sql(_HITS)}), texts AS (SELECT doc_id AS chunk_id, text AS content, source, lang FROM documents), l AS (
+  SELECT h.*, round(len(list_intersect(list_distinct({_TOK.format('content')}), ['and', 'the', 'ing', 'der'])) * 8.0::double / 4 - 4.0, 9) AS raw_rerank_score
+  FROM hits h JOIN texts USING (chunk_id)), rr AS (
+  SELECT chunk_id, rrf_score, raw_rerank_score, round(1.0::double / (1.0::double + exp(-raw_rerank_score)), 9) AS rerank_score FROM l)"""
+
+
+@query(f"WITH {_RERANK} SELECT * FROM rr ORDER BY rerank_score DESC, rrf_score DESC NULLS LAST, chunk_id LIMIT 5")
+def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hybrid(spark, d).select("chunk_id", "rrf_score")
+    full = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
+    return retrieval.rerank(full, "the and ing der", 5).select("chunk_id", "rrf_score", "raw_rerank_score", "rerank_score")
+
+
+@query("""SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE NULL END, 0.0), nullif(CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END, 0.0), nullif(value / 2, 0.0), 0.0) AS score FROM events""")
+def audit_score_pick(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    rerank = F.when(F.col("event_id") % 3 == 0, F.lit(0.0))
+    rrf = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(0.0)
+    return e.select("event_id", retrieval.audit_score(rerank, rrf, F.col("value") / 2).alias("score"))
+
+
+# ------------------------------------------------------------------ log analytics
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT query_type, count(*) AS total_queries, round(avg(total_latency_ms), 2) AS avg_total_ms, round(avg(vector_latency_ms), 2) AS avg_vector_ms,
+  round(avg(keyword_latency_ms), 2) AS avg_keyword_ms, round(avg(rerank_latency_ms), 2) AS avg_rerank_ms, max(total_latency_ms) AS max_total_ms, min(total_latency_ms) AS min_total_ms FROM audit GROUP BY query_type""")
+def latency_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.latency_by_mode(views.audit(spark, d))
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT query, count(*) AS frequency, round(avg(total_latency_ms), 2) AS avg_latency_ms, round(avg(result_count), 1) AS avg_result_count
+  FROM audit GROUP BY query ORDER BY frequency DESC, query LIMIT 10""")
+def top_queries(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.top_queries(views.audit(spark, d))
+
+
+def _sessions(spark, d):
+    return sessions.session_state(views.turns(spark, d))
+
+
+@query("""SELECT conv_id::varchar AS session_id, count(*)::int AS turn_count, round(avg(length(text)), 2) AS avg_turn_latency_ms, max(turn) AS last_turn FROM conversations GROUP BY conv_id""")
+def session_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = analytics.session_summary(_sessions(spark, d), limit=None)
+    return out.select("session_id", "turn_count", "avg_turn_latency_ms", F.unix_seconds("updated_at").alias("last_turn"))
+
+
+@query("SELECT (1 + length(text) % 5)::int AS rating, count(*) AS count FROM conversations WHERE turn % 2 = 1 GROUP BY 1")
+def feedback_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.feedback_distribution(_sessions(spark, d))
+
+
+@query("SELECT coalesce(round(avg(1 + length(text) % 5), 2), 0.0) AS average_rating, count(*) AS total_feedback FROM conversations WHERE turn % 2 = 1")
+def feedback_average(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.feedback_average(analytics.feedback_distribution(_sessions(spark, d)))
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT count(*) AS total_chunks, count(*) FILTER (WHERE chunk_type = 'text') AS text_chunks, count(*) FILTER (WHERE chunk_type = 'table') AS table_chunks,
+  (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM events) AS audit_logs FROM chunks""")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.corpus_stats(views.chunks(spark, d), table(spark, d, "conversations").select("conv_id").distinct(), table(spark, d, "events"))
+
+
+@query(f"WITH {AUDIT_SQL} SELECT query_type, round(quantile_cont(total_latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(total_latency_ms, 0.99), 6) AS p99_ms FROM audit GROUP BY 1")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.latency_percentiles(views.audit(spark, d))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_type, count(*) AS chunks, round(count(*)::double / (SELECT count(*) FROM chunks), 6) AS share FROM chunks GROUP BY 1")
+def path_share_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.share_by_type(views.chunks(spark, d))
+
+
+# ------------------------------------------------------------------ sessions
+
+
+@query("""SELECT conv_id::varchar AS session_id, arg_min(role, turn) AS user_id, count(*)::int AS turn_count, least(count(*), 3)::int AS kept, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1""")
+def session_upsert_state(spark: SparkSession, d: str) -> DataFrame:
+    out = sessions.session_state(views.turns(spark, d), 3)
+    return out.select("session_id", "user_id", "turn_count", F.size("turns").alias("kept"), F.unix_seconds("created_at").alias("first_turn"), F.unix_seconds("updated_at").alias("last_turn"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
+def last_n_turns(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.last_turns(table(spark, d, "conversations"), 3, "conv_id").select("conv_id", "turn", "role")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def ttl_retained(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.retained(table(spark, d, "events"), 7, ts="ts").select("event_id", "event_type")
+
+
+@query("SELECT conv_id::varchar AS session_id, turn::int AS turn_id, length(text)::double AS latency_ms FROM conversations")
+def turn_unwind(spark: SparkSession, d: str) -> DataFrame:
+    return _sessions(spark, d).select("session_id", F.explode("turns").alias("t")).select("session_id", "t.turn_id", "t.latency_ms")
+
+
+@query(f"WITH {AUDIT_SQL} SELECT (length(query) >= 1 AND total_latency_ms >= 0) AS valid, count(*) AS events FROM audit GROUP BY 1")
+def audit_valid_split(spark: SparkSession, d: str) -> DataFrame:
+    return views.audit(spark, d).groupBy(sessions.audit_is_valid().alias("valid")).agg(F.count("*").alias("events"))
+
+
+# ------------------------------------------------------------------ text
+
+_SENT = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({}, '([。！？\n])', '\1' || chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
+
+
+@query(f"SELECT doc_id, len({_SENT.format('text')})::int AS sentences FROM documents")
+def sentence_split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_SENT.format('text')} AS x FROM documents), u AS (
+  SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM s), c AS (
+  SELECT doc_id, t, i, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM u), j AS (
+  SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS p FROM c WHERE after < 250 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN p IS NULL THEN '' WHEN regexp_matches(p, '[。！？.!?]$') THEN p ELSE p || '。' END AS prefix FROM documents d LEFT JOIN j USING (doc_id)""")
+def overlap_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.overlap_prefix(F.col("text")).alias("prefix"))
+
+
+@query(r"""SELECT page_id, left(regexp_replace(regexp_replace(replace(html, '<p>', '<p style="x">'), '\s+style=''[^'']*''', '', 'g'), '\s+style="[^"]*"', '', 'g'), 3500) AS clean FROM pages""")
+def clean_for_embedding(spark: SparkSession, d: str) -> DataFrame:
+    styled = F.replace(F.col("html"), F.lit("<p>"), F.lit('<p style="x">'))
+    return table(spark, d, "pages").select("page_id", text.clean_for_embedding(styled).alias("clean"))
+
+
+@query("""WITH l AS (SELECT source, doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents), f AS (
+  SELECT source, b, trim(string_split(text, chr(10))[1]) AS line FROM l WHERE b IS NOT NULL)
+SELECT source AS source_file, count(*) AS pairs, count(*) FILTER (WHERE length(line) > 0 AND contains(b, line)) AS overlapping FROM f GROUP BY source""")
+def adjacent_overlap_check(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return evaluation.overlap_check(docs.select(F.col("source").alias("source_file"), F.col("doc_id").alias("chunk_index"), F.lit("text").alias("chunk_type"), F.col("text").alias("content")))
+
+
+@query("SELECT source, row_number() OVER (ORDER BY substr(source, 4)::int)::int AS place FROM (SELECT DISTINCT source FROM documents)")
+def natural_sort(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "documents").select("source").distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(text.natural_key(F.col("source")), "source")))
+
+
+# ------------------------------------------------------------------ ingest
+
+_LINES = MANUALS_SQL + r""", ord AS (
+  SELECT *, row_number() OVER (PARTITION BY manual ORDER BY regexp_extract(source_file, '\d+')::bigint) AS file_ord FROM manuals), ln AS (
+  SELECT manual, source_file, file_ord, unnest(x) AS v, unnest(range(len(x))) AS line FROM (
+    SELECT *, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM ord)), mk AS (
+  SELECT *, CASE WHEN regexp_matches(v, '^(#{1,6})[ \t]+(.*?)[ \t]*$') AND regexp_extract(v, '^(#{1,6})[ \t]+(.*?)[ \t]*$', 2) <> '' THEN length(regexp_extract(v, '^(#{1,6})[ \t]+', 1)) ELSE 0 END AS level,
+    regexp_extract(v, '^(#{1,6})[ \t]+(.*?)[ \t]*$', 2) AS title FROM ln), st AS (
+  SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS h1,
+    last_value(CASE WHEN level = 2 THEN title WHEN level = 1 THEN '' END IGNORE NULLS) OVER w AS h2,
+    sum((level > 0)::int) OVER (PARTITION BY manual, file_ord ORDER BY line) AS section
+  FROM mk WINDOW w AS (PARTITION BY manual ORDER BY file_ord, line)), pt AS (
+  SELECT *, list_filter([h1, h2], lambda t: t IS NOT NULL AND t <> '') AS titles FROM st), sec AS (
+  SELECT manual, source_file, section::bigint AS section, regexp_replace(string_agg(v, chr(10) ORDER BY line), '^\s+|\s+$', '', 'g') AS text,
+    arg_max(CASE WHEN len(titles) = 0 THEN '未分類章節' WHEN length(array_to_string(titles, ' / ')) > 150 AND len(titles) > 2 THEN titles[1] || ' / ... / ' || titles[-1] ELSE array_to_string(titles, ' / ') END, line) AS chapter_path
+  FROM pt GROUP BY ALL), sections AS (SELECT * FROM sec WHERE text <> '')"""
+
+
+@query(f"WITH {_LINES} SELECT manual, source_file, section, length(text)::int AS chars FROM sections")
+def heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sections(views.manuals(spark, d)).select("manual", "source_file", "section", F.length("text").alias("chars"))
+
+
+@query(f"WITH {_LINES} SELECT manual, source_file, section, chapter_path FROM sections")
+def breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sections(views.manuals(spark, d)).select("manual", "source_file", "section", "chapter_path")
+
+
+@query(rf"""WITH {_LINES}, t AS (SELECT source_file, unnest(regexp_extract_all(text, '(?i)(<table(?:\s+[^>]*)?>(?:.|\n)*?</table>)')) AS x FROM sections)
+SELECT source_file, count(*) AS tables, sum(length(x))::bigint AS chars FROM t GROUP BY 1""")
+def table_isolation(spark: SparkSession, d: str) -> DataFrame:
+    parts = ingest.pieces(ingest.sections(views.manuals(spark, d)))
+    return parts.where("chunk_type = 'table'").groupBy("source_file").agg(F.count("*").alias("tables"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT doc_id, regexp_replace(source || '.md', '\\.[^.]*$', '') || '_c' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents""".replace("\\\\", "\\"))
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, d, "documents").select("doc_id", text.chunk_id(F.concat("source", F.lit(".md")), at).alias("chunk_id"))
+
+
+@query()
+def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("piece_id"), "text")
+    return ingest.semantic_chunks(rows).select("piece_id", "chunk", F.length("text").alias("chars"))
+
+
+@query()
+def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(ingest.recursive_chunks()("text")).alias("chunk", "text"))
+    return rows.select("doc_id", "chunk", F.length("text").alias("chars"))
+
+
+@query()
+def ingest_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.ingest(views.manuals(spark, d), Chunking()).select("chunk_id", "source_file", "chunk_type", "chunk_index", "chapter_path", F.length("content").alias("chars"), F.size("embedding").alias("dims"))
+
+
+# ------------------------------------------------------------------ merge
+
+
+@query("""WITH o AS (SELECT doc_id AS chunk_id, source AS source_file, lang AS chapter_path, text AS content FROM documents WHERE doc_id % 3 <> 0), n AS (
+  SELECT doc_id AS chunk_id, 'new' AS source_file, 'new / ' || lang AS chapter_path, left(text, 40) AS content FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, coalesce(o.source_file, n.source_file) AS source_file,
+  CASE WHEN n.chunk_id IS NOT NULL THEN n.chapter_path ELSE o.chapter_path END AS chapter_path,
+  CASE WHEN n.chunk_id IS NOT NULL THEN n.content ELSE o.content END AS content FROM o FULL OUTER JOIN n ON o.chunk_id = n.chunk_id""")
+def chunk_upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.col("lang").alias("chapter_path"), F.col("text").alias("content"))
+    new = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("new").alias("source_file"), F.concat(F.lit("new / "), "lang").alias("chapter_path"), F.substring("text", 1, 40).alias("content"))
+    return merge.upsert(old, new)
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT count(*) AS total, count(DISTINCT chunk_id) AS distinct_keys, (count(*) = count(DISTINCT chunk_id) AND count(*) > 0) AS passed FROM chunks")
+def chunk_key_uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.uniqueness_check(views.chunks(spark, d))
+
+
+# ------------------------------------------------------------------ evaluation
+
+_HELD_SQL = "held AS (SELECT b.item_id, d.doc_id, d.source, strpos(d.text, b.text)::int AS place, length(b.text)::int AS chars FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def contained(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, doc_id, source, place, chars): benchmark items that stand in documents.
+
+    Documents meet items on a five-token window, the item's second to sixth token; then the text
+    itself is looked up. Items of under seven tokens (few, and counted) are looked up in every
+    document.
+    """
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("text is not null")
+    words = text.tokens(F.col("text"))
+    keyed = items.select("item_id", F.col("text").alias("item"), words.alias("w"))
+    long = keyed.where(F.size("w") >= 7).select("item_id", "item", F.xxhash64(F.slice("w", 2, 5)).alias("window"))
+    hashed = docs.select("doc_id", "source", "text", words.alias("w"))
+    starts = F.when(F.size("w") >= 5, F.sequence(F.lit(1), F.size("w") - 4)).otherwise(F.array().cast("array<int>"))
+    windows = hashed.select("doc_id", F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, 5))))).alias("window"))
+    few = long.count() <= 200_000
+    pairs = windows.join(F.broadcast(long.select("item_id", "window")) if few else long.select("item_id", "window"), "window").select("doc_id", "item_id").distinct()
+    found = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(docs.select("doc_id", "source", "text"), "doc_id")
+    short = keyed.where(F.size("w") < 7).select("item_id", "item")
+    n_short = short.limit(10_001).count()
+    if n_short > 10_000:
+        raise ValueError("over 10,000 benchmark items have fewer than seven tokens")
+    if n_short:
+        found = found.unionByName(docs.select("doc_id", "source", "text").join(F.broadcast(short), F.contains("text", "item")))
+    return found.where(F.contains("text", "item")).select("item_id", "doc_id", "source", F.expr("position(item in text)").alias("place"), F.length("item").alias("chars"))
+
+
+@query(f"WITH {_HELD_SQL} SELECT item_id, doc_id FROM held")
+def benchmark_containment(spark: SparkSession, d: str) -> DataFrame:
+    return contained(spark, d).select("item_id", "doc_id")
+
+
+@query(f"WITH {_HELD_SQL} SELECT item_id, count(*) AS documents, min(place) AS first_place, true AS supported FROM held GROUP BY 1 UNION ALL SELECT item_id, 0, NULL, false FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM held)")
+def context_support(spark: SparkSession, d: str) -> DataFrame:
+    of = contained(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("place").alias("first_place"))
+    every = table(spark, d, "benchmark").select("item_id").join(of, "item_id", "left")
+    return every.select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_place", F.col("documents").isNotNull().alias("supported"))
+
+
+_FLAGS_SQL = f"""{_HELD_SQL}, {CHUNKS_SQL}, cases AS (
+  SELECT b.item_id AS case_id, e.embedding, ['src' || (b.item_id % 20)] AS files, {_TOK.format('b.text')}[1:3] AS words,
+    (SELECT coalesce(list(doc_id), []) FROM held h WHERE h.item_id = b.item_id) AS ids
+  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), s AS (
+  SELECT q.case_id, q.ids, q.files, q.words, c.chunk_id, c.source_file, c.content, {_SIM} AS s FROM cases q, chunks c), r AS (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, chunk_id) AS rank FROM s), flags AS (
+  SELECT case_id, chunk_id, rank, greatest(len(ids), len(files), 1) AS targets,
+    (list_contains(ids, chunk_id) OR (list_contains(files, source_file) AND len(list_filter(words, lambda w: contains(lower(content), w))) >= least(2, len(words)))) AS relevant
+  FROM r WHERE rank <= 10)"""
+_METRICS_SQL = f"""{_FLAGS_SQL}, ks AS (SELECT unnest([1, 3, 5, 10]) AS k), pk AS (
+  SELECT case_id, k, count(*) FILTER (WHERE relevant AND rank <= k) AS hits, max(targets) AS targets, min(rank) FILTER (WHERE relevant AND rank <= k) AS first_rank FROM flags, ks GROUP BY 1, 2), metrics AS (
+  SELECT case_id, k, hits, least(1.0::double, hits::double / targets) AS recall, hits::double / k AS precision, (hits > 0)::int::double AS hit, coalesce(1.0::double / first_rank, 0) AS mrr FROM pk)"""
+
+
+def _flags(spark: SparkSession, d: str, k: int = 10, block: int = 1000) -> DataFrame:
+    """Whether each case's nearest chunks are relevant; cases are run in blocks of queries."""
+    chunks = views.chunks(spark, d)
+    items = table(spark, d, "benchmark")
+    vectors = table(spark, d, "embeddings")
+    asked = items.join(vectors, items.item_id == vectors.vec_id).select("item_id", "embedding")
+    blocks = max(1, ceil(asked.count() / block))
+    near = None
+    for b in range(blocks):
+        one = nearest(chunks, {r[0]: list(r[1]) for r in asked.where(F.pmod("item_id", F.lit(blocks)) == b).collect()}, k)
+        near = one if near is None else near.union(one)
+    ids = contained(spark, d).groupBy("item_id").agg(F.collect_set("doc_id").alias("ids"))
+    cases = items.join(ids, "item_id", "left").select(
+        F.col("item_id").alias("query_id"),
+        F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"),
+        F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("files"),
+        F.slice(text.tokens(F.col("text")), 1, 3).alias("words"),
+    )
+    full = near.join(chunks.select("chunk_id", "source_file", "content"), "chunk_id").join(cases, "query_id")
+    relevant = evaluation.is_relevant(F.col("chunk_id").cast("string"), F.col("source_file"), F.col("content"), F.transform("ids", lambda i: i.cast("string")), F.col("files"), F.col("words"))
+    return full.select(F.col("query_id").alias("case_id"), "chunk_id", F.col("rank_vec").cast("bigint").alias("rank"), evaluation.targets(F.transform("ids", lambda i: i.cast("string")), F.col("files")).alias("targets"), relevant.alias("relevant"))
+
+
+def _metrics(spark, d):
+    return evaluation.metrics_at_k(_flags(spark, d), [10, 5, 1, 3, 3])
+
+
+@query(f"WITH {_FLAGS_SQL} SELECT case_id, chunk_id, rank, targets::int AS targets, relevant FROM flags")
+def relevance_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d)
+
+
+@query(f"WITH {_METRICS_SQL} SELECT case_id, k, recall FROM metrics")
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("case_id", "k", "recall")
+
+
+@query(f"WITH {_METRICS_SQL} SELECT case_id, k, precision FROM metrics")
+def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("case_id", "k", "precision")
+
+
+@query(f"WITH {_METRICS_SQL} SELECT case_id, k, hit FROM metrics")
+def hit_rate_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("case_id", "k", "hit")
+
+
+@query(f"WITH {_METRICS_SQL} SELECT case_id, k, mrr FROM metrics")
+def mrr_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("case_id", "k", "mrr")
+
+
+@query(f"WITH {_METRICS_SQL} SELECT k, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision, round(avg(hit), 9) AS hit_rate, round(avg(mrr), 9) AS mrr FROM metrics GROUP BY k")
+def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.summary(_metrics(spark, d))
+
+
+# ------------------------------------------------------------------ judgement
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM labels""")
+def judge_verdict(spark: SparkSession, d: str) -> DataFrame:
+    def metric(score):
+        return F.struct(F.lit("").alias("reasoning"), score.cast("int").alias("score"))
+
+    good, clean = F.when(F.col("quality") == 1, 5).otherwise(2), F.when(F.col("toxic") == 0, 4).otherwise(1)
+    report = F.to_json(F.struct(metric(good).alias("context_relevance"), metric(clean).alias("faithfulness"), metric(good).alias("answer_relevance"), metric(clean).alias("completeness")))
+    return evaluation.judged(table(spark, d, "labels").select("doc_id", report.alias("report"))).select("doc_id", "verdict")
+
+
+@query(f"""WITH {_HELD_SQL}, c AS (SELECT item_id % 10 AS report_id, item_id IN (SELECT item_id FROM held) AS ok FROM benchmark)
+SELECT report_id, count(*)::int AS total_claims, count(*) FILTER (WHERE NOT ok)::int AS leaked_claims, count(*) FILTER (WHERE NOT ok)::double / count(*) AS leakage_rate,
+  CASE WHEN count(*) FILTER (WHERE NOT ok) = 0 THEN 'PASS_ISOLATED' ELSE 'FAIL_LEAKAGE_DETECTED' END AS verdict FROM c GROUP BY 1""")
+def leakage_rate(spark: SparkSession, d: str) -> DataFrame:
+    seen = context_support(spark, d).select("item_id", "supported")
+    check = F.struct(F.col("item_id").cast("string").alias("statement"), F.col("supported").alias("is_supported_by_context"), F.lit("").alias("citation_quote"))
+    reports = seen.groupBy((F.col("item_id") % 10).alias("report_id")).agg(F.to_json(F.struct(F.collect_list(check).alias("atomic_checks"))).alias("report"))
+    return evaluation.leakage(reports)
+
+
+@query(rf"""WITH h AS ({_hybrid_sql('query_id, chunk_id, rank')}), b AS (
+  SELECT h.query_id, h.rank, '[' || h.rank || '] ' || d.source || ' (' || d.lang || ' / ' || d.source || '), ' || CASE WHEN e.label % 2 = 0 THEN 'text' ELSE 'table' END || chr(10) || d.text AS t
+  FROM h JOIN documents d ON d.doc_id = h.chunk_id JOIN embeddings e ON e.vec_id = h.chunk_id)
+SELECT query_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question (1000 tokens at most): the and' AS prompt FROM b GROUP BY query_id""")
+def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hybrid(spark, d).select("query_id", "chunk_id", "rank").join(views.chunks(spark, d).drop("embedding"), "chunk_id")
+    return retrieval.prompt_blocks(hits, TERMS)
+
+
+# ------------------------------------------------------------------ streams
+
+
+@query(f"WITH {AUDIT_SQL} SELECT query_type, strftime(\"timestamp\", '%Y-%m-%d') AS day, count(*) AS events FROM audit WHERE length(query) >= 1 AND total_latency_ms >= 0 GROUP BY ALL")
+def audit_stream_append(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "events")
+    arriving = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    out, at = views.scratch(spark), views.scratch(spark)
+    streams.append_audit(views.as_audit(arriving), out, at).awaitTermination()
+    stored = spark.read.parquet(out)
+    return stored.groupBy("query_type", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"))
+
+
+@query("""SELECT conv_id::varchar AS session_id, count(*)::int AS turn_count, least(count(*), 3)::int AS kept, max(turn) AS last_turn FROM conversations GROUP BY 1""")
+def session_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "conversations")
+    arriving = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/conversations.parquet*")
+    out, at = views.scratch(spark), views.scratch(spark)
+    turn = F.struct(F.col("turn").cast("int").alias("turn_id"), F.col("text").alias("query"))
+    rows = arriving.select(F.col("conv_id").cast("string").alias("session_id"), F.col("role").alias("user_id"), F.timestamp_seconds("turn").alias("timestamp"), turn.alias("turn"))
+    running = streams.upsert_sessions(rows, out, at, 3)
+    running.awaitTermination()
+    last = running.lastProgress["batchId"] if running.lastProgress else 0
+    latest = spark.read.parquet(f"{out}/v{last}")
+    return latest.select("session_id", "turn_count", F.size("turns").alias("kept"), F.unix_seconds("updated_at").alias("last_turn"))
+
+
