@@ -35,7 +35,7 @@ def test_nearest_is_exact(chunks):
 def test_approximate_recall(chunks):
     some = chunks.where("size(embedding) = 8 and chunk_id < 60")
     exact = {r.chunk_id for r in vectors.nearest(some, {0: [1.0] * 8}, 5).collect()}
-    unit = some.withColumn("embedding", F.expr("transform(embedding, x -> cast(x / sqrt(aggregate(embedding, 0D, (a, v) -> a + v * v)) as float))"))
+    unit = some.withColumn("embedding", F.expr("transform(embedding, x -> cast(try_divide(x, sqrt(aggregate(embedding, 0D, (a, v) -> a + v * v))) as float))"))
     near = {r.chunk_id for r in vectors.approximate_nearest(unit, [8**-0.5] * 8, 5, tables=20, width=4.0).collect()}
     assert len(exact & near) >= 4
 
