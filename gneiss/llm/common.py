@@ -97,3 +97,17 @@ def byte_counts(text: str):
     import numpy as np
 
     return np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered within a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return value
+
+    def trim(self, most: int = 2_000_000) -> None:
+        if len(self) > most:
+            self.clear()

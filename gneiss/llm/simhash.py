@@ -94,14 +94,21 @@ def block_keys(fp: Column, radius: int, intact: int) -> Column:
     return F.array(*keys)
 
 
-def pivot_fingerprints(count: int) -> np.ndarray:
-    return np.random.default_rng(20240501).integers(0, 2**64, count, np.uint64)
+def pivot_fingerprints(count: int, words: int = 1) -> np.ndarray:
+    return np.random.default_rng(20240501).integers(0, 2**64, (count, words), np.uint64)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def links(fps: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) within one group, for members that aren't their own root."""
+    """(member, root) by place within one group, for members that aren't their own root.
+
+    ``fps`` and ``pivots`` have a row of 64-bit words for each fingerprint.
+    """
     m = len(fps)
-    table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int16)
+    table = np.stack([hamming(fps, p) for p in pivots], axis=1)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     label = np.arange(m)
@@ -117,11 +124,11 @@ def links(fps: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray,
         for p in range(1, table.shape[1]):
             near = np.abs(table[i, p] - table[j, p]) <= radius
             i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        near = hamming(fps[i], fps[j]) <= radius
         _merge(label, i[near], j[near])
         lo = hi
     linked = label != np.arange(m)
-    return fps[linked], fps[label[linked]]
+    return order[linked], order[label[linked]]
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -136,83 +143,102 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _linked(dealt: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Edges (u, v) between fingerprints that share a key and lie within the radius."""
-    pivots = pivot_fingerprints(PIVOTS)
+def linked(dealt: DataFrame, keys: list[str], fps: list[str], node: str, radius: int) -> DataFrame:
+    """Edges (u, v) between nodes that share the keys and lie within the radius.
+
+    Rows come sorted by key; a key's rows are held together, a batch's others are let go.
+    """
+    pivots = pivot_fingerprints(PIVOTS, len(fps))
+    cols = [*keys, node, *fps]
 
     def run(batches):
         import pyarrow as pa
 
-        def groups(key, fp):
-            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            found = [links(part, radius, pivots) for part in np.split(fp, change) if len(part) > 1]
+        def groups(rows):
+            key, nodes, fp = rows[:, : len(keys)], rows[:, len(keys)], rows[:, len(keys) + 1 :].view(np.uint64)
+            edges = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(rows))
+            found, lo = [], 0
+            for hi in edges:
+                if hi - lo > 1:
+                    u, v = links(fp[lo:hi], radius, pivots)
+                    found.append(np.stack([nodes[lo:hi][u], nodes[lo:hi][v]], axis=1))
+                lo = hi
             if found:
-                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-                pairs = np.unique(np.stack([u, v], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["u", "v"])
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-        held_key, held_fp = np.zeros((0, len(keys)), np.int64), np.zeros(0, np.uint64)
+        held = np.zeros((0, len(cols)), np.int64)
         for batch in batches:
-            cols = [np.asarray(batch.column(k)) for k in range(len(keys) + 1)]
-            key = np.concatenate([held_key, np.stack(cols[:-1], axis=1)])
-            fp = np.concatenate([held_fp, cols[-1].astype(np.int64).view(np.uint64)])
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            last = np.flatnonzero((key != key[-1]).any(axis=1))
+            rows = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns], axis=1)])
+            last = np.flatnonzero((rows[:, : len(keys)] != rows[-1, : len(keys)]).any(axis=1))
             at = last[-1] + 1 if len(last) else 0
-            yield from groups(key[:at], fp[:at])
-            held_key, held_fp = key[at:], fp[at:]
-        yield from groups(held_key, held_fp)
+            yield from groups(np.ascontiguousarray(rows[:at]))
+            held = rows[at:]
+        yield from groups(np.ascontiguousarray(held))
 
-    cols = [*keys, "fp"]
     return dealt.select(*cols).repartition(*keys).sortWithinPartitions(*cols).mapInArrow(run, "u bigint, v bigint")
 
 
-def edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Links among distinct fingerprints (column fp): a spanning set, not all pairs."""
-    intact = shared_blocks(fps.count(), radius)
-    dealt = fps.select(F.explode(block_keys(F.col("fp"), radius, intact)).alias("key"), "fp")
+def links_within(dealt: DataFrame, fps: list[str], node: str, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges among rows that share ``key``; busy keys are cut into parts, any two of which are
+    compared by a task of their own."""
     busy = cut(dealt.groupBy("key").count().where(F.col("count") > chunk))
     if busy.isEmpty():
-        return _linked(dealt, ["key"], radius)
-    # A busy group is cut into parts, and each two parts are compared by a task of their own.
+        return linked(dealt, ["key"], fps, node, radius)
     parts = busy.select("key", F.ceil(F.col("count") * 2 / chunk).cast("long").alias("parts"))
-    split = dealt.join(broadcast_if_small(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    dealt = split.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    return _linked(dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp"), ["key", "a", "b"], radius)
+    return linked(in_parts(dealt.join(broadcast_if_small(parts), "key", "left"), node), ["key", "a", "b"], fps, node, radius)
+
+
+def in_parts(rows: DataFrame, node: str) -> DataFrame:
+    """Each row once for every two parts of its group (a, b) of which one is its own; ``parts``
+    is the number of parts, null for one."""
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(node), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("own", "other", "parts")
+
+
+def edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Links among distinct fingerprints (column fp): a spanning set, not all pairs."""
+    intact = shared_blocks(fps.count(), radius)
+    dealt = fps.select(F.explode(block_keys(F.col("fp"), radius, intact)).alias("key"), "fp", F.col("fp").alias("node"))
+    return links_within(dealt, ["fp"], "node", radius, chunk)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable by links."""
     base = cut(with_simhash(docs.select("doc_id", "text"), "fp", width).select("doc_id", "fp"))
     reps = cut(base.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    member = roots(edges(reps.select("fp"), radius)).withColumnRenamed("node", "fp").join(reps, "fp")
-    member = cut(member)
+    return named_by_least(base, reps, roots(edges(reps.select("fp"), radius)))
+
+
+def named_by_least(base: DataFrame, reps: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of each row of ``base`` (doc_id, fp): the smallest id in its
+    component, from ``reps`` (fp, rep) and the roots of those that have links."""
+    member = cut(rooted.withColumnRenamed("node", "fp").join(reps.select("fp", "rep"), "fp"))
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     label = member.join(least, "root").select("fp", "least")
     named = cut(reps.join(label, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return base.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
+def keep_one(docs: DataFrame, found: DataFrame, mark) -> DataFrame:
+    """``docs`` with one row of each group in ``found`` (doc_id, fp, component_id): the one with
+    the smallest id. ``mark`` adds a row's fp as a column.
 
-    Rows without an id stay only where no row of their group has one, and then one of them.
+    Rows without an id stay only where no row of their group has one, and then one of them for
+    each fp.
     """
-    found = cut(near_duplicates(docs, radius, width))
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
     # What follows concerns only tables with null or repeated ids.
-    again = found.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    again = cut(again)
+    again = cut(found.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id")))
     if again.isEmpty():
         return kept.select(docs.columns)
-    odd = broadcast_if_small(again)
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    odd = odd.withColumnRenamed("doc_id", "__id")
+    odd, same = broadcast_if_small(again), F.col("doc_id").eqNullSafe(F.col("__id"))
     single = kept.join(odd, same, "left_anti")
-    repeated = with_simhash(kept.join(odd, same, "left_semi"), "__fp", width)
+    repeated = mark(kept.join(odd, same, "left_semi"), "__fp")
     with_id = repeated.where("doc_id is not null").dropDuplicates(["doc_id"])
     named = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
     nameless = repeated.where("doc_id is null").join(named, "__fp", "left_anti").dropDuplicates(["__fp"])
