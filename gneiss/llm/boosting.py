@@ -199,7 +199,7 @@ def _shallow(g: np.ndarray, h: np.ndarray, ridge: float, least: float, leaves: i
     return out
 
 
-def fit_additive(x, y, rounds=150, rate=0.1, bins=64, pair_bins=8, max_pairs=10, pair_rounds=40, ridge=1.0, least=2.0) -> Additive:
+def fit_additive(x, y, rounds=150, rate=0.1, bins=64, pair_bins=8, max_pairs=10, pair_rounds=100, ridge=1.0, least=2.0) -> Additive:
     """Cyclic boosting: every round visits each feature once with one shallow tree.
 
     Then the pairs whose two-way cells explain most of what is left are boosted in turn,
@@ -235,7 +235,7 @@ def fit_additive(x, y, rounds=150, rate=0.1, bins=64, pair_bins=8, max_pairs=10,
             p = sigmoid(margin)
             key = c[:, i] * t.shape[1] + c[:, j]
             g, h = np.bincount(key, p - y, t.size), np.bincount(key, p * (1 - p), t.size)
-            step = (-0.05 * g / (h + 4 * ridge)).reshape(t.shape)
+            step = (-0.1 * g / (h + 4 * ridge)).reshape(t.shape)
             t += step
             margin += step[c[:, i], c[:, j]]
     return Additive(start, cuts, tables, coarse, pairs, pair_tables)
