@@ -36,3 +36,24 @@ def upsert_sessions(turns: DataFrame, path: str, checkpoint: str, cap: int = ses
         fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return turns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_files(spark, folder: str, path: str, checkpoint: str, manual: str = "manual", **how) -> StreamingQuery:
+    """Markdown files that arrive in a folder, chunked, embedded and merged into snapshots.
+
+    The key of a chunk depends only on its file, so a batch that runs again changes nothing. Headings
+    and overlaps carry on inside a batch, not from one batch to the next.
+    """
+    from gneiss.functions.text import stripped
+    from gneiss.operators import ingest, merge
+
+    files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    named = files.select(F.lit(manual).alias("manual"), F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("value")) != "")
+
+    def absorb(batch: DataFrame, number: int) -> None:
+        fresh = ingest.ingest(batch, **how)
+        if number:
+            fresh = merge.upsert(batch.sparkSession.read.parquet(f"{path}/v{number - 1}"), fresh)
+        fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return named.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

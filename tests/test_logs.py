@@ -142,6 +142,18 @@ def test_session_stream_restarts(spark, tmp_path):
     assert out["s"].turn_count == 7 and [t.turn_id for t in out["s"].turns] == [5, 6, 7] and out["t"].turn_count == 1
 
 
+def test_ingest_stream_is_idempotent(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# T\nold text.")
+    for number, text in ((0, "old text."), (1, "new text.")):
+        if number:
+            (tmp_path / "in" / "a.md").unlink()
+            (tmp_path / "in" / "b.md").write_text("# U\nnew text.")
+        streams.ingest_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        out = {r.chunk_id: r.content for r in spark.read.parquet(str(tmp_path / f"out/v{number}")).collect()}
+        assert text in "".join(out.values()) and len(out) == number + 1
+
+
 def test_report_files(spark, tmp_path):
     s = spark.createDataFrame([(1, 0.5)], "k int, recall double")
     d = spark.createDataFrame([(1, "x")], "case_id int, candidates string")

@@ -66,6 +66,24 @@ def test_keyword_needs_all_terms(chunks):
     assert lexical.query_terms("The cat, the CAT!") == ["cat", "the"]
 
 
+def test_stored_postings_match_the_scan(spark, chunks):
+    lexical.store_postings(lexical.postings(chunks), "gneiss_test_postings", 4)
+    try:
+        stored = spark.table("gneiss_test_postings")
+        for terms in (["cat", "the"], ["p", "w7"], ["nowhere"], []):
+            assert sorted(map(tuple, lexical.match_stored(stored, terms).collect())) == sorted(map(tuple, lexical.match_all(chunks, terms).collect()))
+    finally:
+        spark.sql("DROP TABLE gneiss_test_postings")
+
+
+def test_builtin_cases(spark):
+    from gneiss.sources.benchmark import builtin_cases
+
+    cases = builtin_cases(spark).collect()
+    assert len(cases) == 7 and [c.id for c in cases if c.expected_type == "table"] == ["TC-02"]
+    assert all(len(c.required_keywords) == 3 and 1 <= len(c.expected_files) <= 3 for c in cases)
+
+
 def test_metrics_golden(spark):
     flags = [(1, r + 1, f, 2) for r, f in enumerate([False, True, False, True, True])]
     df = spark.createDataFrame(flags, "case_id int, rank int, relevant boolean, targets int")
