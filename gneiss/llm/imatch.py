@@ -6,7 +6,8 @@ random subsets of the lexicon, so that a changed word alters only the hashes of
 hold it. Subsets come at several rates, for short and for long texts.
 
 The lexicon has at most (mean distinct terms of a document) / ``LOW`` terms, whatever the number
-of documents, and is broadcast only if a count confirms that; else the join shuffles.
+of documents. It is kept as a bit set of a fixed size over hashed terms and looked up inside the
+row, so fingerprinting shuffles nothing; a term that shares a lexicon term's slot counts as one.
 
 Defined results: a null text counts as empty; equal texts have equal fingerprints; a text
 without any lexicon term is told apart by all its terms; likeness is 1 for equal fingerprints and
@@ -26,8 +27,13 @@ from gneiss.llm.common import broadcast_if_small, cut
 #: The band, as shares of the documents.
 LOW, HIGH = 0.001, 0.25
 #: Levels of random subsets: (classes into which the lexicon falls, classes that are used). A
-#: level's subsets share no term, so their hashes change independently of each other.
-LEVELS = ((8, 8), (32, 32), (128, 32), (512, 32), (2048, 16))
+#: level's subsets share no term, so their hashes change independently of each other. One more
+#: level, of ``COARSE`` subsets, unites those of the first.
+LEVELS = ((32, 32), (128, 32), (512, 32), (2048, 16))
+COARSE = 8
+STEP = 4
+#: Bits of a term's hash that name its place in the lexicon's bit set.
+SLOT_BITS = 20
 #: Share of a level's subsets filled at most for the level to count as sparse.
 SPARSE = 0.75
 WORD = r"[\p{L}\p{N}]+"
@@ -51,52 +57,84 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return seen.where((F.col("count") >= max(2, low * total)) & (F.col("count") <= max(2, high * total))).select("term")
 
 
-def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint): an array of 16-bit hashes for each row of ``texts`` (keys, text).
+def bit_set(terms: DataFrame) -> list[int]:
+    """The lexicon as longs of 64 bits: a bit for each slot that a term's upper hash bits name.
 
-    ``keys`` name columns that tell the rows apart. Terms are dealt out, marked by the lexicon
-    and gathered again, which takes no more than a row's own terms into one place. The last hash
-    is over all terms and differs from zero only where no lexicon term is found.
+    What reaches the driver is a row for each of 2 ** SLOT_BITS / 64 longs at most.
     """
-    dealt = texts.select(*keys, F.explode_outer(term_hashes(F.col("text"))).alias("term"))
-    marked = dealt.join(broadcast_if_small(words.withColumn("kept", F.col("term"))), "term", "left")
+    slot = F.shiftrightunsigned("term", 64 - SLOT_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    rows = terms.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+    held = {r["at"]: r["bits"] for r in rows}
+    return [held.get(i, 0) for i in range(1 << (SLOT_BITS - 6))]
 
-    def used(classes, most):
-        return lambda h: h.bitwiseAND(F.lit(classes - 1)) < most
 
-    def in_class(classes, j):
-        return lambda h: h.bitwiseAND(F.lit(classes - 1)) == j
+def lexicon_terms(terms: Column, bits: list[int]) -> Column:
+    """The sorted terms that the lexicon holds."""
+    words = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded once, when planned
+
+    def held(h):
+        slot = F.shiftrightunsigned(h, 64 - SLOT_BITS)
+        word = F.get(words, F.shiftrightunsigned(slot, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return F.array_sort(F.filter(terms, held))
+
+
+def _in_class(mask: int, value: int):
+    return lambda h: h.bitwiseAND(F.lit(mask)) == value
+
+
+def with_fingerprint(docs: DataFrame, bits: list[int], text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """``docs`` with an array of 16-bit hashes of its text; a column of that name is replaced.
+
+    Classes are told by the low bits of a term's hash, the first ones by the lowest, and are
+    split off in two steps. The coarsest level's hashes are made from those of the next one, whose
+    classes they unite. The last hash is over all terms, and there only if no term is in the lexicon.
+    """
+    own = f"__{name}_"
+    df = docs.drop(name).withColumn(f"{own}all", term_hashes(F.col(text)))
+    df = df.withColumn(f"{own}0", lexicon_terms(F.col(f"{own}all"), bits))
+    source, hashes = f"{own}0", []
 
-    gathered = marked.groupBy(*keys).agg(F.array_sort(F.collect_list("kept")).alias("t0"), F.bit_xor("term").alias("every"))
     def short(x):
         # The upper 16 bits of a hash; zero stands for no term.
         high = F.shiftright(x, 16)
         return F.when(high == 0, 1).otherwise(high).cast("smallint")
 
-    zero, name, subsets = F.lit(0).cast("smallint"), "t0", []
+    zero = F.lit(0).cast("smallint")
     for level, (classes, most) in enumerate(LEVELS):
-        if most < classes:  # a used class lies within one of the level before
-            gathered = gathered.withColumn(f"t{level}", F.filter(name, used(classes, most)))
-            name = f"t{level}"
-        subsets += [F.filter(name, in_class(classes, j)) for j in range(most)]
-    hashed = F.transform(F.array(*subsets), lambda own: F.when(F.size(own) > 0, short(F.hash(own))).otherwise(zero))
-    rest = F.when(F.size("t0") == 0, short(F.hash("every"))).otherwise(zero)
-    return gathered.select(*keys, F.concat(hashed, F.array(rest)).alias("fingerprint"))
+        if most < classes:
+            used = f"{own}u{level}"
+            df = df.withColumn(used, F.filter(source, _in_class((classes - 1) & ~(most - 1), 0)))
+            source = used
+        parts = [f"{own}{level}_{g}" for g in range(STEP)]
+        df = df.withColumns({p: F.filter(source, _in_class(STEP - 1, g)) for g, p in enumerate(parts)})
+        subsets = [F.filter(parts[j % STEP], _in_class(most - 1, j)) for j in range(most)]
+        hashes.append(F.transform(F.array(*subsets), lambda x: F.when(F.size(x) > 0, short(F.hash(x))).otherwise(zero)))
+    df = df.withColumns({f"{own}h{i}": h for i, h in enumerate(hashes)})
+    finest = F.col(f"{own}h0")
+    groups = LEVELS[0][1] // COARSE
+    united = F.array(*[F.array(*[F.get(finest, F.lit(j + COARSE * g)) for g in range(groups)]) for j in range(COARSE)])
+    coarse = F.transform(united, lambda x: F.when(F.array_max(F.transform(x, lambda v: (v != 0).cast("int"))) == 1, short(F.hash(x))).otherwise(zero))
+    rest = F.when(F.size(f"{own}0") == 0, short(F.hash(F.array_sort(f"{own}all")))).otherwise(zero)
+    df = df.withColumn(name, F.concat(coarse, *[F.col(f"{own}h{i}") for i in range(len(LEVELS))], F.array(rest)))
+    return df.drop(*[c for c in df.columns if c.startswith(own)])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: the share of equal hashes among those that are there in either, pooled from
     the densest sparse level to the sparsest."""
-    sums, first = [], 1
-    for _, most in LEVELS:
+    sums, first, sizes = [], 1, [COARSE, *[most for _, most in LEVELS]]
+    for most in sizes:
         pair = F.zip_with(F.slice(a, first, most), F.slice(b, first, most), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1001).otherwise(1))
         sums.append(F.aggregate(pair, F.lit(0), lambda acc, v: acc + v))
         first += most
-    limits = F.array(*[F.lit(int(SPARSE * most)) for _, most in LEVELS])
+    limits = F.array(*[F.lit(int(SPARSE * most)) for most in sizes])
 
     def share(s):
         # Of each sum the thousands count equal hashes, the rest those that are there.
-        tail = F.transform(F.sequence(F.lit(0), F.lit(len(LEVELS) - 1)), lambda i: F.aggregate(F.slice(s, i + 1, len(LEVELS)), F.lit(0), lambda acc, v: acc + v))
+        tail = F.transform(F.sequence(F.lit(0), F.lit(len(sizes) - 1)), lambda i: F.aggregate(F.slice(s, i + 1, len(sizes)), F.lit(0), lambda acc, v: acc + v))
         sparse = F.filter(tail, lambda t, i: (t % 1000 > 0) & (F.get(s, i) % 1000 <= F.get(limits, i)))
         chosen = F.coalesce(F.get(sparse, F.lit(0)), F.get(F.filter(tail, lambda t: t % 1000 > 0), F.lit(0)))
         return F.when(chosen.isNotNull(), F.floor(chosen / 1000) / (chosen % 1000)).otherwise(0.0)
@@ -132,32 +170,30 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, prev_id, text, edited): the last third replaced by the next document's start.
+    """(doc_id, prev_id, text, edited): the last third replaced by the next document's start.
 
-    Only the characters that are needed are sent to the predecessor. A row without an id has no
-    neighbour; where an id repeats, the smallest start is taken.
+    Texts are shuffled once, and besides only the characters that the predecessor needs. A row
+    without an id has no neighbour; where an id repeats, the smallest start is taken.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     wanted = pairs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
-    own = texts.join(wanted, "doc_id", "left")
-    heads = own.where("prev_id is not null").groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(F.substr("text", F.lit(1), F.col("need"))).alias("head"))
-    both = own.join(heads, "doc_id", "left")
+    own = texts.where("doc_id is not null").join(wanted, "doc_id")
+    heads = own.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(F.substr("text", F.lit(1), F.col("need"))).alias("head"))
+    nameless = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("prev_id"), "text", F.lit("").alias("head"))
+    both = own.join(heads, "doc_id").select("doc_id", "prev_id", "text", "head").unionByName(nameless)
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - third), F.substr(F.coalesce("head", F.lit("")), F.lit(1), third))
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - third), F.substr("head", F.lit(1), third))
     return both.select("doc_id", "prev_id", "text", edited.alias("edited"))
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside its edited text's and its next document's."""
     pairs = cut(neighbours(docs))
-    words = cut(lexicon(docs))
-    both = edited_texts(docs, pairs).withColumn("row", F.monotonically_increasing_id())
-    facts = [F.col("doc_id"), F.col("row"), F.col("prev_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
-    forms = both.select(*facts, F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("x"))
-    keys = ["doc_id", "row", "prev_id", "n_chars", "edited_sha256", "form"]
-    each = fingerprints(forms.select(*keys[:-1], "x.form", "x.text"), words, keys)
-    rows = each.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("form") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("form") == 1, F.col("fingerprint"))).alias("edited_fp"))
-    rows = cut(rows)
+    bits = bit_set(lexicon(docs))
+    both = edited_texts(docs, pairs)
+    facts = both.select("doc_id", "prev_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    printed = with_fingerprint(with_fingerprint(facts, bits, "text", "fp"), bits, "edited", "edited_fp")
+    rows = cut(printed.select("doc_id", "prev_id", "n_chars", "edited_sha256", "fp", "edited_fp"))
     after = rows.where("prev_id is not null").groupBy(F.col("prev_id").alias("doc_id")).agg(F.min("fp").alias("next_fp"))
     return rows.join(after, "doc_id", "left").select(
         "doc_id",
