@@ -32,12 +32,16 @@ OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 LIST_END = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 #: Words in classes, ids and roles that mark what isn't the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|breadcrumbs?|menu\w*|nav\w*|navbar|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|replies|reply|disqus\w*|respond|discussion|cookies?|consent|gdpr|notice\w*|alert\w*|modal\w*|popup\w*|overlay|newsletter\w*|subscribe\w*|signup|login|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|tags?|pagination|pager|copyright|legal|disclaimer|hidden|skip\w*|toc|banner|complementary|contentinfo|navigation|form)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+NOISE_WORDS = """ad ads adv adbox adslot adunit advert\\w* adsense banner\\w* sponsor\\w* promo\\w* breadcrumbs? \\w*menu\\w* nav\\w* \\w*nav
+\\w*sidebar\\w* side aside \\w*footer\\w* foot \\w*header masthead topbar toolbar comment comments commentlist \\w*comments replies reply disqus\\w*
+respond discussion cookie\\w* consent gdpr notice\\w* notification\\w* alert\\w* modal\\w* popup\\w* overlay newsletter\\w* subscribe\\w* subscription
+signup login search\\w* share\\w* sharing social\\w* related\\w* recommend\\w* widget\\w* tags? pagination pager copyright legal disclaimer
+hidden skip\\w* toc complementary contentinfo navigation form"""
+NOISE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NOISE_WORDS.split()) + r")\d*(?:$|[\s_-])", re.IGNORECASE)
+#: A small letter before a capital starts a new word of a name.
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Names that only say what an element has beside it.
-ABOUT = re.compile(r"\b(?:has|with|no|without)[-_]\S+", re.IGNORECASE)
+ABOUT = re.compile(r"\b(?:has|with|no|without)[-_]\S+|\b(?:article|entry|post|story)[-_]header\b", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -63,7 +67,7 @@ def _is_noise(name: str, attributes: str) -> bool:
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN_STYLE.search(value):
             return True
-        if key in ("class", "id", "role") and NOISE.search(ABOUT.sub("", value)):
+        if key in ("class", "id", "role") and NOISE.search(CAMEL.sub("-", ABOUT.sub("", value))):
             return True
     return False
 

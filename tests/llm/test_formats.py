@@ -121,6 +121,18 @@ def test_main_text(body, expected):
     assert htmltext.main_text(PAGE % body) == expected
 
 
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "adslot 2", "topAd", "reader-comments", "commentList", "cookiebar", "siteFooter", "sidebar-left", "notice", "main-nav", "share-buttons"])
+def test_noise_names(name):
+    page = f"<body><div class='post has-sidebar'><p>Text, of the article. Long enough.</p><div class='{name}'><p>Noise, of some kind. Also long.</p></div></div></body>"
+    assert htmltext.main_text(page) == "Text, of the article. Long enough."
+
+
+@pytest.mark.parametrize("name", ["post-header", "lead", "additional", "addressing", "chapter", "document"])
+def test_content_names(name):
+    page = f"<body><div class='post'><div class='{name}'><h1>Head, line.</h1></div><p>Text, of the article. Long enough.</p></div></body>"
+    assert htmltext.main_text(page) == "Head, line.\nText, of the article. Long enough."
+
+
 def test_main_text_of_odd_pages(spark):
     assert htmltext.main_text("") == "" and htmltext.main_text("<html><nav>x</nav>") == "" and htmltext.main_text("<<<>") == "<<<>"
     assert htmltext.main_text("just text") == "just text" and htmltext.main_text("<!-- never closed <p>x</p>") == ""
