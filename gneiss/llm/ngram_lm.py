@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores from count tables over the whole corpus.
 
 The relations are the exploded n-grams (document block, n-gram) and one count table
-(n-gram, count), both partitioned by n-gram hash. To keep 8 bytes a row they are held in packed
+(n-gram, count), both partitioned by n-gram hash. To take few bytes a row they are held in packed
 columns: one record for each block and bucket has the sorted distinct hashes of a block's
 n-grams in that bucket, with their counts. A bucket sums the counts of equal hashes over all
 blocks (the count table), joins them to the records by merging, and each block gets its counts
@@ -26,14 +26,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import cut
+from gneiss.llm.common import WordHashes, cut
 
 ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: Bytes of text in a block, and distinct hashes of all blocks in a bucket, about.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 BUCKET_KEYS = 2_000_000
+#: Bits of an n-gram's hash that are kept. Of 10**12 different n-grams one in 4,500 would share
+#: another's hash.
+KEY_BITS = 52
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,19 +50,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and the number of words of each text."""
-    import xxhash
-
-    class Known(dict):
-        def __missing__(self, word):
-            value = self[word] = xxhash.xxh64_intdigest(word, 7)
-            return value
-
-    known, parts = Known(), []
+    known, parts = WordHashes(), []
     for text in texts:
         words = text.lower().split()
         parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        if len(known) > 2_000_000:
-            known.clear()
+        known.trim()
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
 
 
@@ -95,12 +90,12 @@ def _texts(frame) -> list[bytes]:
 
 
 def _all_keys(grams: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-    return np.concatenate([g[place >= n] for n, g in enumerate(grams)])
+    return np.concatenate([g[place >= n] for n, g in enumerate(grams)]) >> np.uint64(64 - KEY_BITS)
 
 
 def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket begins and the last ends in sorted keys; buckets are the upper bits."""
-    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits)
     return np.append(np.searchsorted(keys, starts), len(keys))
 
 
