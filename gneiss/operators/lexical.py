@@ -47,57 +47,63 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
-def _matches(chunks: DataFrame, terms: list[str], key: str) -> DataFrame:
-    """(key, wanted terms with their frequencies, length) of the chunks that hold every term.
+def _counted(chunks: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, length, a0, b0, a1, ...): how often each term stands in path (a) and content (b).
 
-    Term frequencies are counted inside the row, so nothing is shuffled to match.
+    Frequencies are counted inside the row, so nothing is shuffled to match.
     """
-    both = F.concat(text.tokens(F.col("chapter_path")), text.tokens(F.col("content")))
-    held = chunks.select(key, text.tokens(F.col("chapter_path")).alias("a"), text.tokens(F.col("content")).alias("b"), F.size(both).alias("length"))
-    counts = []
-    for field in ("a", "b"):
-        wanted = F.filter(field, lambda t: t.isin(terms))
-        counts += [F.size(F.filter(wanted, _is(t))).alias(f"{field}{i}") for i, t in enumerate(terms)]
-    return held.select(key, "length", *counts)
+    held = chunks.select(key, text.tokens(F.col("chapter_path")).alias("a"), text.tokens(F.col("content")).alias("b"))
+    wanted = held.select(key, (F.size("a") + F.size("b")).alias("length"), *[F.filter(f, lambda t: t.isin(terms)).alias(f) for f in ("a", "b")])
+    counts = [F.size(F.filter(f, _is(t))).alias(f"{f}{i}") for i, t in enumerate(terms) for f in ("a", "b")]
+    return wanted.select(key, "length", *counts)
 
 
 def _is(term: str):
     return lambda t: t == term
 
 
-def _all_terms(n: int):
-    found = F.lit(True)
-    for i in range(n):
-        found = found & (F.col(f"a{i}") + F.col(f"b{i}") > 0)
-    return found
+def _bm25(facts, i: int, k1: float, b: float):
+    tf = F.col(f"a{i}") + F.col(f"b{i}")
+    idf = F.log(1.0 + (F.lit(float(facts["n"])) - facts[f"d{i}"] + 0.5) / (F.lit(float(facts[f"d{i}"])) + 0.5))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(facts["mean"] or 1.0)))
 
 
-def match_all(chunks: DataFrame, terms: list[str], key: str = "chunk_id") -> DataFrame:
-    """(key, wtf) of the chunks that hold every term in either field. No term, no match."""
-    if not terms:
-        return chunks.select(key, F.lit(0.0).alias("wtf")).limit(0)
-    found = _matches(chunks, terms, key).where(_all_terms(len(terms)))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        for field, weight in (("a", WEIGHTS["A"]), ("b", WEIGHTS["B"])):
-            tf = F.col(f"{field}{i}")
-            score = score + F.lit(weight) * tf / (tf + 1.0)
-    return found.select(key, F.round(score, PLACES).alias("wtf"))
+def _wtf(i: int):
+    parts = [F.lit(w) * F.col(f"{f}{i}") / (F.col(f"{f}{i}") + 1.0) for f, w in (("a", WEIGHTS["A"]), ("b", WEIGHTS["B"]))]
+    return parts[0] + parts[1]
 
 
-def bm25(chunks: DataFrame, terms: list[str], key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, bm25) of the chunks that hold every term, with statistics over all ``chunks``.
+def score_all(chunks: DataFrame, queries: dict[int, list[str]], ranking: str = "bm25", key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score) of every chunk that holds all terms of a query; no term, no match.
 
-    One pass counts the statistics (a row), the other scores.
+    All queries share one pass that counts (for ``bm25``) and one that scores, so take them in
+    blocks of some dozens. Statistics are over all ``chunks``.
     """
-    if not terms:
-        return chunks.select(key, F.lit(0.0).alias("bm25")).limit(0)
-    counted = _matches(chunks, terms, key)
-    n = len(terms)
-    facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"a{i}") + F.col(f"b{i}") > 0).alias(f"d{i}") for i in range(n)]).first()
-    score = F.lit(0.0)
-    for i in range(n):
-        tf = F.col(f"a{i}") + F.col(f"b{i}")
-        idf = F.log(1.0 + (F.lit(float(facts["n"])) - facts[f"d{i}"] + 0.5) / (F.lit(float(facts[f"d{i}"])) + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(facts["mean"] or 1.0)))
-    return counted.where(_all_terms(n)).select(key, F.round(score, PLACES).alias("bm25"))
+    terms = sorted({t for q in queries.values() for t in q})
+    asked = {q: sorted({terms.index(t) for t in own}) for q, own in queries.items() if own}
+    if not asked:
+        return chunks.select(F.lit(None).cast("bigint").alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
+    counted = _counted(chunks, terms, key)
+    facts = None
+    if ranking == "bm25":
+        held = [F.count_if(F.col(f"a{i}") + F.col(f"b{i}") > 0).alias(f"d{i}") for i in range(len(terms))]
+        facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *held).first()
+    hits = []
+    for q, places in sorted(asked.items()):
+        found, score = F.lit(True), F.lit(0.0)
+        for i in places:
+            found = found & (F.col(f"a{i}") + F.col(f"b{i}") > 0)
+            score = score + (_bm25(facts, i, k1, b) if ranking == "bm25" else _wtf(i))
+        hits.append(F.when(found, F.struct(F.lit(q).cast("bigint").alias("query_id"), F.round(score, PLACES).alias("score"))))
+    dealt = counted.select(key, F.explode_outer(F.array(*hits)).alias("hit"))
+    return dealt.where(F.col("hit").isNotNull()).select("hit.query_id", key, "hit.score")
+
+
+def match_all(chunks: DataFrame, terms: list[str], key: str = "chunk_id") -> DataFrame:
+    """(key, wtf) of the chunks that hold every term in either field."""
+    return score_all(chunks, {0: terms}, "wtf", key).select(key, F.col("score").alias("wtf"))
+
+
+def bm25(chunks: DataFrame, terms: list[str], key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, bm25) of the chunks that hold every term."""
+    return score_all(chunks, {0: terms}, "bm25", key, k1, b).select(key, F.col("score").alias("bm25"))

@@ -39,13 +39,14 @@ def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str], rrf_k: int = 60
     return both.withColumn("rrf_score", F.round(part("rank_vec") + part("rank_kw"), PLACES))
 
 
-def keyword_ranks(chunks: DataFrame, queries: dict, k: int, ranking: str = "bm25", key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, rank_kw) of the ``k`` best matches of each query."""
+def keyword_ranks(chunks: DataFrame, queries: dict, k: int, ranking: str = "bm25", key: str = "chunk_id", block: int = 40) -> DataFrame:
+    """(query_id, key, rank_kw) of the ``k`` best matches of each query, in blocks of queries."""
+    asked = [(q, lexical.query_terms(t)) for q, t in sorted(queries.items())]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     out = None
-    for query_id, query in sorted(queries.items()):
-        terms = lexical.query_terms(query)
-        scored = lexical.bm25(chunks, terms, key) if ranking == "bm25" else lexical.match_all(chunks, terms, key)
-        one = ranked(scored, ranking, "rank_kw", k, key).select(F.lit(query_id).cast("bigint").alias("query_id"), key, F.col("rank_kw").cast("bigint").alias("rank_kw"))
+    for lo in range(0, max(1, len(asked)), block):
+        scored = lexical.score_all(chunks, dict(asked[lo : lo + block]), ranking, key)
+        one = scored.withColumn("rank_kw", F.row_number().over(order).cast("bigint")).where(F.col("rank_kw") <= k).select("query_id", key, "rank_kw")
         out = one if out is None else out.union(one)
     return out
 

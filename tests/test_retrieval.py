@@ -128,3 +128,13 @@ def test_retries():
     assert len(seen) == 3 and naps == [1.5, 3.0]
     with pytest.raises(RuntimeError):
         models.with_retries(fail, 2, 0.0, None, naps.append)
+
+
+def test_many_queries_in_one_pass(chunks):
+    queries = {3: "the cat", 5: "dog", 7: "", 9: "nowhere", 11: "and p"}
+    got = {}
+    for r in retrieval.keyword_ranks(chunks, queries, 4, block=2).collect():
+        got.setdefault(r.query_id, {})[r.rank_kw] = r.chunk_id
+    for q, words in queries.items():
+        alone = retrieval.ranked(lexical.bm25(chunks, lexical.query_terms(words)), "bm25", "rank_kw", 4).collect()
+        assert got.get(q, {}) == {r.rank_kw: r.chunk_id for r in alone}
