@@ -122,16 +122,12 @@ def _learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
     rate = toxic / (toxic + clean)
     share = F.col("a") / (F.col("a") + F.col("b"))
     ratio = 2 * (F.col("a") * F.log(share / F.lit(rate)) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / F.lit(1 - rate))).otherwise(0.0))
-    tried = F.count("*").over(_by_kind())
-    strong = (
-        counted.withColumn("kind", F.when(F.col("term").startswith("w:"), 0).otherwise(F.length("term")))
-        .withColumn("tried", tried)
-        .where((F.col("a") > 0) & (share >= 0.5))
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= 2 * F.log(F.col("tried") + F.lit(1.0)))
-        .orderBy(F.desc("ratio"), "term")
-        .limit(MAX_LEXICON)
-    )
+    counted = cut(counted.withColumn("kind", F.when(F.col("term").startswith("w:"), 0).otherwise(F.length("term"))))
+    tried = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row for each kind
+    bar = F.lit(0.0)
+    for kind, n in tried.items():
+        bar = F.when(F.col("kind") == kind, 2 * log(n + 1)).otherwise(bar)
+    strong = counted.where((F.col("a") > 0) & (share >= 0.5)).withColumn("ratio", ratio).where(F.col("ratio") >= bar).orderBy(F.desc("ratio"), "term").limit(MAX_LEXICON)
     words, stems = {}, {}
     for r in strong.collect():  # at most MAX_LEXICON rows
         odds = log((r["a"] + 0.5) / (toxic - r["a"] + 0.5)) - log((r["b"] + 0.5) / (clean - r["b"] + 0.5))
@@ -139,12 +135,6 @@ def _learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
     return Lexicon(words, stems)
 
 
-def _by_kind():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("kind")
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
     """Learn lexicon, trees and calibration from at most ``max_rows`` labelled rows."""
     sample = cut(label_sample(docs, labels, "toxic", max_rows))
