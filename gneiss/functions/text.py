@@ -50,6 +50,12 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
+def file_name() -> Column:
+    """The plain name of the file that a row was read from."""
+    last = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+
+
 def stem_of(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 

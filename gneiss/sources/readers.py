@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss import schemas
-from gneiss.functions.text import stripped
+from gneiss.functions.text import file_name, stripped
 
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,8 +16,7 @@ def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     A missing folder raises, as any reader of a missing path does.
     """
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return files.select(F.url_decode(name).alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("text")) != "")
+    return files.select(file_name().alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("text")) != "")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -44,11 +44,11 @@ def ingest_files(spark, folder: str, path: str, checkpoint: str, manual: str = "
     The key of a chunk depends only on its file, so a batch that runs again changes nothing. Headings
     and overlaps carry on inside a batch, not from one batch to the next.
     """
-    from gneiss.functions.text import stripped
+    from gneiss.functions.text import file_name, stripped
     from gneiss.operators import ingest, merge
 
     files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
-    named = files.select(F.lit(manual).alias("manual"), F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("value")) != "")
+    named = files.select(F.lit(manual).alias("manual"), file_name().alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("value")) != "")
 
     def absorb(batch: DataFrame, number: int) -> None:
         fresh = ingest.ingest(batch, **how)

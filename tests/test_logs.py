@@ -78,10 +78,10 @@ def test_snapshot_and_readers(spark, tmp_path):
     merge.write_snapshot(spark.createDataFrame(rows, schemas.MANUAL_CHUNKS), str(tmp_path / "s"))
     assert readers.chunks(spark, str(tmp_path / "s")).where("chunk_type = 'text'").count() == 1
     (tmp_path / "m").mkdir()
-    (tmp_path / "m" / "a b.md").write_text("# T\nx", encoding="utf-8")
+    (tmp_path / "m" / "a b+c.md").write_text("# T\nx", encoding="utf-8")
     (tmp_path / "m" / "blank.md").write_text(" \n ")
     (tmp_path / "m" / "no.txt").write_text("x")
-    assert [tuple(r) for r in readers.markdown_files(spark, str(tmp_path / "m")).collect()] == [("a b.md", "# T\nx")]
+    assert [tuple(r) for r in readers.markdown_files(spark, str(tmp_path / "m")).collect()] == [("a b+c.md", "# T\nx")]
     with pytest.raises(Exception):
         readers.markdown_files(spark, str(tmp_path / "none")).count()
     (tmp_path / "b.json").write_text(json.dumps([{"id": "T1", "query": "q", "expected_files": ["f"], "required_keywords": [], "expected_type": "text", "description": ""}]))
