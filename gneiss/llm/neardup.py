@@ -201,7 +201,8 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: flo
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest doc_id reachable by links."""
+    """(doc_id, fp, root, component_id) of every row: the smallest doc_id reachable by links, and
+    a hash that names the component."""
     made = cut(_fingerprints(docs))
     reps = cut(made.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
     named = reps.where("rep is not null")

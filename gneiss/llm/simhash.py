@@ -207,39 +207,40 @@ def edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest doc_id reachable by links."""
+    """(doc_id, fp, root, component_id) of every row: the smallest doc_id reachable by links, and
+    a fingerprint that names the component."""
     base = cut(with_simhash(docs.select("doc_id", "text"), "fp", width).select("doc_id", "fp"))
     reps = cut(base.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     return named_by_least(base, reps, roots(edges(reps.select("fp"), radius)))
 
 
 def named_by_least(base: DataFrame, reps: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of ``base`` (doc_id, fp): the smallest id in its
-    component, from ``reps`` (fp, rep) and the roots of those that have links."""
+    """(doc_id, fp, root, component_id) of each row of ``base`` (doc_id, fp): a fingerprint that
+    names its component, and the smallest id there, from ``reps`` (fp, rep) and the roots of those
+    that have links."""
     member = cut(rooted.withColumnRenamed("node", "fp").join(reps.select("fp", "rep"), "fp"))
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
-    label = member.join(least, "root").select("fp", "least")
-    named = cut(reps.join(label, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return base.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    label = member.join(least, "root").select("fp", "root", "least")
+    named = cut(reps.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id")))
+    return base.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, mark) -> DataFrame:
-    """``docs`` with one row of each group in ``found`` (doc_id, fp, component_id): the one with
-    the smallest id. ``mark`` adds a row's fp as a column.
+    """``docs`` with one row of each group in ``found`` (doc_id, fp, root, component_id): the one
+    with the smallest id. ``mark`` adds a row's fp as a column.
 
-    Rows without an id stay only where no row of their group has one, and then one of them for
-    each fp.
+    Rows without an id stay only where no row of their group has one, and then one of them.
     """
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
-    # What follows concerns only tables with null or repeated ids.
-    again = cut(found.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id")))
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    odd, same = broadcast_if_small(again), F.col("doc_id").eqNullSafe(F.col("__id"))
-    single = kept.join(odd, same, "left_anti")
-    repeated = mark(kept.join(odd, same, "left_semi"), "__fp")
-    with_id = repeated.where("doc_id is not null").dropDuplicates(["doc_id"])
-    named = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
-    nameless = repeated.where("doc_id is null").join(named, "__fp", "left_anti").dropDuplicates(["__fp"])
-    return single.select(docs.columns).unionByName(with_id.select(docs.columns)).unionByName(nameless.select(docs.columns))
+    # Ids that repeat, or are null, don't tell which of their rows is meant.
+    odd = cut(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if odd.isEmpty():
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    some = broadcast_if_small(odd)
+    single = docs.join(some, same, "left_anti").join(broadcast_if_small(gone), "doc_id", "left_anti")
+    named = found.join(some, same, "left_semi").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component")).distinct()
+    repeated = mark(docs.join(some, same, "left_semi"), "__fp").join(named, "__fp")
+    first = repeated.where("doc_id = __component").dropDuplicates(["__root"])
+    nameless = repeated.where("__component is null").dropDuplicates(["__root"])
+    return single.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(nameless.select(docs.columns))

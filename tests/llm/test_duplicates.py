@@ -108,6 +108,13 @@ def test_groups_of_odd_tables(spark):
         assert keep(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_of_different_texts(spark):
+    """Every group keeps one row, also where an id stands for several texts."""
+    df = spark.createDataFrame([(5, "p q r s t u"), (5, "a b c d e f"), (2, "A b c d e f"), (9, "p q r s t u"), (7, "x y"), (7, "z z z")], DOCS)
+    for keep in (neardup.keep_one, lambda d: simhash.keep_one(d, simhash.near_duplicates(d), simhash.with_simhash)):
+        assert sorted((r.doc_id, r.text) for r in keep(df).collect()) == [(2, "A b c d e f"), (5, "p q r s t u"), (7, "x y"), (7, "z z z")]
+
+
 def test_exact_links_connect_chains():
     sets = [np.arange(i, i + 40, dtype=np.uint64) for i in (0, 3, 6, 9, 100, 102)]
     assert union(6, neardup.exact_links(sets, 0.8)) == [0, 0, 0, 0, 4, 4]
