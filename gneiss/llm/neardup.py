@@ -1,13 +1,15 @@
-"""Near-duplicate documents by shingle similarity, with SimHash candidates from pivot tables.
+"""Near-duplicate documents by shingle similarity, with MinHash candidates from pivot tables.
 
 Documents link if at least ``THRESHOLD`` of the distinct five-word shingles of both are shared.
-Each text gets a 128-bit SimHash of its distinct words, which near-duplicates share but for a few
-bits. Fingerprints are dealt out by random subsets of their bits; so many subsets that a pair at
-the threshold meets in one of them with probability ``RECALL``, and closer pairs all the surer. The
-number of bits grows with the logarithm of the number of texts, so groups stay small. Inside each
-group pivot distance tables discard pairs by their largest coordinate difference, and the
-survivors within the radius make candidate groups. In those the shingles themselves are compared,
-so that no document is linked but for its text.
+Each text gets the least hashes of its distinct shingles under ``MINIMA`` hash functions. One of
+them is equal for two texts with a probability that is their similarity, whatever was edited and
+where: scattered words, a cut, an added or an inserted passage. Texts are dealt out by runs of
+``BAND`` minima; so many runs that a pair at the threshold meets in one of them with probability
+``RECALL``, and closer pairs all the surer. The number of runs doesn't depend on the number of
+texts. One bit of each of 128 minima makes a fingerprint, in which the bits of a pair at the
+threshold differ with probability 0.1. Inside each group pivot distance tables discard pairs by
+their largest coordinate difference, and the survivors within the radius make candidate groups.
+In those the shingles themselves are compared, so that no document is linked but for its text.
 
 A candidate group never emits its pairs: documents are joined to classes one after the other, and
 a class is done as soon as one of its members links. Groups beyond a number of bytes are cut into
@@ -21,7 +23,7 @@ for equality; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import ceil, log, log2
+from math import ceil, comb, log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,30 +36,71 @@ from gneiss.llm.components import roots
 
 THRESHOLD = 0.8
 SHINGLE = 5
-#: Hamming radius of 128-bit fingerprints. At the threshold 9 bits differ on the mean, 17 at most in
-#: what was measured; unrelated texts differ in 62.
-RADIUS = 24
-RECALL = 0.995
-#: Probability that a bit is equal at the threshold.
-BIT_EQUAL = 0.93
+#: Probability that a pair at the threshold meets, and that its fingerprints are within the radius.
+RECALL, WITHIN = 0.9999, 0.999995
+#: Minima in a row that make a key, and bits of a fingerprint.
+BAND, BITS = 5, 128
+#: Shingles that are hashed at a time.
+STEP = 256
 #: Bytes of shingles that a part of a candidate group holds, about, and its documents at most.
 PART_BYTES, PART_ROWS = 32_000_000, 500
 
 
-def word_simhash(words: set[bytes], known: WordHashes) -> tuple[int, int]:
-    """128-bit SimHash of a set of words, as two signed longs."""
-    if not words:
-        return 0, 0
+def bands(threshold: float) -> int:
+    """How many keys a text is dealt by."""
+    return ceil(log(1 - RECALL) / log(1 - threshold**BAND))
+
+
+def radius(threshold: float) -> int:
+    """Bits that differ at most, but for 1 - ``WITHIN`` of the pairs at the threshold."""
+    p, r, upto = (1 - threshold) / 2, 0, (1 - (1 - threshold) / 2) ** BITS
+    while upto < WITHIN:
+        r += 1
+        upto += comb(BITS, r) * p**r * (1 - p) ** (BITS - r)
+    return r
+
+
+def hash_functions(threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd factors, one for each minimum."""
+    salts = np.random.default_rng(20240502).integers(0, 2**64, (2, max(BITS, bands(threshold) * BAND)), np.uint64)
+    return salts[0], salts[1] | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def shingle_hashes(words: list[bytes], width: int, known: WordHashes) -> np.ndarray:
+    """Hashes of the shingles as they follow, made of those of their words."""
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    out = []
-    for salt in (1, 2):
-        x = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view("<i8")[0]))
-    return out[0], out[1]
+    size = min(width, len(h))
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = _mixed(out ^ h[i : i + len(out)])
+    return out
+
+
+def minima(hashes: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each function."""
+    least = np.full(len(masks), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), STEP):
+        np.minimum(least, ((hashes[at : at + STEP] ^ masks[:, None]) * factors[:, None]).min(axis=1), out=least)
+    return least
+
+
+def sketch(least: np.ndarray, count: int) -> tuple[int, int, list[int]]:
+    """(s0, s1, keys): the fingerprint as two signed longs, and a key for each of ``count`` bands."""
+    mixed = _mixed(least)
+    s0, s1 = np.packbits((mixed[:BITS] & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8").tolist()
+    rows = mixed[: count * BAND].reshape(count, BAND)
+    keys = np.arange(count, dtype=np.uint64)
+    for i in range(BAND):
+        keys = _mixed(keys ^ rows[:, i])
+    return s0, s1, keys.view(np.int64).tolist()
 
 
 def text_key(words: list[bytes]) -> int:
@@ -95,46 +138,32 @@ def with_key(docs: DataFrame, name: str) -> DataFrame:
     return _utf8(kept).mapInArrow(run, schema)
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
+def _fingerprints(docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    count = bands(threshold)
+
     def run(batches):
         import pyarrow as pa
 
         known = WordHashes()
+        masks, factors = hash_functions(threshold)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
-                rows.append((text_key(words), *word_simhash(set(words), known)))
+                rows.append((text_key(words), *sketch(minima(shingle_hashes(words, width, known), masks, factors), count)))
             known.trim()
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "fp", "s0", "s1"])
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            kinds = [*[pa.int64()] * 3, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "fp", "s0", "s1", "keys"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, s0 bigint, s1 bigint"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, s0 bigint, s1 bigint, keys array<bigint>"
     return _utf8(docs.select("doc_id", "text")).select("doc_id", "__utf8").mapInArrow(run, schema)
 
 
-def bit_tables(n_rows: int) -> list[tuple[int, int]]:
-    """Masks over both longs: enough bits for the number of rows, enough tables for the recall."""
-    bits = min(64, max(16, ceil(log2(max(2, n_rows))) + 3))
-    count = ceil(log(1 - RECALL) / log(1 - BIT_EQUAL**bits))
-    rng = np.random.default_rng(20240502)
-    masks = []
-    for _ in range(count):
-        low = high = 0
-        for b in rng.permutation(128)[:bits].tolist():
-            if b < 64:
-                low |= 1 << b
-            else:
-                high |= 1 << (b - 64)
-        masks.append(tuple(m - (1 << 64) if m >> 63 else m for m in (low, high)))
-    return masks
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """Edges between fingerprints (fp, s0, s1) within the radius that some table brings together."""
-    keys = [F.xxhash64(F.lit(t), F.col("s0").bitwiseAND(F.lit(a)), F.col("s1").bitwiseAND(F.lit(b))) for t, (a, b) in enumerate(bit_tables(reps.count()))]
-    dealt = reps.select(F.explode(F.array(*keys)).alias("key"), "fp", "s0", "s1")
-    return simhash.links_within(dealt, ["s0", "s1"], "fp", RADIUS)
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """Edges between fingerprints (fp, s0, s1, keys) within the radius that share a key."""
+    dealt = reps.select(F.explode("keys").alias("key"), "fp", "s0", "s1")
+    return simhash.links_within(dealt, ["s0", "s1"], "fp", radius(threshold))
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -203,10 +232,10 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: flo
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, root, component_id) of every row: the smallest doc_id reachable by links, and
     a hash that names the component."""
-    made = cut(_fingerprints(docs))
-    reps = cut(made.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
+    made = cut(_fingerprints(docs, threshold, width))
+    reps = cut(made.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("s0", "s1", "keys")]))
     named = reps.where("rep is not null")
-    linked = verified(docs, named, roots(candidates(named)), threshold, width)
+    linked = verified(docs, named, roots(candidates(named, threshold)), threshold, width)
     return simhash.named_by_least(made.select("doc_id", "fp"), reps, roots(linked))
 
 

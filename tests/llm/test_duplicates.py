@@ -101,6 +101,39 @@ def test_shingle_groups(spark, corpus, monkeypatch, part):
     assert kept == set(expected)
 
 
+def test_block_edits_at_the_threshold_link(spark):
+    """Cut copies, and copies with a passage of new words added or inserted, at 0.8 to 0.9."""
+    rng = random.Random(23)
+    texts = []
+    for k in range(240):
+        base = [f"w{int(rng.paretovariate(0.6)) % 50_000}" for _ in range(rng.randint(60, 900))]
+        new = [f"r{rng.randrange(10**9)}" for _ in range(int(len(base) * rng.uniform(0.12, 0.23)))]
+        at = rng.randrange(len(base))
+        texts += [base, (base[len(new) :], base + new, base[:at] + new + base[at:])[k % 3]]
+    sets = [set(neardup.shingle_set([w.encode() for w in t], 5).tolist()) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    near = [k for k, s in enumerate(alike) if s >= 0.8]
+    assert len(near) > 150 and sum(s < 0.84 for s in alike) > 50
+    assert [k for k in near if got[2 * k + 1] != 2 * k] == []
+    assert all(got[2 * k + 1] == 2 * k + 1 for k, s in enumerate(alike) if s < 0.8)
+
+
+def test_minima_agree_as_texts_do():
+    """The share of equal minima and of equal bits follows the similarity, for any place of the edit."""
+    masks, factors = neardup.hash_functions(0.8)
+    rng = np.random.default_rng(3)
+    minima, bits = [], []
+    for _ in range(300):
+        both = rng.integers(0, 2**64, 480, np.uint64)
+        a, b = (neardup.minima(h, masks, factors) for h in (both[:432], both[48:]))
+        minima.append((a == b).mean())
+        x, y = (np.array(neardup.sketch(m, 1)[:2]).view(np.uint64) for m in (a, b))
+        bits.append(int(np.bitwise_count(x ^ y).sum()))
+    assert abs(np.mean(minima) - 0.8) < 0.01 and abs(np.mean(bits) - 12.8) < 0.8 and max(bits) <= neardup.radius(0.8)
+
+
 def test_groups_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "abc d e"), (1, "abc d e"), (None, "abc d e"), (None, "zz y"), (None, "zz y"), (2, None), (3, "")], DOCS)
     for keep in (neardup.keep_one, lambda d: simhash.keep_one(d, simhash.near_duplicates(d), simhash.with_simhash)):
