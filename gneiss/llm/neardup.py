@@ -17,8 +17,8 @@ parts that are compared two by two.
 
 Defined results: ASCII letters count as lower case and words stand between ASCII white space; texts
 with the same words in the same order are equal; a text of fewer than five words has one
-shingle, all of it; null and empty texts are equal; documents without an id are only compared
-for equality; an empty table gives an empty result.
+shingle, all of it; null and empty texts are equal; documents without an id are compared
+like others, and name no group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -201,8 +201,13 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: flo
     ``groups`` is (node, root) of candidate groups; only their texts' shingles are shuffled.
     """
     wanted = cut(groups.withColumnRenamed("node", "fp").join(reps.select("fp", "rep"), "fp"))
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = _utf8(docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")).select("__utf8")
+    ids = wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    nameless = wanted.where("rep is null").select("fp")
+    if not nameless.isEmpty():
+        found = with_key(docs.where("doc_id is null").select("doc_id", "text"), "fp").join(broadcast_if_small(nameless), "fp", "left_semi")
+        texts = texts.union(found.select("doc_id", "text"))
+    texts = _utf8(texts).select("__utf8")
 
     def shingled(batches):
         import pyarrow as pa
@@ -234,8 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     a hash that names the component."""
     made = cut(_fingerprints(docs, threshold, width))
     reps = cut(made.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("s0", "s1", "keys")]))
-    named = reps.where("rep is not null")
-    linked = verified(docs, named, roots(candidates(named, threshold)), threshold, width)
+    linked = verified(docs, reps, roots(candidates(reps, threshold)), threshold, width)
     return simhash.named_by_least(made.select("doc_id", "fp"), reps, roots(linked))
 
 

@@ -206,6 +206,19 @@ def test_leaks_odd_tables(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
+def test_rows_are_judged_by_their_texts(spark):
+    """A leak takes its own row only, where ids are null or repeat; near copies without ids go."""
+    leak, words = "x a b c d e f y", [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(None, leak), (None, "clean one"), (4, leak), (4, "clean two"), (5, leak)], DOCS)
+    items = spark.createDataFrame([(7, "a b c d e f")], "item_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.without_leaks(df, items).collect()) == [(0, "clean one"), (4, "clean two")]
+    near = [" ".join(w) for w in (words, [*words, "new"], words[1:])]
+    far = [" ".join(reversed(words)), " ".join([*reversed(words), "new"])]
+    df = spark.createDataFrame([(None, near[0]), (None, near[1]), (8, near[2]), (None, far[0]), (None, far[1])], DOCS)
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(df).collect()]
+    assert len(kept) == 2 and (8, near[2]) in kept and any(d is None and t in far for d, t in kept)
+
+
 def test_imatch_neighbours(spark):
     rng = random.Random(6)
     vocabulary = [f"t{i}" for i in range(120)]
