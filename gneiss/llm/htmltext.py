@@ -4,7 +4,9 @@ The page is read as a sequence of blocks, each with its tag path from the root.
 the lengths of text and the punctuation marks of all its blocks are summed and divided by the
 number of its blocks; the ratios are smoothed over the page's sequence of blocks, fused with each other and with the share of text outside of links, and paths under the threshold drop out.
 Paths through elements, or through classes and ids, that stand for menus, adverts, comments and
-the like have weight zero. The paths that are left name the content nodes, and the element
+the like have weight zero. A name says nothing against an article or main element, nor against
+an element with most of the page's plain text, unless an article or main stands outside of it.
+The paths that are left name the content nodes, and the element
 that holds them all gives the article: its blocks are the text, in page order.
 
 Defined results: a null or empty page has an empty text, and so has one without any content path;
@@ -37,7 +39,11 @@ NOISE_WORDS = """ad ads adv adbox adslot adunit advert\\w* adsense banner\\w* sp
 respond discussion cookie\\w* consent gdpr notice\\w* notification\\w* alert\\w* modal\\w* popup\\w* overlay newsletter\\w* subscribe\\w* subscription
 signup login search\\w* share\\w* sharing social\\w* related\\w* recommend\\w* widget\\w* tags? pagination pager copyright legal disclaimer
 hidden skip\\w* toc complementary contentinfo navigation form"""
-NOISE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NOISE_WORDS.split()) + r")\d*(?:$|[\s_-])", re.IGNORECASE)
+NOISE = re.compile(r"(?:" + "|".join(NOISE_WORDS.split()) + r")\d*", re.IGNORECASE)
+#: Words that, before others in a name, may as well say what an article is about.
+TOPIC = re.compile(r"tags?|social\w*|side|foot|legal|form", re.IGNORECASE)
+#: Last words of a name that don't say what an element is for.
+SHAPE = re.compile(r"wrap|wrapper|container|inner|outer|lists?|items?|links?|box|block|area|section|bar|buttons?|icons?|cloud|left|right|\d+", re.IGNORECASE)
 #: A small letter before a capital starts a new word of a name.
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Names that only say what an element has beside it.
@@ -52,31 +58,44 @@ SMOOTH = (0.25, 0.5, 0.25)
 
 
 class Block:
-    __slots__ = ("linked", "noise", "path", "text")
+    __slots__ = ("linked", "named", "noise", "path", "text")
 
-    def __init__(self, path, noise):
-        self.path, self.noise, self.text, self.linked = path, noise, [], 0
+    def __init__(self, path, noise, named):
+        self.path, self.noise, self.named, self.text, self.linked = path, noise, named, [], 0
 
 
-def _is_noise(name: str, attributes: str) -> bool:
+def _noise_name(value: str) -> bool:
+    """Whether a name among those of an attribute starts or ends with a word for noise."""
+    for name in ABOUT.sub("", value).split():
+        words = [w for w in re.split(r"[_-]+", CAMEL.sub("-", name)) if w]
+        while len(words) > 1 and SHAPE.fullmatch(words[-1]):
+            words.pop()
+        if words and (NOISE.fullmatch(words[-1]) or NOISE.fullmatch(words[0]) and not TOPIC.fullmatch(words[0])):
+            return True
+    return False
+
+
+def _noise(name: str, attributes: str) -> int:
+    """2 for an element that is never text, 1 for one whose names speak against it, else 0."""
     if name in DROPPED:
-        return True
+        return 2
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return True
-        if key in ("class", "id", "role") and NOISE.search(CAMEL.sub("-", ABOUT.sub("", value))):
-            return True
-    return False
+            return 2
+        if key in ("class", "id", "role") and name not in ("article", "main") and _noise_name(value):
+            found = 1
+    return found
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks: runs of text between block-level tags. A path is a tuple of
     (element, number) so that two elements of a name aren't mixed up."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, int]] = []
     current: Block | None = None
     at, serial, links = 0, 0, 0
 
@@ -88,7 +107,7 @@ def blocks(html: str) -> list[Block]:
             if raw.isspace():
                 return
             blocky = [(n, k) for n, k, _ in stack if n not in INLINE]
-            current = Block(tuple(blocky), any(x for _, _, x in stack))
+            current = Block(tuple(blocky), any(x == 2 for _, _, x in stack), [k for _, k, x in stack if x == 1])
             out.append(current)
         current.text.append(raw)
         if links:
@@ -158,12 +177,28 @@ def blocks(html: str) -> list[Block]:
         if m[3].endswith("/") and name not in INLINE:
             continue
         serial += 1
-        stack.append((name, serial, _is_noise(name, m[3])))
+        stack.append((name, serial, _noise(name, m[3])))
         if name == "a":
             links += 1
     return out
 
 
+def _by_names(found: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
+    """The blocks that no name speaks against; all of them where none would be left."""
+    held: dict[int, float] = {}
+    whole, own = 0.0, []
+    for b, clean in found:
+        plain = len(clean) * max(0.0, 1 - b.linked / max(1, sum(map(len, b.text))))
+        whole += plain
+        for k in b.named:
+            held[k] = held.get(k, 0.0) + plain
+        if any(n in ("article", "main") for n, _ in b.path):
+            own.append((set(b.named), plain))
+    # An article or main that stands outside of the large element says where the text is.
+    large = {k for k, n in held.items() if 2 * n > whole and not any(plain and k not in names for names, plain in own)}
+    return [f for f in found if large.issuperset(f[0].named)] or found
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks, joined by newlines."""
     found = []
@@ -174,6 +209,7 @@ def main_text(html: str) -> str:
                 found.append((b, clean))
     if not found:
         return ""
+    found = _by_names(found)
     labels = ["/".join(n for n, _ in b.path) for b, _ in found]
     of = {p: i for i, p in enumerate(dict.fromkeys(labels))}
     index = np.array([of[p] for p in labels])

@@ -133,6 +133,24 @@ def test_content_names(name):
     assert htmltext.main_text(page) == "Head, line.\nText, of the article. Long enough."
 
 
+@pytest.mark.parametrize(
+    "tag,name",
+    [("article", "post-12 post type-post hentry category-news tag-politics"), ("article", "social-history article"), ("main", "layout-sidebar main")]
+    + [("div", n) for n in ("content-sidebar-wrap", "sidebar-right container", "layout-sidebar main", "elementor-widget-theme-post-content", "post tag-politics")],
+)
+def test_names_alone_lose_no_article(tag, name):
+    text = "<h1>Head, line.</h1><p>Text, of the article. Long enough.</p><div class='reader-comments'><p>Noise, it is.</p></div>"
+    page = f"<body><div class='ad'><p>Buy, now.</p></div><{tag} class='{name}'>{text}</{tag}></body>"
+    assert htmltext.main_text(page) == "Head, line.\nText, of the article. Long enough."
+
+
+def test_names_of_posts_and_of_long_comments():
+    posts = "".join(f"<div class='post tag-news'><p>Text number {k}, of a post. Long enough.</p></div>" for k in range(3))
+    assert htmltext.main_text(f"<body>{posts}</body>").count("Text number") == 3
+    page = f"<body><article><p>Text, of the article. Long enough.</p></article><div id='comments'>{'<p>Noise, of some kind. Also long.</p>' * 9}</div></body>"
+    assert htmltext.main_text(page) == "Text, of the article. Long enough."
+
+
 def test_main_text_of_odd_pages(spark):
     assert htmltext.main_text("") == "" and htmltext.main_text("<html><nav>x</nav>") == "" and htmltext.main_text("<<<>") == "<<<>"
     assert htmltext.main_text("just text") == "just text" and htmltext.main_text("<!-- never closed <p>x</p>") == ""
