@@ -6,8 +6,8 @@ number of its blocks; the ratios are smoothed over the page's sequence of blocks
 Paths through elements, or through classes and ids, that stand for menus, adverts, comments and
 the like have weight zero. A name says nothing against an article or main element, nor against
 an element with most of the page's plain text, unless an article or main stands outside of it.
-The paths that are left name the content nodes, and the element
-that holds them all gives the article: its blocks are the text, in page order.
+All the paths that are left name the content nodes: the articles and mains that hold them, or the
+element around them all, give the text: their blocks, in page order, and content besides them.
 
 Defined results: a null or empty page has an empty text, and so has one without any content path;
 repeated pages have one row each; broken markup is read as far as it goes; all other columns pass
@@ -228,11 +228,10 @@ def main_text(html: str) -> str:
     fused = smoothed(chars) * np.sqrt(1 + smoothed(marks)) * share**2
     total = fused * count
     chosen = total >= THRESHOLD * total.max()
-    best = int(total.argmax())
-    # The element that holds the content: an article or main around the best path, else the
-    # innermost element around all its blocks.
+    # The elements that hold the content: articles and mains around content paths, else the
+    # innermost element around all their blocks. Content outside of an article stands for itself.
     paths = [b.path for b, _ in found]
-    core = [p for p, i in zip(paths, index, strict=True) if i == best]
+    core = [p for p, i in zip(paths, index, strict=True) if chosen[i]]
     roots = set()
     for p in core:
         named = [k for k, (n, _) in enumerate(p) if n in ("article", "main")]
@@ -248,11 +247,9 @@ def main_text(html: str) -> str:
         if common and common[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr"):
             common = common[:-1]
         roots = {common}
-    linked = share < 0.1
     kept = []
     for (b, clean), i in zip(found, index, strict=True):
-        inside = any(b.path[: len(r)] == r for r in roots)
-        if inside and not (linked[i] and not chosen[i]):
+        if chosen[i] or any(b.path[: len(r)] == r for r in roots):
             kept.append(clean)
     return "\n".join(kept)
 

@@ -151,6 +151,19 @@ def test_names_of_posts_and_of_long_comments():
     assert htmltext.main_text(page) == "Text, of the article. Long enough."
 
 
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        ("<div><h1>A title, of some length</h1><section><p>The intro, of one line.</p></section><div><p>First para, long enough. Good.</p><p>Second; fine, and longer.</p></div></div>", "A title, of some length\nThe intro, of one line.\nFirst para, long enough. Good.\nSecond; fine, and longer."),
+        ("<div class=lead><p>What leads, in a line.</p></div><article><p>First para, long enough. Good.</p><p>Second; fine.</p></article>", "What leads, in a line.\nFirst para, long enough. Good.\nSecond; fine."),
+        ("<article><p>First para, long enough. Good.</p></article><article><div><p>Other article, as long. Good.</p></div></article>", "First para, long enough. Good.\nOther article, as long. Good."),
+        ("<div><p>First para, long enough. Good.</p><p>Second; fine.</p><ul><li><a href=x>A reference</a></ul></div>", "First para, long enough. Good.\nSecond; fine.\nA reference"),
+    ],
+)
+def test_all_content_paths_select(body, expected):
+    assert htmltext.main_text(PAGE % body) == expected
+
+
 def test_main_text_of_odd_pages(spark):
     assert htmltext.main_text("") == "" and htmltext.main_text("<html><nav>x</nav>") == "" and htmltext.main_text("<<<>") == "<<<>"
     assert htmltext.main_text("just text") == "just text" and htmltext.main_text("<!-- never closed <p>x</p>") == ""
