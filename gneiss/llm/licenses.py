@@ -43,8 +43,15 @@ SENTENCES = {
     "gpl-3-later": ["under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl-2": ["licensed under the gnu general public license version 2", "under the terms of the gnu general public license version 2", "licensed under the gnu gpl version 2"],
     "gpl-3": ["licensed under the gnu general public license version 3", "under the terms of the gnu general public license version 3", "licensed under the gnu gpl version 3"],
+    "gpl-published": ["under the terms of the gnu general public license as published by the free software foundation"],
+    "lgpl-published": ["under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl-published": ["under the terms of the gnu affero general public license as published by the free software foundation"],
+    "2-or-later": ["either version 2 of the license or at your option any later version"],
+    "2.1-or-later": ["either version 2 1 of the license or at your option any later version"],
+    "3-or-later": ["either version 3 of the license or at your option any later version"],
     "gpl-useful": ["distributed in the hope that it will be useful but without any warranty"],
     "gpl-copy": ["you should have received a copy of the gnu * general public license along with"],
+    "gpl-details": ["see the gnu * general public license for more details"],
     "lgpl-2.1-later": ["under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
     "agpl-3": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"],
     "mpl-2": ["subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
@@ -58,6 +65,20 @@ SENTENCES = {
     "all-rights": ["all rights reserved"],
 }
 
+# How the grants of the GNU licences start, in one sentence or cut at a semicolon.
+GNU_GRANTS = [
+    ("GPL-2.0-or-later", ["gpl-2-later"]),
+    ("GPL-2.0-or-later", ["gpl-published", "2-or-later"]),
+    ("GPL-3.0-or-later", ["gpl-3-later"]),
+    ("GPL-3.0-or-later", ["gpl-published", "3-or-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-published", "2.1-or-later"]),
+    ("AGPL-3.0", ["agpl-3"]),
+    ("AGPL-3.0", ["agpl-published", "3-or-later"]),
+]
+# With what follows in a whole notice, the longest first.
+GNU_NOTICES = [(name, [*grant, *rest]) for rest in (["gpl-useful", "gpl-details", "gpl-copy"], ["gpl-useful", "gpl-details"], ["gpl-useful", "gpl-copy"], []) for name, grant in GNU_GRANTS]
+
 # Rules in order, each a licence and the identifiers that must follow one another.
 RULES = [
     ("Apache-2.0", ["apache-2", "apache-comply", "apache-obtain", "apache-warranty", "apache-limits"]),
@@ -68,18 +89,15 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice"]),
     ("ISC", ["isc-grant", "as-is-provided"]),
     ("ISC", ["isc-grant"]),
+    ("BSD-3-Clause", ["all-rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
+    ("BSD-2-Clause", ["all-rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-2-Clause", ["bsd-named-2"]),
     ("BSD-3-Clause", ["bsd-named-3"]),
-    ("GPL-2.0-or-later", ["gpl-2-later", "gpl-useful", "gpl-copy"]),
-    ("GPL-3.0-or-later", ["gpl-3-later", "gpl-useful", "gpl-copy"]),
-    ("GPL-2.0-or-later", ["gpl-2-later"]),
-    ("GPL-3.0-or-later", ["gpl-3-later"]),
-    ("LGPL-2.1-or-later", ["lgpl-2.1-later"]),
-    ("AGPL-3.0", ["agpl-3"]),
+    *GNU_NOTICES,
     ("GPL-2.0", ["gpl-2"]),
     ("GPL-3.0", ["gpl-3"]),
     ("MPL-2.0", ["mpl-2"]),
@@ -91,6 +109,7 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("CC-BY-ND-4.0", ["cc-by-nd-4"]),
     ("CC-BY-4.0", ["cc-by-4"]),
+    ("Unlicense", ["unlicense", "as-is-provided"]),
     ("Unlicense", ["unlicense"]),
     ("Proprietary", ["all-rights"]),
 ]
@@ -98,8 +117,9 @@ UNKNOWN = "UNKNOWN"
 
 #: Every licence sentence has one of these words, and so has one that speaks of a licence.
 TRIGGER = re.compile(r"licen[cs]e|licensed|permission|copyright|redistribut|warrant|provided as is|rights reserved|endorse|obtain a copy|public domain|creative commons|spdx|provided by the", re.IGNORECASE)
-#: A sentence: marks end it where white space or the text's end follows. Lines may be wrapped.
-SENTENCE = re.compile(r"[^.;:!?]*(?:[.;:!?]+(?=\S)[^.;:!?]*)*(?:[.;:!?]+|\Z)", re.DOTALL)
+#: A sentence: marks end it where white space or the text's end follows, but for the point of
+#: "v. 2.0". Lines may be wrapped.
+SENTENCE = re.compile(r"[^.;:!?]*(?:(?:[.;:!?]+(?=\S)|(?<=\b[vV])\.(?=\s+\d))[^.;:!?]*)*(?:[.;:!?]+|\Z)", re.DOTALL)
 SPEAKS = re.compile(r"\blicensed?\b|\bspdx\b")
 OTHER = re.compile(r"[^a-z0-9+]+")
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)")

@@ -206,6 +206,45 @@ def test_license_scan(text, expected):
     assert licenses.scan(text)[0] == expected
 
 
+GNU = """This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License
+as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License along with this {what}{end}"""
+WRITE = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+SEE = ". If not, see <https://www.gnu.org/licenses/>."
+AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'
+BSD = """Copyright (c) 2020, The Owner. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        (GNU.format(what="program", kind="", a=";", b=";", version="2", end=WRITE), "GPL-2.0-or-later"),
+        (GNU.format(what="program", kind="", a=":", b=",", version="3", end=SEE), "GPL-3.0-or-later"),
+        (GNU.format(what="program", kind="", a=";", b=";", version="3", end=WRITE), "GPL-3.0-or-later"),
+        (GNU.format(what="library", kind="Lesser ", a=";", b=";", version="2.1", end=WRITE), "LGPL-2.1-or-later"),
+        (GNU.format(what="program", kind="Affero ", a=":", b=",", version="3", end=SEE), "AGPL-3.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        (BSD.format(third=THIRD), "BSD-3-Clause"),
+        (BSD.format(third=""), "BSD-2-Clause"),
+        ("This is free and unencumbered software released into the public domain." + AS_IS, "Unlicense"),
+        ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software." + AS_IS, "MIT"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ],
+)
+def test_standard_notices(text, expected):
+    assert licenses.scan(text)[0] == [expected]
+    assert licenses.scan("Intro. " + text.replace("\n", "\n  ") + "\nMore text.")[0] == [expected]
+
+
 def test_license_rules_in_order():
     assert licenses.by_rules(["mit-grant", "mit-notice", "as-is-provided", "apache-2"]) == [(0, "MIT"), (3, "Apache-2.0")]
     assert licenses.by_rules(["as-is-provided", "mit-grant"]) == [(0, "UNKNOWN"), (1, "UNKNOWN")]
