@@ -138,3 +138,13 @@ def test_many_queries_in_one_pass(chunks):
     for q, words in queries.items():
         alone = retrieval.ranked(lexical.bm25(chunks, lexical.query_terms(words)), "bm25", "rank_kw", 4).collect()
         assert got.get(q, {}) == {r.rank_kw: r.chunk_id for r in alone}
+
+
+def test_many_short_items_are_found(spark, tmp_path):
+    from gneiss.plans.catalog import benchmark_containment
+
+    items = [(i, f"w{i}.") for i in range(10_050)] + [(20_000, "one two three four five six seven eight"), (20_001, None)]
+    docs = [(1, "s", "x w7. y w10049. z"), (2, "s", "so one two three four five six seven eight"), (3, "s", None)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(tuple(r) for r in benchmark_containment(spark, str(tmp_path)).collect()) == [(7, 1), (10_049, 1), (20_000, 2)]
