@@ -11,8 +11,9 @@ padding. Sequence numbers hold the task's number in the upper bits, so they are
 
 Defined results: a null text is an empty one, which still has its end token; repeated rows are
 packed each on its own under the same id; an empty table gives no piece; examples that exceed a
-limit alone (without cutting) take a sequence of their own and are marked as such; further
-columns are ignored.
+limit alone (without cutting) take a sequence of their own and are marked as such; very long
+texts, and such of one single run, are encoded whole by the library that bears them and cut into
+as many pieces as they need; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,15 @@ POOL, KEPT = 2048, 512
 #: Texts of these characters alone are split alike by both libraries; the others, and texts with
 #: a special token's name, go to the slower one.
 SAFE = re.compile("[\\t\\n\\r\\x20-\\x7e¡-¬®-ɏ‐-‧‰-›€]*")
+#: The faster library's matcher keeps a state for each character of a run of white space, within
+#: a fixed depth; texts with a longer run than this go to the slower one.
+LONGEST_SPACE = 10_000
+SPACE = re.compile("[\\t\\n\\r ]++")
+
+
+def long_space(text: str) -> bool:
+    """Whether a run of white space is longer than ``LONGEST_SPACE``; takes one pass."""
+    return len(text) > LONGEST_SPACE and any(m.end() - m.start() > LONGEST_SPACE for m in SPACE.finditer(text))
 
 
 def load_encoder(path: str):
@@ -47,7 +57,7 @@ def load_encoder(path: str):
     fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if SAFE.fullmatch(text) and not any(s in text for s in special):
+        if SAFE.fullmatch(text) and not any(s in text for s in special) and not long_space(text):
             return fast.encode_ordinary(text)
         return slow.encode(text, add_special_tokens=False).ids
 
@@ -195,6 +205,35 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, m
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+def with_counts(examples: DataFrame, tokenizer_path: str, text: str, start: str, size: str, tokens: str = "tokens", loss: str = "loss") -> DataFrame:
+    """``examples`` with the number of tokens of ``text`` and an end token, and of those that bear
+    loss: what stands in ``size`` characters from ``start`` on, the end token included.
+
+    A token that reaches over the edge of the span counts with the span; null spans bear none.
+    """
+    from pyspark.sql import types as T
+
+    kept = examples.drop(tokens, loss)
+    schema = T.StructType([*kept.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(loss, T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        encode = load_encoder(tokenizer_path)
+        for batch in batches:
+            at = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, start, size)]
+            counts = []
+            for value, first, many in zip(*at, strict=True):
+                value = value or ""
+                whole = len(encode(value)) + 1
+                before = len(encode(value[:first])) if many is not None else whole
+                after = len(encode(value[first + many :])) if many is not None else 0
+                counts.append((whole, max(0, whole - before - after)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))], schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def pack_examples(examples: DataFrame, key: str, tokens: str, loss: str, length: int = LENGTH, max_segments: int = MAX_SEGMENTS, max_loss: int = LENGTH, pool: int = POOL, kept: int = KEPT) -> DataFrame:
     """Places of whole instruction examples: (key, tokens, loss, sequence_id, offset, fits).
 

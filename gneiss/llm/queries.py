@@ -76,6 +76,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of formatted instruction examples under limits on tokens, segments and loss.
+
+    A target's loss-bearing tokens are those of its reply; half a sequence may bear loss.
+    """
+    made = chat.examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    counted = packing.with_counts(made.withColumn("key", F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "example")), tokenizer_path(), "formatted", "loss_start", "loss_length")
+    placed = packing.pack_examples(counted, "key", "tokens", "loss", max_segments=16, max_loss=packing.LENGTH // 2)
+    return placed.select("key", "tokens", "loss", "sequence_id", "offset", "fits")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +98,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_html_text": op9_html_text,
     "op10_lm_score": op10_lm_score,
+    "instruction_packing": instruction_packing,
 }
 
 ORACLES = {
