@@ -137,14 +137,19 @@ class CalibratedTrees:
         return np.clip(np.interp(self.trees.margin(x), self.at, self.probability), 0.0, 1.0)
 
 
-def fit_calibrated(x: np.ndarray, y: np.ndarray, folds: int = 4, **how) -> CalibratedTrees:
-    """Fit on all rows; calibrate on margins that each row got from folds without it."""
-    fold = np.arange(len(y)) % folds
+def fit_calibrated(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None, without=None, **how) -> CalibratedTrees:
+    """Fit on all rows; calibrate on margins that each row got from folds without it.
+
+    ``fold`` numbers each row's fold (four by turns if there is none). Where features are learnt
+    themselves, ``without(k)`` gives all rows' features as learnt without fold k.
+    """
+    if fold is None:
+        fold = np.arange(len(y)) % 4
     out = np.zeros(len(y))
-    for k in range(folds):
-        held = fold == k
-        if held.any() and (~held).any():
-            out[held] = fit_trees(x[~held], y[~held], **how).margin(x[held])
+    for k in np.unique(fold):
+        held, own = fold == k, x if without is None else without(k)
+        if (~held).any():
+            out[held] = fit_trees(own[~held], y[~held], **how).margin(own[held])
     return CalibratedTrees(fit_trees(x, y, **how), *isotonic(out, y))
 
 
