@@ -44,6 +44,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, max_rows: int = 500_000, busy: int = 100_000) -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row for each key and in ``n`` how many rows of
+    ``rows`` have that key, or more.
+
+    Facts of at most ``max_rows`` rows are broadcast. Of larger ones only those of keys with more
+    than ``busy`` rows are, so that no task gets a busy key's rows; the others are shuffled.
+    """
+    facts = cut(facts)
+    if facts.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(facts.drop("n")), key)
+    hot = broadcast_if_small(facts.where(F.col("n") > busy).drop("n"), max_rows)
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("n") <= busy).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows from which nothing is learnt: crc32 of the id as text divides by five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_MOD == 0, F.lit(False))
@@ -68,6 +83,19 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     return texts.join(F.broadcast(ids), "doc_id")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_utf8(df: DataFrame) -> DataFrame:
+    """``df`` with the bytes of its text (of an empty one for null) as one more, last column."""
+    return df.withColumn(unused(df, "utf8"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+
+
 def append_score(df: DataFrame, text_col: str, make, name: str) -> DataFrame:
     """``df`` with one more double column: ``make()`` gives a function from texts to scores.
 

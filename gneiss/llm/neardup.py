@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.llm import simhash
-from gneiss.llm.common import WordHashes, broadcast_if_small, cut
+from gneiss.llm.common import WordHashes, broadcast_if_small, cut, with_utf8
 from gneiss.llm.components import roots
 
 THRESHOLD = 0.8
@@ -119,10 +119,6 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 3) for s in runs), np.uint64))
 
 
-def _utf8(df: DataFrame) -> DataFrame:
-    return df.withColumn("__utf8", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-
-
 def with_key(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the hash of each text's words."""
     kept = docs.drop(name)
@@ -135,7 +131,7 @@ def with_key(docs: DataFrame, name: str) -> DataFrame:
             n = batch.num_columns - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([text_key(t.lower().split()) for t in batch.column(n).to_pylist()], pa.int64())], schema.names)
 
-    return _utf8(kept).mapInArrow(run, schema)
+    return with_utf8(kept).mapInArrow(run, schema)
 
 
 def _fingerprints(docs: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -157,7 +153,7 @@ def _fingerprints(docs: DataFrame, threshold: float, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "fp", "s0", "s1", "keys"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, s0 bigint, s1 bigint, keys array<bigint>"
-    return _utf8(docs.select("doc_id", "text")).select("doc_id", "__utf8").mapInArrow(run, schema)
+    return with_utf8(docs.select("doc_id", "text")).drop("text").mapInArrow(run, schema)
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
@@ -207,7 +203,7 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: flo
     if not nameless.isEmpty():
         found = with_key(docs.where("doc_id is null").select("doc_id", "text"), "fp").join(broadcast_if_small(nameless), "fp", "left_semi")
         texts = texts.union(found.select("doc_id", "text"))
-    texts = _utf8(texts).select("__utf8")
+    texts = with_utf8(texts).select("utf8")
 
     def shingled(batches):
         import pyarrow as pa

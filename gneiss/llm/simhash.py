@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import broadcast_if_small, cut
+from gneiss.llm.common import broadcast_if_small, cut, join_facts, unused, with_utf8
 from gneiss.llm.components import roots
 
 RADIUS = 3
@@ -54,7 +54,6 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 def with_simhash(docs: DataFrame, name: str = "simhash", width: int = SHINGLE) -> DataFrame:
     """``docs`` with its fingerprint as a signed long; batches stream through."""
     kept = docs.drop(name)
-    with_bytes = kept.withColumn("__utf8", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches):
@@ -65,7 +64,7 @@ def with_simhash(docs: DataFrame, name: str = "simhash", width: int = SHINGLE) -
             values = np.array([fingerprint(t, width) for t in batch.column(n).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(values, pa.int64())], schema.names)
 
-    return with_bytes.mapInArrow(run, schema)
+    return with_utf8(kept).mapInArrow(run, schema)
 
 
 def hex64(fp: Column) -> Column:
@@ -219,8 +218,8 @@ def named_by_least(base: DataFrame, reps: DataFrame, rooted: DataFrame) -> DataF
     names its component, and the smallest id there, from ``reps`` (fp, rep) and the roots of those
     that have links."""
     member = cut(rooted.withColumnRenamed("node", "fp").join(reps.select("fp", "rep"), "fp"))
-    least = member.groupBy("root").agg(F.min("rep").alias("least"))
-    label = member.join(least, "root").select("fp", "root", "least")
+    least = member.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    label = join_facts(member, least, "root").select("fp", "root", "least")
     named = cut(reps.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id")))
     return base.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id")
 
@@ -232,15 +231,16 @@ def keep_one(docs: DataFrame, found: DataFrame, mark) -> DataFrame:
     Rows without an id stay only where no row of their group has one, and then one of them.
     """
     # Ids that repeat, or are null, don't tell which of their rows is meant.
-    odd = cut(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    own, fp, root, component = (unused(docs, c) for c in ("own", "fp", "root", "component"))
+    odd = cut(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(own)))
+    same = F.col("doc_id").eqNullSafe(F.col(own))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     if odd.isEmpty():
         return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
     some = broadcast_if_small(odd)
     single = docs.join(some, same, "left_anti").join(broadcast_if_small(gone), "doc_id", "left_anti")
-    named = found.join(some, same, "left_semi").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component")).distinct()
-    repeated = mark(docs.join(some, same, "left_semi"), "__fp").join(named, "__fp")
-    first = repeated.where("doc_id = __component").dropDuplicates(["__root"])
-    nameless = repeated.where("__component is null").dropDuplicates(["__root"])
+    named = found.join(some, same, "left_semi").select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)).distinct()
+    repeated = mark(docs.join(some, same, "left_semi"), fp).join(named, fp)
+    first = repeated.where(F.col("doc_id") == F.col(component)).dropDuplicates([root])
+    nameless = repeated.where(F.col(component).isNull()).dropDuplicates([root])
     return single.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(nameless.select(docs.columns))
