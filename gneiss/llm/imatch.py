@@ -6,23 +6,24 @@ random subsets of the lexicon, so that a changed word alters only the hashes of
 hold it. Subsets come at several rates, for short and for long texts.
 
 The lexicon has at most (mean distinct terms of a document) / ``LOW`` terms, whatever the number
-of documents. It is kept as a bit set of a fixed size over hashed terms and looked up inside the
-row, so fingerprinting shuffles nothing; a term that shares a lexicon term's slot counts as one.
+of documents. Their 64-bit hashes stand in lists by slots and are looked up inside the row, exactly,
+so fingerprinting shuffles nothing; a lexicon beyond ``TABLE_TERMS`` is joined instead.
 
 Defined results: a null text counts as empty; equal texts have equal fingerprints; a text
 without any lexicon term is told apart by all its terms; likeness is 1 for equal fingerprints and
-else a share of equal hashes; repeated rows are fingerprinted each; an empty table gives an empty
-result; further columns are ignored.
+else a share of equal hashes, which are kept to 16 bits each; repeated rows are fingerprinted each;
+very long texts are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from dataclasses import dataclass
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import broadcast_if_small, cut
+from gneiss.llm.common import broadcast_if_small, cut, unused
 
 #: The band, as shares of the documents.
 LOW, HIGH = 0.001, 0.25
@@ -32,13 +33,13 @@ LOW, HIGH = 0.001, 0.25
 LEVELS = ((32, 32), (128, 32), (512, 32), (2048, 16))
 COARSE = 8
 STEP = 4
-#: Bits of a term's hash that name its place in the lexicon's bit set.
-SLOT_BITS = 20
+#: Terms of a lexicon that stands in the plan itself; a larger one is joined.
+TABLE_TERMS = 1_000_000
 #: Share of a level's subsets filled at most for the level to count as sparse.
 SPARSE = 0.75
 WORD = r"[\p{L}\p{N}]+"
-#: Documents in a range of ids within which neighbours are found.
-RANGE_ROWS = 20_000
+#: Ids in a range within which neighbours are found, for up to MAX_RANGES ranges, and beyond.
+RANGE_ROWS, MAX_RANGES, MAX_RANGE_ROWS = 20_000, 2_000, 1_000_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -47,54 +48,65 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term): hashes of the terms in the band, by the document frequencies of all rows.
+@dataclass
+class Lexicon:
+    """Hashes of the terms in the band: a table (term), and the same as a Column of lists, in which
+    a term stands in the list that its upper ``bits`` bits number, if they are few enough for it."""
 
-    At least two documents must hold a term, however few documents there are.
-    """
-    total = docs.count()
-    seen = docs.select(F.explode_outer(term_hashes(F.col("text"))).alias("term")).where("term is not null").groupBy("term").count()
-    return seen.where((F.col("count") >= max(2, low * total)) & (F.col("count") <= max(2, high * total))).select("term")
+    terms: DataFrame
+    lists: Column | None
+    bits: int
 
 
-def bit_set(terms: DataFrame) -> list[int]:
-    """The lexicon as longs of 64 bits: a bit for each slot that a term's upper hash bits name.
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = TABLE_TERMS) -> Lexicon:
+    """The terms in the band, by the document frequencies of all rows.
 
-    What reaches the driver is a row for each of 2 ** SLOT_BITS / 64 longs at most.
+    At least two documents must hold a term, however few documents there are. Up to ``most``
+    terms reach the driver and stand in the plan.
     """
-    slot = F.shiftrightunsigned("term", 64 - SLOT_BITS)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = terms.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
-    held = {r["at"]: r["bits"] for r in rows}
-    return [held.get(i, 0) for i in range(1 << (SLOT_BITS - 6))]
-
-
-def lexicon_terms(terms: Column, bits: list[int]) -> Column:
-    """The sorted terms that the lexicon holds."""
-    words = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded once, when planned
-
-    def held(h):
-        slot = F.shiftrightunsigned(h, 64 - SLOT_BITS)
-        word = F.get(words, F.shiftrightunsigned(slot, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return F.array_sort(F.filter(terms, held))
+    total = docs.count()
+    seen = docs.select(F.explode_outer(term_hashes(F.col("text"))).alias("term")).where("term is not null").groupBy("term").count()
+    terms = cut(seen.where((F.col("count") >= max(2, low * total)) & (F.col("count") <= max(2, high * total))).select("term"))
+    count = terms.limit(most + 1).count()
+    if count > most:
+        return Lexicon(terms, None, 0)
+    bits = max(1, ceil(log2(max(1, count))))
+    held: list[list[int]] = [[] for _ in range(1 << bits)]
+    for r in terms.collect():  # at most ``most`` rows
+        held[(r["term"] % 2**64) >> (64 - bits)].append(r["term"])
+    lists = F.from_json(F.lit(str(held)), "array<array<bigint>>")  # folded once, when planned
+    return Lexicon(terms, lists, bits)
+
+
+def _with_held(df: DataFrame, known: Lexicon, every: str, name: str) -> DataFrame:
+    """``df`` with the sorted terms of the column ``every`` that the lexicon holds."""
+    if known.lists is not None:
+        slot = lambda h: F.shiftrightunsigned(h, 64 - known.bits).cast("int")
+        return df.withColumn(name, F.array_sort(F.filter(every, lambda h: F.array_contains(F.get(known.lists, slot(h)), h))))
+    # A lexicon beyond the bound is met by a shuffle, one row for each set of terms and term.
+    own, key = f"{name}_key", F.sha2(F.to_json(F.array_sort(every)), 256)
+    keyed = df.withColumn(own, key)
+    dealt = keyed.dropDuplicates([own]).select(own, F.explode(every).alias("term"))
+    found = dealt.join(known.terms, "term").groupBy(own).agg(F.array_sort(F.collect_list("term")).alias(name))
+    return keyed.join(found, own, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
 
 
 def _in_class(mask: int, value: int):
     return lambda h: h.bitwiseAND(F.lit(mask)) == value
 
 
-def with_fingerprint(docs: DataFrame, bits: list[int], text: str = "text", name: str = "fingerprint") -> DataFrame:
+def with_fingerprint(docs: DataFrame, known: Lexicon, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with an array of 16-bit hashes of its text; a column of that name is replaced.
 
     Classes are told by the low bits of a term's hash, the first ones by the lowest, and are
     split off in two steps. The coarsest level's hashes are made from those of the next one, whose
     classes they unite. The last hash is over all terms, and there only if no term is in the lexicon.
     """
-    own = f"__{name}_"
+    own = unused(docs, f"_{name}_")
+    while any(c.lower().startswith(own.lower()) for c in docs.columns):
+        own = f"_{own}"
     df = docs.drop(name).withColumn(f"{own}all", term_hashes(F.col(text)))
-    df = df.withColumn(f"{own}0", lexicon_terms(F.col(f"{own}all"), bits))
+    df = _with_held(df, known, f"{own}all", f"{own}0")
     source, hashes = f"{own}0", []
 
     def short(x):
@@ -148,25 +160,29 @@ def text_of(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.right(F.lpad(F.hex(x), 4, "0"), F.lit(4)))), "")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars) of the distinct ids: the next smaller id, after the last the first.
+def next_smaller(ids: DataFrame) -> DataFrame:
+    """(doc_id, below): each distinct id's next smaller one; null for the least.
 
-    Ids are cut into ranges at quantiles, so no task sorts more than a range; only each range's
-    largest id is looked up across ranges.
+    Ids are dealt out by ranges, each sorted by a task of its own. The range below is found
+    in the same way among the ranges' largest ids, so no task sorts more than a range.
     """
-    ids = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars")))
     total = ids.count()
-    parts = max(1, ceil(total / RANGE_ROWS))
-    points = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [1.0], 20_000)).first()[0] or []
-    points = sorted(set(points)) if parts > 1 else []
-    bounds = F.array(*[F.lit(p) for p in points]).cast("array<bigint>")
-    ranged = ids.withColumn("range", F.size(F.filter(bounds, lambda p: p <= F.col("doc_id"))))
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
-    over = Window.orderBy("range")
-    first = F.max("top").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    below = tops.select("range", F.coalesce(F.lag("top").over(over), first).alias("below"))
+    if total <= RANGE_ROWS:
+        return ids.select("doc_id", F.lead("doc_id").over(Window.orderBy(F.desc("doc_id"))).alias("below"))
+    parts = max(min(ceil(total / RANGE_ROWS), MAX_RANGES), ceil(total / MAX_RANGE_ROWS))
+    ranged = cut(ids.repartitionByRange(parts, "doc_id").withColumn("range", F.spark_partition_id()))
+    tops = cut(ranged.groupBy("range").agg(F.max("doc_id").alias("top")))
+    lower = next_smaller(tops.select(F.col("top").alias("doc_id"))).select(F.col("doc_id").alias("top"), F.col("below").alias("under"))
     inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy(F.desc("doc_id")))
-    return ranged.withColumn("inside", inside).join(broadcast_if_small(below), "range").select("doc_id", F.coalesce("inside", "below").alias("next_id"), "n_chars")
+    found = ranged.withColumn("inside", inside).join(broadcast_if_small(tops.join(lower, "top").select("range", "under")), "range")
+    return found.select("doc_id", F.coalesce("inside", "under").alias("below"))
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(doc_id, next_id, n_chars) of the distinct ids: the next smaller id, after the last the first."""
+    ids = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars")))
+    first = ids.agg(F.max("doc_id")).first()[0]
+    return ids.join(next_smaller(ids.select("doc_id")), "doc_id").select("doc_id", F.coalesce("below", F.lit(first)).alias("next_id"), "n_chars")
 
 
 def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -189,10 +205,10 @@ def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside its edited text's and its next document's."""
     pairs = cut(neighbours(docs))
-    bits = bit_set(lexicon(docs))
+    known = lexicon(docs)
     both = edited_texts(docs, pairs)
     facts = both.select("doc_id", "prev_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    printed = with_fingerprint(with_fingerprint(facts, bits, "text", "fp"), bits, "edited", "edited_fp")
+    printed = with_fingerprint(with_fingerprint(facts, known, "text", "fp"), known, "edited", "edited_fp")
     rows = cut(printed.select("doc_id", "prev_id", "n_chars", "edited_sha256", "fp", "edited_fp"))
     after = rows.where("prev_id is not null").groupBy(F.col("prev_id").alias("doc_id")).agg(F.min("fp").alias("next_fp"))
     return rows.join(after, "doc_id", "left").select(
