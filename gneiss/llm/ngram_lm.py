@@ -1,12 +1,16 @@
 """Stupid-backoff language-model scores from count tables over the whole corpus.
 
 The relations are the exploded n-grams (document block, n-gram) and one count table
-(n-gram, count), both partitioned by n-gram hash. To take few bytes a row they are held in packed
-columns: one record for each block and bucket has the sorted distinct hashes of a block's
-n-grams in that bucket, with their counts. A bucket sums the counts of equal hashes over all
-blocks (the count table), joins them to the records by merging, and each block gets its counts
-back and sums its documents' scores. Blocks and buckets have a bounded size and their numbers
-grow with the corpus; counts cover every document.
+(n-gram, count), both partitioned by the n-gram's 64-bit hash. To take few bytes a row they are
+held in packed columns: one record for each block and bucket has the sorted distinct hashes of a
+block's n-grams in that bucket, with their counts. A bucket sums the counts of equal hashes over
+all blocks (the count table), joins them to the records by merging, and each block gets its counts
+back and sums its documents' scores. Counts cover every document.
+
+A block is what a task reads, up to a number of bytes (one text at least), so rows that repeat
+fall into as many blocks as they need; its texts travel compressed. Buckets have a bounded number
+of hashes. Every record has a hash, so there are never more records than rows in the plain form of
+these relations, however many blocks and buckets there are.
 
 Tokens are runs of characters other than ASCII white space, in ASCII lower case. The score of a
 token given the two before it is count(abc) / count(ab) if abc was seen at least ``MIN_COUNT``
@@ -14,8 +18,8 @@ times, else 0.4 times that of a shorter context, down to count(c) / all tokens.
 score is the sum of natural logarithms; tokens at its start have the contexts that there are.
 
 Defined results: null and empty texts have no token, score 0 and a null mean; repeated rows are
-scored each; equal texts have equal scores; an empty table gives an empty result; further columns
-are ignored.
+scored each; equal texts have equal scores; a very long text is a block of its own; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +38,6 @@ MIN_COUNT = 2
 #: Bytes of text in a block, and distinct hashes of all blocks in a bucket, about.
 BLOCK_BYTES = 8_000_000
 BUCKET_KEYS = 2_000_000
-#: Bits of an n-gram's hash that are kept. Of 10**12 different n-grams one in 4,500 would share
-#: another's hash.
-KEY_BITS = 52
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,36 +86,81 @@ def decode(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
-def _texts(frame) -> list[bytes]:
-    return [bytes(t) for t in frame["utf8"]]
-
-
 def _all_keys(grams: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-    return np.concatenate([g[place >= n] for n, g in enumerate(grams)]) >> np.uint64(64 - KEY_BITS)
+    return np.concatenate([g[place >= n] for n, g in enumerate(grams)])
 
 
 def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket begins and the last ends in sorted keys; buckets are the upper bits."""
-    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits)
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
     return np.append(np.searchsorted(keys, starts), len(keys))
 
 
+def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, ids, sizes, texts): documents as they are read, up to ``block_bytes`` of text each.
+
+    A block's number holds its task's in the upper bits; a task that is run again reads the same
+    rows and makes the same blocks.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
+
+        press = zstandard.ZstdCompressor(level=3)
+        number = TaskContext.get().partitionId() << 40
+        ids, texts, held = [], [], 0
+
+        def block():
+            columns = [pa.array([number]), pa.array([ids], pa.list_(pa.string())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([press.compress(b"".join(texts))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "texts"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append(text)
+                held += len(text)
+                if held >= block_bytes:
+                    yield block()
+                    ids, texts, held, number = [], [], 0, number + 1
+        if texts:
+            yield block()
+
+    utf8 = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("utf8"))
+    return utf8.mapInArrow(run, "block bigint, ids array<string>, sizes array<bigint>, texts binary")
+
+
+def _texts(sizes, blob) -> list[bytes]:
+    import zstandard
+
+    whole, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(sizes)
+    return [whole[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True)]
+
+
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) of every row."""
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("utf8"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, ceil(total / block_bytes))
     bits = max(0, ceil(log2(max(1, total * 0.35 / bucket_keys))))
-    blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "utf8"), F.lit(n_blocks))).repartition("block")
-
-    def exploded(frame):
-        import pandas as pd
-
-        keys, counts = np.unique(_all_keys(*ngrams(*hashed_words(_texts(frame)))), return_counts=True)
-        at = _bounds(keys, bits)
-        block = frame["block"].iloc[0]
-        rows = [(block, b, encode(np.diff(keys[i:j], prepend=np.uint64(0))), encode(counts[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-        return pd.DataFrame(rows, columns=["block", "bucket", "keys", "counts"])
+    blocked = blocks(docs, block_bytes).repartition("block")
+
+    def exploded(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, sizes, blob in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                keys, counts = np.unique(_all_keys(*ngrams(*hashed_words(_texts(sizes, blob)))), return_counts=True)
+                at = _bounds(keys, bits)
+                some = [(b, i, j) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(some), pa.int64()),
+                        pa.array([b for b, _, _ in some], pa.int64()),
+                        pa.array([encode(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in some], pa.binary()),
+                        pa.array([encode(counts[i:j]) for _, i, j in some], pa.binary()),
+                    ],
+                    ["block", "bucket", "keys", "counts"],
+                )
 
     def counted(frame):
         import pandas as pd
@@ -129,9 +175,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BU
     def scored(frame, tables):
         import pandas as pd
 
-        words, sizes = hashed_words(_texts(frame))
+        row = frame.iloc[0]
+        words, sizes = hashed_words(_texts(row["sizes"], row["texts"]))
         grams, place = ngrams(words, sizes)
-        out = pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": sizes, "raw": 0.0, "unigrams": 0})
+        out = pd.DataFrame({"id": list(row["ids"]), "n_tokens": sizes, "raw": 0.0, "unigrams": 0})
         if not len(words):
             return out
         _, back = np.unique(_all_keys(grams, place), return_inverse=True)
@@ -157,10 +204,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BU
         out["unigrams"] = np.bincount(owner, open_, len(sizes)).astype(np.int64)
         return out
 
-    packed = blocked.groupBy("block").applyInPandas(exploded, "block bigint, bucket bigint, keys binary, counts binary")
+    packed = blocked.mapInArrow(exploded, "block bigint, bucket bigint, keys binary, counts binary")
     tables = packed.groupBy("bucket").applyInPandas(counted, "block bigint, bucket bigint, sums binary")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, raw double, unigrams bigint"
-    parts = cut(blocked.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(scored, schema))
+    made = blocked.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(scored, "id string, n_tokens bigint, raw double, unigrams bigint")
+    parts = cut(made.withColumn("doc_id", F.col("id").cast(docs.schema["doc_id"].dataType)))
     tokens = parts.agg(F.sum("n_tokens")).first()[0] or 1
     log_score = F.col("raw") - F.col("unigrams") * F.lit(log(tokens))
     return parts.select("doc_id", "n_tokens", log_score.alias("log_score"), (log_score / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias("mean_log_score"))
