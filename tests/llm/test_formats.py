@@ -54,6 +54,22 @@ def test_both_encoders_agree(value):
     assert fast(value) == slow.encode(value, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("value", [" " * 1_000_000, "a\n" + "\n" * 1_000_000 + "b", "x" * 1_000_000, "7" * 1_000_000, "word " * 200_000, "a" + " " * 10_001 + "b", "!" * 300_000], ids=["spaces", "lines", "letters", "digits", "words", "edge", "marks"])
+def test_long_runs_are_encoded(spark, tokenizer, value):
+    ids = [*tokenizer.encode(value, add_special_tokens=False).ids, 1]
+    assert packing.load_encoder(tokenizer_path())(value) == ids[:-1]
+    out = sorted(packing.pack_documents(spark.createDataFrame([(1, value)], DOCS), tokenizer_path()).collect(), key=lambda r: r.start)
+    assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in out]).tolist() == ids
+
+
+def test_loss_counts(spark, tokenizer):
+    df = spark.createDataFrame([("ab cd efg", 3, 2), ("ab cd", None, None), (None, None, None), ("x y", 0, 3)], "formatted string, loss_start int, loss_length int")
+    out = packing.with_counts(df, tokenizer_path(), "formatted", "loss_start", "loss_length").collect()
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    assert [r.tokens for r in out] == [size("ab cd efg") + 1, size("ab cd") + 1, 1, size("x y") + 1]
+    assert [r.loss for r in out] == [size("ab cd efg") + 1 - size("ab ") - size(" efg"), 0, 0, size("x y") + 1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 120), st.integers(0, 60)), max_size=60))
 def test_limits_hold_for_whole_examples(sizes):
@@ -174,6 +190,65 @@ def test_main_text_of_odd_pages(spark):
     assert htmltext.with_main_text(df.limit(0)).count() == 0
 
 
+PARAS = "".join(f"<p>Paragraph {k}, of some length. It says, more or less, the same; again.</p>" for k in range(4))
+PARAS_TEXT = "\n".join(f"Paragraph {k}, of some length. It says, more or less, the same; again." for k in range(4))
+
+
+@pytest.mark.parametrize("opening", ["article class='post hentry category-news tag-python'", "article id='search-algorithms'", "article class='short-form'", "article id='notice-of-meeting'", "article class='story shared-story'", "div id='search-algorithms'", "div id='notice-of-meeting'", "div class='story shared-story'"])
+def test_no_word_of_a_name_drops_the_article(opening):
+    page = f"<body><div class=menu><a href=a>One</a></div><{opening}><h1>Title</h1>{PARAS}</{opening.split()[0]}><div class='user-reviews'><p>I like it, a lot.</p></div></body>"
+    assert htmltext.main_text(page) == "Title\n" + PARAS_TEXT
+
+
+@pytest.mark.parametrize("head", ["<div class='content-header'><h1>Title</h1></div>", "<div class='section-header'><h1>Title</h1></div>", "<header><h1>Title</h1><div>by one</div></header>"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_titles_stay(tag, head):
+    links = "<ul><li><a href=x>A reference</a></li><li><a href=y>Another reference</a></li></ul>"
+    page = f"<body><header><h2>Site</h2></header><{tag}>{head}{PARAS}{links}</{tag}><div class='author-bio'><p>Writes, a lot.</p></div></body>"
+    assert htmltext.main_text(page) == f"Title\n{PARAS_TEXT}\nA reference\nAnother reference"
+
+
+@pytest.mark.parametrize("side", ["<p><a href=a>One story to read, now</a></p><p><a href=b>Another story, too</a></p>", "<p>Short</p>"])
+def test_sides_without_a_name_go(side):
+    page = f"<html><body><div><div><p>Top</p></div><h1>Title</h1><div>{PARAS * 3}</div><div>{side}</div></div></body></html>"
+    assert htmltext.main_text(page) == "Title\n" + "\n".join([PARAS_TEXT] * 3)
+
+
+def test_a_template_of_its_own(spark):
+    """Pages of another make than the tables': nested parts, names of every kind, odd markup."""
+    import random
+    import re
+
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(400)]
+
+    def sentence(n):
+        return " ".join(rng.choice(words) for _ in range(n)) + "."
+
+    for k in range(60):
+        paras = [" ".join(sentence(rng.randint(6, 18)).capitalize() for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(3, 12))]
+        title = sentence(5)[:-1]
+        noise = [f"<div class='{rng.choice(['sidebar', 'c-ad', 'related-posts', 'newsletter-box', 'social-links', 'cookie-banner'])}'><p>{sentence(12)}</p></div>" for _ in range(3)]
+        comments = "<section id='comments'>" + "".join(f"<div class='comment-body'><p>{sentence(15)}</p></div>" for _ in range(rng.randint(0, 40))) + "</section>"
+        wrap = rng.choice(["<article class='%s'>{}</article>", "<main class='%s'>{}</main>", "<div class='entry %s'>{}</div>"]) % rng.choice(["post tag-x", "single", "layout-sidebar", "social-history"])
+        body = f"<h1>{title}</h1>" + "".join(rng.choice(["<p>{}</p>", "<p class=x>{}", "<div><p>{}</p></div>"]).format(re.sub("w7 ", "<em>w7</em> ", p)) for p in paras)
+        page = f"<html><head><title>{title}</title></head><body><nav><a href=/>Home</a> <a href=/a>About</a></nav>{noise[0]}<div class=page>{noise[1]}{wrap.format(body)}{noise[2]}</div>{comments}<footer><p>{sentence(9)}</p></footer></body></html>"
+        assert htmltext.main_text(page) == "\n".join([title, *paras]), page
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x" * 100_000, '<a "' * 100_000, '<a =">" ' * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<li>" + "<div>" * 50_000 + "<ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<p><li>" + "<b>" * 50_000 + "<div>y</div>" * 50_000, "<div class=sidebar>x" * 50_000, "<![CDATA[" * 100_000 + ">", "<" * 200_000 + ">"],
+    ids=["open", "quotes", "quoted ends", "ends", "lists", "inline", "named", "cdata", "marks"],
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.monotonic()
+    htmltext.main_text(page)
+    assert time.monotonic() - start < 15
+
+
 def test_pages_against_their_markup(spark):
     """Main text of real pages equals what stands between the article's tags."""
     import re
