@@ -273,6 +273,11 @@ APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou m
         ("SPDX-License-Identifier: MIT OR Apache-2.0\ncode", ["MIT OR Apache-2.0"]),
         ("Released under the MIT License. Licensed under CC BY 4.0. Released under the MIT licence.", ["MIT", "CC-BY-4.0"]),
         ("Use is subject to some other license.", ["UNKNOWN"]),
+        ("He has a driving license, she a fishing licence.", []),
+        ("This dataset is available under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]),
+        ("Distributed under the terms of the GNU LGPL, version 2.1.", ["LGPL-2.1"]),
+        ("Licensed under the EUPL-1.2, and under the ISC license.", ["EUPL-1.2"]),
+        ("Released under the GNU General Public License, version 2 or later.", ["GPL-2.0-or-later"]),
         ("Nothing of the kind. The end", []),
         ("", []),
     ],
@@ -312,6 +317,12 @@ THIRD = "3. Neither the name of the copyright holder nor the names of its contri
         (BSD.format(third=""), "BSD-2-Clause"),
         ("This is free and unencumbered software released into the public domain." + AS_IS, "Unlicense"),
         ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software." + AS_IS, "MIT"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted." + AS_IS, "0BSD"),
+        ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.", "Zlib"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use it.", "BSL-1.0"),
+        ("The contents of this file are subject to the Mozilla Public License Version 1.1.", "MPL-1.1"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.", "EPL-2.0"),
+        (GNU.format(what="library", kind="Lesser ", a=":", b=",", version="3", end=SEE), "LGPL-3.0-or-later"),
         ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
     ],
 )
@@ -320,10 +331,51 @@ def test_standard_notices(text, expected):
     assert licenses.scan("Intro. " + text.replace("\n", "\n  ") + "\nMore text.")[0] == [expected]
 
 
+def brute_identifiers(sentence):
+    """All forms at all places by regular expressions; the first and longest take what they cover."""
+    import re
+
+    forms = [(form, name) for known in (licenses.SENTENCES, licenses.named_sentences()) for name, some in known.items() for form in some]
+    found = []
+    for form, name in forms:
+        if all(run in sentence for run in form.split(" * ")):
+            found += [(m.start(), -m.end(), name) for m in re.finditer(r"(?<![^ ])" + form.replace(" * ", r" (?:\S+ ){0,12}?") + r"(?![^ ])", sentence)]
+    out, upto = [], -1
+    for start, end, name in sorted(found):
+        if start >= upto:
+            out.append(name)
+            upto = -end
+    return out
+
+
+def test_lookup_equals_a_search_for_every_form():
+    import random
+
+    rng = random.Random(5)
+    forms = [f for known in (licenses.SENTENCES, licenses.named_sentences()) for some in known.values() for f in some]
+    few = [f for some in licenses.SENTENCES.values() for f in some]
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            form = rng.choice(few if rng.random() < 0.5 else forms).replace("*", " ".join("x" * rng.randint(0, 14))).split()
+            words += ["and"] * rng.randint(0, 2) + form[: rng.choice([len(form), len(form) - 1])]
+        sentence = " ".join(words)
+        assert licenses.identifiers(sentence) == brute_identifiers(sentence), sentence
+
+
+def test_hostile_texts_are_scanned_in_linear_time():
+    import time
+
+    start = time.monotonic()
+    for text in ("license " * 100_000, "." * 1_000_000 + "license", "v. 2" * 200_000 + " license", "under the terms of the " * 50_000, "gnu " * 200_000, "x" * 2_000_000 + " licensed under the mit license"):
+        licenses.scan(text)
+    assert time.monotonic() - start < 20
+
+
 def test_license_rules_in_order():
     assert licenses.by_rules(["mit-grant", "mit-notice", "as-is-provided", "apache-2"]) == [(0, "MIT"), (3, "Apache-2.0")]
     assert licenses.by_rules(["as-is-provided", "mit-grant"]) == [(0, "UNKNOWN"), (1, "UNKNOWN")]
-    for forms in licenses.SENTENCES.values():
+    for forms in (*licenses.SENTENCES.values(), *licenses.named_sentences().values()):
         assert all(licenses.TRIGGER.search(f) and licenses.normal(f) == f.replace(" * ", " ") for f in forms)
     text = "Intro. " + APACHE
     assert [text[a:b].strip()[:8] for _, a, b in licenses.scan(text)[1]][0] == "Licensed"
