@@ -157,7 +157,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def text_of(fingerprint: Column) -> Column:
     """A fingerprint as a string of hex digits."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.right(F.lpad(F.hex(x), 4, "0"), F.lit(4)))), "")
+    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.right(F.concat(F.lit("000"), F.hex(x)), F.lit(4)))), "")
 
 
 def next_smaller(ids: DataFrame) -> DataFrame:
