@@ -48,6 +48,18 @@ def corpus():
     return texts
 
 
+def test_components_of_busy_nodes(spark, monkeypatch):
+    """With facts that are joined by shuffles, but for those of busy nodes."""
+    from gneiss.llm import common
+
+    monkeypatch.setattr(common.join_facts, "__defaults__", (20, 10))
+    rng = random.Random(4)
+    pairs = [(0, i) for i in range(1, 200)] + [(700, i) for i in range(500, 700)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)]
+    expected = union(701, pairs)
+    got = {r.node: r.root for r in components.roots(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
+    assert got == {x: expected[x] for x in {x for p in pairs for x in p if p[0] != p[1]}}
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 470)] + [(500, i) for i in range(501, 620)]
@@ -141,6 +153,18 @@ def test_groups_of_odd_tables(spark):
         assert keep(df.limit(0)).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    """Columns with the names that operators would take pass through."""
+    names = ["utf8", "_utf8", "__utf8", "own", "fp", "root", "component", "dirty", "simhash_", "UTF8_"]
+    df = spark.createDataFrame([(i // 2, f"a b c d e f {i}", *names) for i in range(8)], DOCS + "".join(f", {n} string" for n in names))
+    for out in (simhash.with_simhash(df), neardup.with_key(df, "key"), neardup.keep_one(df), simhash.keep_one(df, simhash.near_duplicates(df), simhash.with_simhash)):
+        assert [r[n] for r in out.collect() for n in names] == names * out.count()
+    first = simhash.with_simhash(df).where("doc_id = 0").collect()[0]
+    assert first.simhash % 2**64 == naive_fingerprint(first.text)
+    items = spark.createDataFrame([(1, "c d e f 0")], "item_id bigint, text string")
+    assert decontaminate.without_leaks(df, items).count() == 7
+
+
 def test_repeated_ids_of_different_texts(spark):
     """Every group keeps one row, also where an id stands for several texts."""
     df = spark.createDataFrame([(5, "p q r s t u"), (5, "a b c d e f"), (2, "A b c d e f"), (9, "p q r s t u"), (7, "x y"), (7, "z z z")], DOCS)
@@ -164,6 +188,10 @@ def leaks_by_force(docs, items, threshold=0.8):
         w = split(text)
         for i, item in items:
             v = split(item)
+            if 0 < len(v) < 5:
+                at = next((s for s in range(len(w) - len(v) + 1) if w[s : s + len(v)] == v), None)
+                if at is not None:
+                    out[d, i] = (1.0, at)
             if len(v) < 5 or len(w) < 5:
                 continue
             g = grams(v)
@@ -178,7 +206,7 @@ def leaks_by_force(docs, items, threshold=0.8):
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(8)
-    items = [(i, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randint(4, 60)))) for i in range(25)] + [(90, None), (91, "a b a b a b a b a b a b")]
+    items = [(i, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randint(4, 60)))) for i in range(25)] + [(90, None), (91, "a b a b a b a b a b a b"), (92, "short one"), (93, "Q"), (94, "q7 q8 q9")]
     docs = []
     for d in range(60):
         words = [f"w{rng.randrange(900)}" for _ in range(rng.randint(0, 80))]
@@ -190,14 +218,42 @@ def test_leaks_equal_brute_force(spark):
             at = rng.randint(0, len(words))
             words[at:at] = [w.upper() + rng.choice(["", ",", "."]) for w in own]
         docs.append((d, " ".join(words)))
-    docs += [(100, None), (101, ""), (102, "a b a b a b a b a b a b")]
-    out = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), part_rows=2000).collect()
+    docs += [(100, None), (101, ""), (102, "a b a b a b a b a b a b"), (103, "a Short, one."), (104, "q short two q one"), (105, "q7 q8 Q9")]
+    out = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), part_bytes=60_000).collect()
     got = {(r.doc_id, r.item_id): (r.similarity, r.window_start) for r in out}
     expected = leaks_by_force(docs, items)
     assert set(got) == set(expected) and len(got) > 15
     assert all(abs(got[k][0] - expected[k][0]) < 1e-12 and got[k][1] == expected[k][1] for k in got)
 
 
+def test_edited_items_are_found_as_by_all_windows(spark):
+    """Scattered, replaced, inserted, dropped and appended words, near the threshold; every window
+    of every document against every item."""
+    rng = random.Random(31)
+    items = [(i, [f"q{rng.randrange(300)}" for _ in range(rng.randint(14, 70))]) for i in range(30)]
+    docs = []
+    for d in range(240):
+        own = list(items[rng.randrange(30)][1])
+        k = max(1, int(len(own) * rng.uniform(0.02, 0.14)))
+        at = rng.randrange(len(own) - k + 1)
+        new = [f"n{rng.randrange(10**6)}" for _ in range(k)]
+        own = [edited(own, rng, 1 + k // 6), own[:at] + new + own[at + k :], own[:at] + new + own[at:], own[:at] + own[at + k :], own[k:] + new][d % 5]
+        head, tail = ([f"w{rng.randrange(900)}" for _ in range(rng.randint(0, 40))] for _ in range(2))
+        docs.append((d, " ".join([*head, *own, *tail])))
+    items = [(i, " ".join(w)) for i, w in items]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    expected = leaks_by_force(docs, items)
+    assert len(expected) > 60 and sum(s < 0.9 for s, _ in expected.values()) > 20
+    assert set(got) == set(expected)
+
+
+def test_parts_of_a_large_benchmark(spark):
+    items = [(i, " ".join(f"q{i * 50 + k}" for k in range(5 + i % 40))) for i in range(200)]
+    made = decontaminate._items(spark.createDataFrame(items, "item_id bigint, text string"), decontaminate.RADIUS)
+    parts = decontaminate._parts(made, 100_000)
+    assert parts > 5 and max(r[1] for r in made.groupBy(F.pmod("iid", F.lit(parts))).agg(F.sum("bytes")).collect()) <= 200_000
+
+
 def test_leaks_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 1), (None, "x a b c d e f y", 2), (2, None, 3)], DOCS + ", n int")
     items = spark.createDataFrame([(7, "a b c d e f", 1)], "item_id bigint, text string, n int")
@@ -240,6 +296,66 @@ def test_imatch_neighbours(spark):
     assert sum(r.near_edited for r in long) > 2 * sum(r.near_next for r in long)
 
 
+def brute_fingerprints(spark, texts):
+    """I-Match from its definition: band, sorted terms, subsets by residues of the terms' hashes."""
+    import re
+
+    import xxhash
+
+    sets = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    code = {w: signed(xxhash.xxh64_intdigest(w, 42)) for s in sets for w in s}
+    seen = {w: sum(w in s for s in sets) for w in code}
+    low, high = max(2, imatch.LOW * len(texts)), max(2, imatch.HIGH * len(texts))
+    band = {w for w, n in seen.items() if low <= n <= high}
+
+    def hashes(lists):
+        rows = spark.createDataFrame(list(enumerate(lists)), "k bigint, x array<bigint>").select("k", F.hash("x")).collect()
+        return [(h >> 16) or 1 for _, h in sorted(map(tuple, rows))]
+
+    subsets, places = [], {}
+    for t, s in enumerate(sets):
+        for level, (classes, most) in enumerate(imatch.LEVELS):
+            for j in range(most):
+                held = sorted(code[w] for w in s & band if code[w] % classes == j)
+                if held:
+                    places[t, level, j] = len(subsets)
+                    subsets.append(held)
+        if not s & band:
+            places[t, "rest", 0] = len(subsets)
+            subsets.append(sorted(code[w] for w in s))
+    found = hashes(subsets)
+    found = {k: found[i] for k, i in places.items()}
+    groups = imatch.LEVELS[0][1] // imatch.COARSE
+    out = []
+    united = spark.createDataFrame([(t, j, [found.get((t, 0, j + imatch.COARSE * g), 0) for g in range(groups)]) for t in range(len(texts)) for j in range(imatch.COARSE)], "t int, j int, x array<smallint>")
+    coarse = {(r.t, r.j): ((r.h >> 16) or 1) if any(r.x) else 0 for r in united.select("t", "j", "x", F.hash("x").alias("h")).collect()}
+    for t in range(len(texts)):
+        row = [coarse[t, j] for j in range(imatch.COARSE)]
+        row += [found.get((t, level, j), 0) for level, (_, most) in enumerate(imatch.LEVELS) for j in range(most)]
+        out.append("".join(f"{x % 65536:04x}" for x in [*row, found.get((t, "rest", 0), 0)]))
+    return out
+
+
+@pytest.mark.parametrize("most", [imatch.TABLE_TERMS, 3])
+def test_imatch_equals_its_definition(spark, monkeypatch, most):
+    monkeypatch.setattr(imatch.lexicon, "__defaults__", (imatch.LOW, imatch.HIGH, most))
+    rng = random.Random(12)
+    texts = [" ".join(f"t{int(rng.paretovariate(0.5)) % 3000}" for _ in range(rng.randint(0, 120))) for _ in range(80)] + ["", "only here", "Écrit é 9x"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.fingerprint for r in imatch.compare_neighbours(df).collect()}
+    assert got == dict(enumerate(brute_fingerprints(spark, texts)))
+
+
+def test_next_smaller_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
+    rng = random.Random(3)
+    ids = rng.sample(range(-10**6, 10**6), 300)
+    got = {r.doc_id: r.below for r in imatch.next_smaller(spark.createDataFrame([(i,) for i in ids], "doc_id bigint")).collect()}
+    order = sorted(ids)
+    assert got == dict(zip(order, [None, *order], strict=False))
+
+
 def test_imatch_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "c d"), (None, "e f g"), (None, None)], DOCS)
     assert imatch.compare_neighbours(df).count() == 4
