@@ -6,8 +6,8 @@ random subsets of the lexicon, so that a changed word alters only the hashes of
 hold it. Subsets come at several rates, for short and for long texts.
 
 The lexicon has at most (mean distinct terms of a document) / ``LOW`` terms, whatever the number
-of documents. Their 64-bit hashes stand in lists by slots and are looked up inside the row, exactly,
-so fingerprinting shuffles nothing; a lexicon beyond ``TABLE_TERMS`` is joined instead.
+of documents. Texts' terms are met with it by an exact join on 64-bit hashes, broadcast up to a
+bound, and gathered again inside the partitions in which the texts already stand.
 
 Defined results: a null text counts as empty; equal texts have equal fingerprints; a text
 without any lexicon term is told apart by all its terms; likeness is 1 for equal fingerprints and
@@ -17,8 +17,7 @@ very long texts are read whole; an empty table gives an empty result; further co
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import ceil, log2
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +32,8 @@ LOW, HIGH = 0.001, 0.25
 LEVELS = ((32, 32), (128, 32), (512, 32), (2048, 16))
 COARSE = 8
 STEP = 4
-#: Terms of a lexicon that stands in the plan itself; a larger one is joined.
-TABLE_TERMS = 1_000_000
+#: Terms of the largest lexicon that is broadcast; a larger one is joined by a shuffle.
+MOST_TERMS = 1_000_000
 #: Share of a level's subsets filled at most for the level to count as sparse.
 SPARSE = 0.75
 WORD = r"[\p{L}\p{N}]+"
@@ -48,90 +47,93 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-@dataclass
-class Lexicon:
-    """Hashes of the terms in the band: a table (term), and the same as a Column of lists, in which
-    a term stands in the list that its upper ``bits`` bits number, if they are few enough for it."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term): hashes of the terms in the band, by the document frequencies of all rows.
 
-    terms: DataFrame
-    lists: Column | None
-    bits: int
+    At least two documents must hold a term, however few documents there are.
+    """
+    total = docs.count()
+    seen = docs.select(F.explode_outer(term_hashes(F.col("text"))).alias("term")).where("term is not null").groupBy("term").count()
+    return cut(seen.where((F.col("count") >= max(2, low * total)) & (F.col("count") <= max(2, high * total))).select("term"))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = TABLE_TERMS) -> Lexicon:
-    """The terms in the band, by the document frequencies of all rows.
+def with_held(rows: DataFrame, terms: DataFrame, arrays: list[str], by: list[str], most: int = MOST_TERMS) -> DataFrame:
+    """``rows`` with only those hashes left in its columns ``arrays`` that the lexicon has, sorted.
 
-    At least two documents must hold a term, however few documents there are. Up to ``most``
-    terms reach the driver and stand in the plan.
+    One row for each hash is joined to the lexicon, which is broadcast if it has at most ``most``
+    terms, and the hashes of a row are gathered again. Where ``rows`` is dealt out by the columns
+    ``by``, nothing is shuffled for that.
     """
-    total = docs.count()
-    seen = docs.select(F.explode_outer(term_hashes(F.col("text"))).alias("term")).where("term is not null").groupBy("term").count()
-    terms = cut(seen.where((F.col("count") >= max(2, low * total)) & (F.col("count") <= max(2, high * total))).select("term"))
-    count = terms.limit(most + 1).count()
-    if count > most:
-        return Lexicon(terms, None, 0)
-    bits = max(1, ceil(log2(max(1, count))))
-    held: list[list[int]] = [[] for _ in range(1 << bits)]
-    for r in terms.collect():  # at most ``most`` rows
-        held[(r["term"] % 2**64) >> (64 - bits)].append(r["term"])
-    lists = F.from_json(F.lit(str(held)), "array<array<bigint>>")  # folded once, when planned
-    return Lexicon(terms, lists, bits)
-
-
-def _with_held(df: DataFrame, known: Lexicon, every: str, name: str) -> DataFrame:
-    """``df`` with the sorted terms of the column ``every`` that the lexicon holds."""
-    if known.lists is not None:
-        slot = lambda h: F.shiftrightunsigned(h, 64 - known.bits).cast("int")
-        return df.withColumn(name, F.array_sort(F.filter(every, lambda h: F.array_contains(F.get(known.lists, slot(h)), h))))
-    # A lexicon beyond the bound is met by a shuffle, one row for each set of terms and term.
-    own, key = f"{name}_key", F.sha2(F.to_json(F.array_sort(every)), 256)
-    keyed = df.withColumn(own, key)
-    dealt = keyed.dropDuplicates([own]).select(own, F.explode(every).alias("term"))
-    found = dealt.join(known.terms, "term").groupBy(own).agg(F.array_sort(F.collect_list("term")).alias(name))
-    return keyed.join(found, own, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
-
-
-def _in_class(mask: int, value: int):
-    return lambda h: h.bitwiseAND(F.lit(mask)) == value
-
-
-def with_fingerprint(docs: DataFrame, known: Lexicon, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """``docs`` with an array of 16-bit hashes of its text; a column of that name is replaced.
+    one, uid, known = unused(rows, "one"), unused(rows, "uid"), unused(rows, "known")
+    facts = [c for c in rows.columns if c not in arrays and c not in by]
+
+    def tagged(i: int, name: str) -> Column:
+        return F.transform(name, lambda h: F.struct(F.lit(i).alias("kind"), h.alias("h")))
+
+    # An outer explode: rows without a term stay.
+    every = F.concat(*(tagged(i, a) for i, a in enumerate(arrays)))
+    dealt = rows.withColumn(uid, F.monotonically_increasing_id()).select(*by, uid, *facts, F.explode_outer(every).alias(one))
+    lookup = broadcast_if_small(terms.select(F.col("term").alias(known)), most)
+    met = dealt.join(lookup, F.col(f"{one}.h") == F.col(known), "left")
+    gathered = [F.array_sort(F.collect_list(F.when(F.col(f"{one}.kind") == i, F.col(known)))).alias(a) for i, a in enumerate(arrays)]
+    return met.groupBy(*by, uid).agg(*[F.first(c).alias(c) for c in facts], *gathered).drop(uid)
+
+
+def _short(x: Column) -> Column:
+    """The upper 16 bits of a hash; zero stands for no term."""
+    high = F.shiftright(x, 16)
+    return F.when(high == 0, 1).otherwise(high).cast("smallint")
+
+
+def whole_hash(terms: Column) -> Column:
+    """What a text without lexicon terms is told by: a hash of all its terms."""
+    return _short(F.hash(F.array_sort(terms)))
+
+
+def with_subset_hashes(df: DataFrame, held: str, whole: str, name: str) -> DataFrame:
+    """``df`` with a fingerprint, an array of 16-bit hashes, in place of a text's sorted lexicon
+    terms and the hash of all its terms.
 
     Classes are told by the low bits of a term's hash, the first ones by the lowest, and are
     split off in two steps. The coarsest level's hashes are made from those of the next one, whose
     classes they unite. The last hash is over all terms, and there only if no term is in the lexicon.
     """
-    own = unused(docs, f"_{name}_")
-    while any(c.lower().startswith(own.lower()) for c in docs.columns):
+    own = unused(df, f"_{name}_")
+    while any(c.lower().startswith(own.lower()) for c in df.columns):
         own = f"_{own}"
-    df = docs.drop(name).withColumn(f"{own}all", term_hashes(F.col(text)))
-    df = _with_held(df, known, f"{own}all", f"{own}0")
-    source, hashes = f"{own}0", []
+    kept = [c for c in df.columns if c not in (held, whole, name)]
 
-    def short(x):
-        # The upper 16 bits of a hash; zero stands for no term.
-        high = F.shiftright(x, 16)
-        return F.when(high == 0, 1).otherwise(high).cast("smallint")
+    def in_class(source: str, mask: int, value: int) -> str:
+        return f"filter(`{source}`, h -> (h & {mask}L) = {value}L)"
 
-    zero = F.lit(0).cast("smallint")
+    def short(x: str) -> str:
+        return f"cast(if(shiftright({x}, 16) = 0, 1, shiftright({x}, 16)) as smallint)"
+
+    # Text instead of Columns: hundreds of lambdas are parsed faster than they are made one by one.
+    source = held
     for level, (classes, most) in enumerate(LEVELS):
         if most < classes:
             used = f"{own}u{level}"
-            df = df.withColumn(used, F.filter(source, _in_class((classes - 1) & ~(most - 1), 0)))
+            df = df.withColumn(used, F.expr(in_class(source, (classes - 1) & ~(most - 1), 0)))
             source = used
         parts = [f"{own}{level}_{g}" for g in range(STEP)]
-        df = df.withColumns({p: F.filter(source, _in_class(STEP - 1, g)) for g, p in enumerate(parts)})
-        subsets = [F.filter(parts[j % STEP], _in_class(most - 1, j)) for j in range(most)]
-        hashes.append(F.transform(F.array(*subsets), lambda x: F.when(F.size(x) > 0, short(F.hash(x))).otherwise(zero)))
-    df = df.withColumns({f"{own}h{i}": h for i, h in enumerate(hashes)})
-    finest = F.col(f"{own}h0")
+        df = df.withColumns({p: F.expr(in_class(source, STEP - 1, g)) for g, p in enumerate(parts)})
+        subsets = ", ".join(in_class(parts[j % STEP], most - 1, j) for j in range(most))
+        df = df.withColumn(f"{own}h{level}", F.expr(f"transform(array({subsets}), x -> if(size(x) > 0, {short('hash(x)')}, 0S))"))
     groups = LEVELS[0][1] // COARSE
-    united = F.array(*[F.array(*[F.get(finest, F.lit(j + COARSE * g)) for g in range(groups)]) for j in range(COARSE)])
-    coarse = F.transform(united, lambda x: F.when(F.array_max(F.transform(x, lambda v: (v != 0).cast("int"))) == 1, short(F.hash(x))).otherwise(zero))
-    rest = F.when(F.size(f"{own}0") == 0, short(F.hash(F.array_sort(f"{own}all")))).otherwise(zero)
-    df = df.withColumn(name, F.concat(coarse, *[F.col(f"{own}h{i}") for i in range(len(LEVELS))], F.array(rest)))
-    return df.drop(*[c for c in df.columns if c.startswith(own)])
+    united = ", ".join("array(" + ", ".join(f"get(`{own}h0`, {j + COARSE * g})" for g in range(groups)) + ")" for j in range(COARSE))
+    coarse = F.expr(f"transform(array({united}), x -> if(exists(x, v -> v <> 0S), {short('hash(x)')}, 0S))")
+    rest = F.when(F.size(held) == 0, F.col(whole)).otherwise(F.lit(0).cast("smallint"))
+    made = F.concat(coarse, *[F.col(f"{own}h{i}") for i in range(len(LEVELS))], F.array(rest))
+    return df.select(*kept, made.alias(name))
+
+
+def with_fingerprint(docs: DataFrame, terms: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """``docs`` with its text's fingerprint by a lexicon; a column of that name is replaced."""
+    held, whole = unused(docs, "held"), unused(docs, "whole")
+    hashed = docs.drop(name).withColumn(held, term_hashes(F.col(text)))
+    found = with_held(hashed.withColumn(whole, whole_hash(F.col(held))), terms, [held], [])
+    return with_subset_hashes(found, held, whole, name).select(*[c for c in docs.columns if c != name], name)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -185,8 +187,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return ids.join(next_smaller(ids.select("doc_id")), "doc_id").select("doc_id", F.coalesce("below", F.lit(first)).alias("next_id"), "n_chars")
 
 
-def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, prev_id, text, edited): the last third replaced by the next document's start.
+def edited_texts(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, prev_id, text, edited): the last third replaced by the next document's start; the
+    rows with an id, dealt out by it, and those without.
 
     Texts are shuffled once, and besides only the characters that the predecessor needs. A row
     without an id has no neighbour; where an id repeats, the smallest start is taken.
@@ -195,21 +198,27 @@ def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
     own = texts.where("doc_id is not null").join(wanted, "doc_id")
     heads = own.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(F.substr("text", F.lit(1), F.col("need"))).alias("head"))
-    nameless = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("prev_id"), "text", F.lit("").alias("head"))
-    both = own.join(heads, "doc_id").select("doc_id", "prev_id", "text", "head").unionByName(nameless)
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - third), F.substr("head", F.lit(1), third))
-    return both.select("doc_id", "prev_id", "text", edited.alias("edited"))
+    columns = ("doc_id", "prev_id", "text", edited.alias("edited"))
+    nameless = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("prev_id"), "text", F.lit("").alias("head"))
+    return own.join(heads, "doc_id").select(*columns), nameless.select(*columns)
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside its edited text's and its next document's."""
     pairs = cut(neighbours(docs))
-    known = lexicon(docs)
-    both = edited_texts(docs, pairs)
-    facts = both.select("doc_id", "prev_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    printed = with_fingerprint(with_fingerprint(facts, known, "text", "fp"), known, "edited", "edited_fp")
-    rows = cut(printed.select("doc_id", "prev_id", "n_chars", "edited_sha256", "fp", "edited_fp"))
+    terms = lexicon(docs)
+
+    def printed(both: DataFrame) -> DataFrame:
+        facts = both.select("doc_id", "prev_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), term_hashes(F.col("text")).alias("a"), term_hashes(F.col("edited")).alias("b"))
+        wholes = facts.withColumns({"whole_a": whole_hash(F.col("a")), "whole_b": whole_hash(F.col("b"))})
+        held = with_held(wholes, terms, ["a", "b"], ["doc_id"])
+        return with_subset_hashes(with_subset_hashes(held, "a", "whole_a", "fp"), "b", "whole_b", "edited_fp")
+
+    named, nameless = edited_texts(docs, pairs)
+    made = printed(named)
+    rows = cut(made if nameless.isEmpty() else made.unionByName(printed(nameless)))
     after = rows.where("prev_id is not null").groupBy(F.col("prev_id").alias("doc_id")).agg(F.min("fp").alias("next_fp"))
     return rows.join(after, "doc_id", "left").select(
         "doc_id",
