@@ -337,14 +337,16 @@ def brute_fingerprints(spark, texts):
     return out
 
 
-@pytest.mark.parametrize("most", [imatch.TABLE_TERMS, 3])
+@pytest.mark.parametrize("most", [imatch.MOST_TERMS, 3])
 def test_imatch_equals_its_definition(spark, monkeypatch, most):
-    monkeypatch.setattr(imatch.lexicon, "__defaults__", (imatch.LOW, imatch.HIGH, most))
+    monkeypatch.setattr(imatch.with_held, "__defaults__", (most,))
     rng = random.Random(12)
     texts = [" ".join(f"t{int(rng.paretovariate(0.5)) % 3000}" for _ in range(rng.randint(0, 120))) for _ in range(80)] + ["", "only here", "Écrit é 9x"]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {r.doc_id: r.fingerprint for r in imatch.compare_neighbours(df).collect()}
     assert got == dict(enumerate(brute_fingerprints(spark, texts)))
+    alone = imatch.with_fingerprint(df.withColumn("held", F.lit("x")), imatch.lexicon(df)).select("doc_id", "held", imatch.text_of(F.col("fingerprint"))).collect()
+    assert {r[0]: r[2] for r in alone} == got and {r.held for r in alone} == {"x"}
 
 
 def test_next_smaller_in_many_ranges(spark, monkeypatch):
