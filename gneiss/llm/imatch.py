@@ -75,7 +75,7 @@ def with_held(rows: DataFrame, terms: DataFrame, arrays: list[str], by: list[str
     dealt = rows.withColumn(uid, F.monotonically_increasing_id()).select(*by, uid, *facts, F.explode_outer(every).alias(one))
     lookup = broadcast_if_small(terms.select(F.col("term").alias(known)), most)
     met = dealt.join(lookup, F.col(f"{one}.h") == F.col(known), "left")
-    gathered = [F.array_sort(F.collect_list(F.when(F.col(f"{one}.kind") == i, F.col(known)))).alias(a) for i, a in enumerate(arrays)]
+    gathered = [F.sort_array(F.collect_list(F.when(F.col(f"{one}.kind") == i, F.col(known)))).alias(a) for i, a in enumerate(arrays)]
     return met.groupBy(*by, uid).agg(*[F.first(c).alias(c) for c in facts], *gathered).drop(uid)
 
 
@@ -87,7 +87,7 @@ def _short(x: Column) -> Column:
 
 def whole_hash(terms: Column) -> Column:
     """What a text without lexicon terms is told by: a hash of all its terms."""
-    return _short(F.hash(F.array_sort(terms)))
+    return _short(F.hash(F.sort_array(terms)))
 
 
 def with_subset_hashes(df: DataFrame, held: str, whole: str, name: str) -> DataFrame:
