@@ -10,9 +10,10 @@ broken by a backslash after its first character; dropping each backslash before
 gives the text back.
 
 Defined results: null texts and roles are empty; turns are ordered by number, then role, then
-text, so repeated turns have a fixed order and stay; rows without a conversation id form one
-conversation; a conversation without a reply has one example without a target; an empty table
-gives an empty result; further columns are ignored.
+text, so repeated turns have a fixed order and stay; each row without a conversation id is a
+conversation of its own, told apart by ``single``; a conversation without a reply has one example
+without a target; very long texts are written whole; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,24 +42,29 @@ def unescape(text: Column) -> Column:
 
 
 def examples(conversations: DataFrame, target: str = "assistant") -> DataFrame:
-    """(conv_id, example, is_target, formatted, loss_start, loss_length), places in characters."""
-    rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    """(conv_id, single, example, is_target, formatted, loss_start, loss_length), places in characters.
+
+    ``single`` is null where there is a conversation id.
+    """
+    single = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", single.alias("single"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    gathered = rows.groupBy("conv_id", "single").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     written = gathered.select(
         "conv_id",
+        "single",
         F.transform("turns", lambda t: t["role"]).alias("roles"),
         F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END))).alias("parts"),
         F.transform("turns", lambda t: F.length(escape(t["text"])) + len(END)).alias("ends"),
     )
     # An outer explode: an inner one would have the parts made twice, once for a filter.
-    dealt = written.select("conv_id", "roles", "parts", "ends", F.posexplode_outer("roles").alias("at", "role"))
+    dealt = written.select("conv_id", "single", "roles", "parts", "ends", F.posexplode_outer("roles").alias("at", "role"))
     is_target = F.col("role") == target
     wanted = dealt.where(is_target | (F.col("at") == F.size("roles") - 1))
     formatted = F.array_join(F.slice("parts", 1, F.col("at") + 1), "")
-    made = wanted.select("conv_id", F.col("at").alias("example"), is_target.alias("is_target"), formatted.alias("formatted"), F.get("ends", F.col("at")).alias("tail"))
+    made = wanted.select("conv_id", "single", F.col("at").alias("example"), is_target.alias("is_target"), formatted.alias("formatted"), F.get("ends", F.col("at")).alias("tail"))
     start = F.when(F.col("is_target"), F.length("formatted") - F.col("tail"))
     size = F.when(F.col("is_target"), F.col("tail") - len(END))
-    return made.select("conv_id", "example", "is_target", "formatted", start.alias("loss_start"), size.alias("loss_length"))
+    return made.select("conv_id", "single", "example", "is_target", "formatted", start.alias("loss_start"), size.alias("loss_length"))
 
 
 def loss_text(formatted: Column, start: Column, length: Column) -> Column:
@@ -76,8 +82,8 @@ def turns(formatted: Column) -> Column:
 
 def digest(made: DataFrame) -> DataFrame:
     """One row for each conversation, read back from its examples."""
-    each = made.select("conv_id", "example", "formatted", F.when(F.col("is_target"), loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length"))).alias("loss"))
-    of = each.groupBy("conv_id").agg(
+    each = made.select("conv_id", "single", "example", "formatted", F.when(F.col("is_target"), loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length"))).alias("loss"))
+    of = each.groupBy("conv_id", "single").agg(
         F.max_by("formatted", "example").alias("last"),
         F.array_sort(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))).alias("losses"),
         F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),

@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the folder that the whole cluster shares, and read them.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary one is taken. The table goes when the driver ends.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset on one machine,
+    as in tests, a temporary one is taken. The table goes when the driver ends.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='gneiss-shared-')}")
     path = f"{root.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
     df.write.parquet(path)

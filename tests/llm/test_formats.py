@@ -107,7 +107,9 @@ def test_chat_round_trip(spark):
     read = {}
     for r in made.select("conv_id", "example", chat.turns(F.col("formatted")).alias("t"), "is_target", chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("loss"), "formatted").collect():
         read.setdefault(r.conv_id, []).append(r)
-    for c in {r[0] for r in rows}:
+    alone = sorted((r.formatted, r.is_target) for r in read.pop(None))
+    assert alone == [("<|im_start|>assistant\ny<|im_end|>\n", True), ("<|im_start|>user\nx<|im_end|>\n", False)]
+    for c in {r[0] for r in rows} - {None}:
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
         examples = sorted(read[c], key=lambda r: r.example)
         assert [tuple(t) for t in examples[-1].t] == turns
@@ -116,7 +118,8 @@ def test_chat_round_trip(spark):
             assert [tuple(t) for t in r.t] == turns[: r.example + 1]
             assert r.formatted.count("<|im_start|>") == r.example + 1 == r.formatted.count("<|im_end|>") and "[INST]" not in r.formatted
     digest = {r.conv_id: r for r in chat.digest(made).collect()}
-    assert digest[None].n_turns == 2 and digest[40].loss_chars == 6
+    assert digest[None].n_turns == 1 and digest[40].loss_chars == 6
+    assert chat.digest(made).where("conv_id is null").count() == 2
     assert chat.digest(chat.examples(df.limit(0))).count() == 0
 
 

@@ -68,6 +68,25 @@ def test_odd_tables(spark, module, add):
     assert all(0 <= r[2] <= 1 for r in out) and out[0][2] == out[4][2]
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    lexicon = toxicity.Lexicon({"fool": 2.0}, {"stup": 1.0})
+    for text in ("x" * 2_000_000, "a1" * 500_000, "ab@" * 300_000 + "!", "1" * 1_000_000 + "a", "stupid you " * 100_000):
+        assert len(toxicity.features(text, lexicon)[0]) == toxicity.N_FEATURES
+        quality.features(text)
+    assert time.monotonic() - start < 60
+
+
+def test_hidden_words_are_seen():
+    lexicon = toxicity.Lexicon({}, {})
+    count = lambda t: toxicity.OBFUSCATED.findall(t)
+    assert count("you id1ot, b*tch") == ["id1ot", "b*tch"] and count("plain 4 text! 2nd x2") == []
+    assert count("a1b2c") == ["a1b2c"] and count("1a 1a1") == []
+    assert toxicity.features("you id1ot", lexicon)[0][13] > 0 == toxicity.features("you 1 ot", lexicon)[0][13]
+
+
 def brute_scores(texts, order=3, alpha=0.4, least=2):
     docs = [t.split() for t in texts]
     counts = Counter(tuple(d[i : i + n]) for d in docs for n in range(1, order + 1) for i in range(len(d) - n + 1))
@@ -98,6 +117,19 @@ def test_backoff_equals_brute_force_in_many_blocks(spark):
         assert abs(out[i].log_score - expected) < 1e-9 and out[i].n_tokens == len(texts[i].split())
 
 
+def test_backoff_of_repeated_rows_and_one_long_text(spark):
+    """Rows that repeat fall into many blocks, one text stays in one."""
+    texts = ["a b a c"] * 3000 + [" ".join(f"w{i % 50}" for i in range(30_000))]
+    df = spark.createDataFrame([(min(i, 7), t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    made = ngram_lm.blocks(df, 2000).select("block", F.size("ids").alias("n")).collect()
+    assert len(made) > 10 and sum(r.n for r in made) == 3001 and max(r.n for r in made) <= 2000 // 7 + 2
+    out = ngram_lm.score(df, block_bytes=2000, bucket_keys=100).collect()
+    expected = brute_scores(texts)
+    assert len(out) == 3001 and sorted(round(r.log_score, 6) for r in out) == sorted(round(x, 6) for x in expected)
+    large = spark.createDataFrame([(2**62 + 1, "x y"), (None, "x y")], "doc_id bigint, text string")
+    assert {r.doc_id for r in ngram_lm.score(large).collect()} == {2**62 + 1, None}
+
+
 def test_backoff_odd_tables(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "A b"), (None, "a B"), (5, " \t ")], "doc_id bigint, text string")
     out = ngram_lm.score(df).collect()
