@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ def with_embedding(df, backend: Callable | None = None, source: str = "content",
     from pyspark.sql import types as T
 
     backend = backend or hash_embedder()
-    kept = df.drop(name).withColumn("__clean", text.clean_for_embedding(F.col(source)))
-    schema = T.StructType([*[f for f in kept.schema.fields if f.name != "__clean"], T.StructField(name, T.ArrayType(T.FloatType()))])
+    plain = df.drop(name)
+    schema = T.StructType([*plain.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
+    kept = plain.select("*", text.clean_for_embedding(F.col(source)).alias("clean"))
 
     def run(batches):
         import pyarrow as pa
@@ -50,22 +52,73 @@ def with_embedding(df, backend: Callable | None = None, source: str = "content",
     return kept.mapInArrow(run, schema)
 
 
+def pair_scores(query: str, scorer: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32):
+    """A vectorised function from contents to a cross-scorer's numbers for (query, content) pairs."""
+    @F.pandas_udf("double")
+    def scored(contents: pd.Series) -> pd.Series:
+        pairs = [(query, c) for c in contents]
+        return pd.Series([float(x) for lo in range(0, len(pairs), batch) for x in scorer(pairs[lo : lo + batch])], dtype="float64")
+
+    return scored
+
+
 def lexical_logit(terms: list[str], content: Column) -> Column:
-    """Default cross-scorer: share of the query's terms in the text, as a logit from -4 to 4."""
+    """Default cross-scorer: share of the query's lexemes that stand in the text as they are, as a
+    logit from -4 to 4."""
     wanted = sorted(set(terms))
     have = F.array_distinct(text.tokens(content))
     hits = F.size(F.array_intersect(have, F.array(*[F.lit(t) for t in wanted]).cast("array<string>")))
     return hits * 8.0 / max(1, len(wanted)) - 4.0
 
 
-def with_retries(call: Callable[[], str], attempts: int = 3, pause: float = 1.5, fallback: Callable[[], str] | None = None, sleep=time.sleep) -> str:
-    """Call a model, waiting twice as long after each failure, then its lighter stand-in."""
-    for n in range(attempts):
-        try:
-            return call()
-        except Exception:
-            if n + 1 < attempts:
-                sleep(pause * 2**n)
-            elif fallback is None:
-                raise
-    return fallback()
+#: What the message of an error holds that passes, and of one about quotas.
+PASSING = ("429", "503", "504", "unavailable", "timeout", "deadline", "connection", "overloaded", "broken pipe", "remote disconnected", "socket", "capacity")
+QUOTA = ("quota", "resource_exhausted", "limit:")
+
+
+def with_retries(calls: list[Callable[[], str]], attempts: int = 3, pause: float = 1.5, sleep=time.sleep, wait_for_quota: bool = False) -> str:
+    """The first text that one of several models gives, asked one after the other.
+
+    A model is asked again, after twice as long each time, while its errors pass by themselves.
+    An error about quotas moves on to the next model at once, unless ``wait_for_quota`` counts it
+    among those that pass; so does any other. If none answers, the last error is raised.
+    """
+    last: Exception = RuntimeError("no model")
+    for call in calls:
+        for n in range(attempts):
+            try:
+                return call()
+            except Exception as e:
+                last, said = e, str(e).lower()
+                quota = any(w in said for w in QUOTA)
+                if quota and not wait_for_quota or not quota and not any(w in said for w in PASSING):
+                    break
+                if n + 1 < attempts:
+                    sleep(pause * 2**n)
+    raise last
+
+
+def with_answer(prompts, models: list[Callable[[str], str]], source: str = "prompt", name: str = "answer", failed: str = "", **how):
+    """``prompts`` with the text that the first of several models answers; ``failed`` if none does.
+
+    Models are plain functions, called on the executors, one prompt after the other in each task.
+    """
+    from pyspark.sql import types as T
+
+    kept = prompts.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def asked(prompt: str) -> str:
+            try:
+                return with_retries([lambda m=m: m(prompt) for m in models], **how)
+            except Exception:
+                return failed
+
+        for batch in batches:
+            texts = [asked(p or "") for p in batch.column(batch.schema.get_field_index(source)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
+
+    return kept.mapInArrow(run, schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gneiss.functions.stemming import STOP_WORDS
+
 TOKEN = r"[\p{L}\p{N}]+"
-#: A sentence ends after a full-width mark or line break, or at white space after a mark.
+# A sentence ends after a full-width mark or line break, or at white space after a mark.
 SENTENCE_END = r"(?<=[。！？\n])|(?<=[.!?])\s+"
 
 
@@ -14,6 +16,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def words(text: Column) -> Column:
+    """Tokens that aren't English stop words."""
+    stop = sorted(STOP_WORDS)
+    return F.filter(tokens(text), lambda t: ~t.isin(stop))
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -45,9 +53,15 @@ def clean_for_embedding(content: Column, limit: int = 3500) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names with numbers by value: digits are padded, the rest is lower-cased."""
+    """Sorts names with numbers by value: digits without leading zeros come after how many they are,
+    the rest is lower-cased. Runs of up to 10**9 digits keep their order."""
     pieces = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+    def padded(p):
+        digits = F.regexp_replace(p, "^0+(?=\\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), padded(p)).otherwise(p)), "")
 
 
 def file_name() -> Column:

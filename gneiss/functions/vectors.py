@@ -81,3 +81,92 @@ def approximate_nearest(rows: DataFrame, query: list[float], k: int, key: str =
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=7).fit(frame)
     found = model.approxNearestNeighbors(frame, Vectors.dense(query), k, distCol="distance")
     return found.select(key, (1 - F.col("distance") ** 2 / 2).alias("cosine_similarity"))
+
+
+def centroids(rows: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 15, key: str = "chunk_id", vector: str = "embedding"):
+    """Unit centroids of an inverted-list index, fitted on at most ``sample`` vectors, those with the
+    smallest hashes of their keys."""
+    import numpy as np
+
+    some = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
+    if not some:
+        return np.zeros((0, 0))
+    width = max(len(r[0]) for r in some)
+    x = np.array([r[0] for r in some if len(r[0]) == width], float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
+    c = x[np.random.default_rng(11).permutation(len(x))[:lists]]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(axis=1)
+        for i in range(len(c)):
+            if (near == i).any():
+                c[i] = x[near == i].sum(axis=0)
+        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
+
+
+def with_list(rows: DataFrame, index, vector: str = "embedding", name: str = "list") -> DataFrame:
+    """Every row with the number of its nearest centroid; null where its vector doesn't fit. Store
+    it partitioned by that number, so that a search reads the lists it probes."""
+    from pyspark.sql import types as T
+
+    kept = rows.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.IntegerType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [None] * batch.num_rows
+            values = batch.column(batch.schema.get_field_index(vector)).to_pylist()
+            fit = [i for i, v in enumerate(values) if v is not None and index.size and len(v) == index.shape[1]]
+            if fit:
+                for i, n in zip(fit, (np.array([values[i] for i in fit], float) @ index.T).argmax(axis=1).tolist(), strict=True):
+                    out[i] = n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def nearest_in_lists(listed: DataFrame, index, queries: dict, k: int, probes: int = 16, key: str = "chunk_id", vector: str = "embedding", name: str = "list") -> DataFrame:
+    """Approximate ``nearest``: each query looks only into the ``probes`` lists nearest to it.
+
+    Rows meet the queries of their list alone; each Arrow batch of a list is scored at once.
+    """
+    import numpy as np
+
+    ids = sorted(queries)
+    if not ids or not index.size:
+        return nearest(listed, {}, k, key, vector)
+    matrix = np.array([queries[i] for i in ids], float)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    probed = np.argsort(-(matrix @ index.T), axis=1, kind="stable")[:, :probes]
+    asks = {int(n): np.flatnonzero((probed == n).any(axis=1)) for n in np.unique(probed)}
+    key_type = listed.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, vectors, lists = (batch.column(i).to_pylist() for i in range(3))
+            by: dict[int, list[int]] = {}
+            for i, n in enumerate(lists):
+                by.setdefault(n, []).append(i)
+            rows = []
+            for n, places in by.items():
+                x = np.array([vectors[i] for i in places], float)
+                norm = np.linalg.norm(x, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.round((matrix[asks[n]] @ x.T) / norm, PLACES)
+                score[~np.isfinite(score)] = -2
+                for q, own in zip(asks[n], score, strict=True):
+                    best = np.argsort(-own, kind="stable")[:k] if len(own) <= k else np.flatnonzero(own >= np.partition(own, -k)[-k])
+                    rows += [(ids[q], keys[places[j]], float(own[j])) for j in best if own[j] > -1.5]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field(0).type), pa.array(cols[2], pa.float64())], ["query_id", key, "cosine_similarity"])
+
+    wanted = listed.where(F.col(name).isin(sorted(asks))).select(key, vector, name)
+    near = wanted.mapInArrow(run, f"query_id bigint, `{key}` {key_type}, cosine_similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine_similarity"), key)
+    return near.withColumn("rank_vec", F.row_number().over(order)).where(F.col("rank_vec") <= k)

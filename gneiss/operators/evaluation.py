@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss import schemas
+from gneiss.functions import models
+from gneiss.functions.vectors import nearest
+from gneiss.operators.retrieval import of_type
 
 
 def _items(c) -> Column:
@@ -56,6 +61,33 @@ def case_type(expected: Column, chosen: str | None) -> Column:
     return F.coalesce(expected, F.lit(chosen))
 
 
+def candidates(chunks: DataFrame, cases: DataFrame, k: int, chosen: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, cosine_similarity, rank_vec): the ``k`` nearest chunks of each case, among
+    those of its own type, else of the chosen one.
+
+    ``cases`` (query_id, embedding, expected_type) is a block that the driver can hold.
+    """
+    rows = cases.select("query_id", "embedding", case_type(F.col("expected_type"), chosen).alias("type")).collect()
+    found = [nearest(of_type(chunks, t), {r["query_id"]: list(r["embedding"]) for r in rows if r["type"] == t}, k) for t in sorted({r["type"] for r in rows}, key=str)]
+    out = found[0] if found else nearest(chunks, {}, k)
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def generated(cases: DataFrame, hits: DataFrame, backends: list, **how) -> DataFrame:
+    """(query_id, answer): candidate answers to judge, from the contents of each case's hits.
+
+    ``cases`` has query_id and query, ``hits`` query_id, rank and content. The first backend that
+    answers counts; without any the answer says so.
+    """
+    block = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]\n"), F.coalesce("content", F.lit(""))).alias("text"))
+    context = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    joined = F.array_join(F.transform(F.coalesce("blocks", F.array().cast(context.schema["blocks"].dataType)), lambda b: b["text"]), "\n\n")
+    prompts = cases.join(context, "query_id", "left").select("query_id", F.concat(joined, F.lit("\n\nQuestion: "), F.col("query"), F.lit("\nAnswer:")).alias("prompt"))
+    return models.with_answer(prompts, backends, failed="No answer: every model is overloaded.", wait_for_quota=True, **how).select("query_id", "answer")
+
+
 # ------------------------------------------------------------- acceptance checks
 
 
@@ -88,11 +120,11 @@ def uniqueness_check(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return out.withColumn("passed", (F.col("total") == F.col("distinct_keys")) & (F.col("total") > 0))
 
 
-def top_hit_check(hits: DataFrame, floor: float, keyword: str | None = None) -> DataFrame:
-    """Whether the best hit is close enough and holds a keyword."""
+def top_hit_check(hits: DataFrame, floor: float, *keywords: str) -> DataFrame:
+    """Whether the best hit is close enough and holds one of the keywords."""
     ok = F.col("cosine_similarity") > floor
-    if keyword:
-        ok = ok & F.contains(F.lower("content"), F.lit(keyword.lower()))
+    if keywords:
+        ok = ok & F.coalesce(F.lower("content").rlike("|".join(re.escape(k.lower()) for k in keywords)), F.lit(False))
     return hits.orderBy(F.desc("cosine_similarity"), "chunk_id").limit(1).agg(F.coalesce(F.max(ok), F.lit(False)).alias("passed"))
 
 

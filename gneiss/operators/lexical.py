@@ -1,29 +1,51 @@
-"""Keyword search: weighted postings, AND matching and two rankings.
+"""Keyword search over English lexemes: weighted postings, AND matching and two rankings.
 
-``wtf`` is the sum over terms and fields of weight * tf / (tf + 1), with weight 1.0 for the
-chapter path and 0.4 for the content. ``bm25`` is Robertson and Zaragoza's, over both fields.
-Both are definitions of this engine.
+Texts and queries lose their stop words, and words are told apart by their stems. ``wtf`` is the
+sum over lexemes and fields of weight * tf / (tf + 1), with weight 1.0 for the chapter path and 0.4
+for the content. ``bm25`` is Robertson and Zaragoza's, over both fields. Both are definitions of
+this engine.
+
+Only the words of a corpus that start like a query's are stemmed, each once; they give the forms of
+the query's lexemes, and matching then compares forms inside the row, on the JVM.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gneiss.functions import text
+from gneiss.functions import stemming, text
+from gneiss.functions.frames import scratch
 from gneiss.functions.vectors import PLACES
 
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, field, term, tf) of both fields; write it bucketed by term to serve many queries."""
+@F.pandas_udf(T.StringType())
+def stems(words: pd.Series) -> pd.Series:
+    """Stems of words, in batches."""
+    return words.map(stemming.stem, na_action="ignore")
+
+
+def postings(chunks: DataFrame, key: str = "chunk_id", english: bool = True) -> DataFrame:
+    """(key, field, term, tf) of both fields; write it bucketed by term to serve many queries.
+
+    Terms are lexemes, or plain tokens if ``english`` is false.
+    """
+    split = text.words if english else text.tokens
     fields = F.array(
-        F.struct(F.lit("A").alias("field"), text.tokens(F.col("chapter_path")).alias("terms")),
-        F.struct(F.lit("B").alias("field"), text.tokens(F.col("content")).alias("terms")),
+        F.struct(F.lit("A").alias("field"), split(F.col("chapter_path")).alias("terms")),
+        F.struct(F.lit("B").alias("field"), split(F.col("content")).alias("terms")),
     )
     dealt = chunks.select(key, F.explode(fields).alias("f")).select(key, "f.field", F.explode_outer("f.terms").alias("term"))
-    return dealt.where(F.col("term").isNotNull()).groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+    counted = dealt.where(F.col("term").isNotNull()).groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+    if not english:
+        return counted
+    return counted.withColumn("term", stems("term")).groupBy(key, "field", "term").agg(F.sum("tf").alias("tf"))
 
 
 def store_postings(held: DataFrame, name: str, buckets: int = 64) -> None:
@@ -41,25 +63,43 @@ def match_stored(held: DataFrame, terms: list[str], key: str = "chunk_id") -> Da
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query, as the texts' own are made."""
-    import re
+    """Distinct lexemes of a query, as the texts' own are made; a query of stop words has none."""
+    return sorted(set(stemming.lexemes(re.findall(r"[^\W_]+", query.lower()))))
+
 
-    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
+def forms_of(chunks: DataFrame, terms: list[str]) -> dict[str, list[str]]:
+    """The words of both fields that have each lexeme as their stem.
+
+    What reaches the driver are the forms of the given lexemes, some dozens each.
+    """
+    own = {t: {t} if stemming.stem(t) == t and t not in stemming.STOP_WORDS else set() for t in terms}
+    for word, one in stemming.SPECIAL.items():
+        if one in own:
+            own[one].add(word)
+    if terms:
+        heads = "^(?:" + "|".join(sorted({re.escape(stemming.head(t)) for t in terms})) + ")"
+        fields = F.array_distinct(F.concat(text.words(F.col("chapter_path")), text.words(F.col("content"))))
+        met = chunks.select(F.explode_outer(F.filter(fields, lambda t: t.rlike(heads))).alias("word")).where("word is not null").distinct()
+        for r in met.withColumn("term", stems("word")).where(F.col("term").isin(terms)).collect():
+            own[r["term"]].add(r["word"])
+    return {t: sorted(own[t]) for t in terms}
 
 
 def _counted(chunks: DataFrame, terms: list[str], key: str) -> DataFrame:
-    """(key, length, a0, b0, a1, ...): how often each term stands in path (a) and content (b).
+    """(key, length, a0, b0, a1, ...): how often each lexeme stands in path (a) and content (b).
 
     Frequencies are counted inside the row, so nothing is shuffled to match.
     """
-    held = chunks.select(key, text.tokens(F.col("chapter_path")).alias("a"), text.tokens(F.col("content")).alias("b"))
-    wanted = held.select(key, (F.size("a") + F.size("b")).alias("length"), *[F.filter(f, lambda t: t.isin(terms)).alias(f) for f in ("a", "b")])
-    counts = [F.size(F.filter(f, _is(t))).alias(f"{f}{i}") for i, t in enumerate(terms) for f in ("a", "b")]
+    forms = forms_of(chunks, terms)
+    every = sorted({w for own in forms.values() for w in own})
+    held = chunks.select(key, text.words(F.col("chapter_path")).alias("a"), text.words(F.col("content")).alias("b"))
+    wanted = held.select(key, (F.size("a") + F.size("b")).alias("length"), *[F.filter(f, _is_one(every)).alias(f) for f in ("a", "b")])
+    counts = [F.size(F.filter(f, _is_one(forms[t]))).alias(f"{f}{i}") for i, t in enumerate(terms) for f in ("a", "b")]
     return wanted.select(key, "length", *counts)
 
 
-def _is(term: str):
-    return lambda t: t == term
+def _is_one(words: list[str]):
+    return lambda t: t.isin(words) if words else F.lit(False)
 
 
 def _bm25(facts, i: int, k1: float, b: float):
@@ -74,10 +114,10 @@ def _wtf(i: int):
 
 
 def score_all(chunks: DataFrame, queries: dict[int, list[str]], ranking: str = "bm25", key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of every chunk that holds all terms of a query; no term, no match.
+    """(query_id, key, score) of every chunk that holds all lexemes of a query; none, no match.
 
-    All queries share one pass that counts (for ``bm25``) and one that scores, so take them in
-    blocks of some dozens. Statistics are over all ``chunks``.
+    All queries share one pass that finds their words and one that counts, so take them in blocks
+    of some dozens. Statistics are over all ``chunks``.
     """
     terms = sorted({t for q in queries.values() for t in q})
     asked = {q: sorted({terms.index(t) for t in own}) for q, own in queries.items() if own}
@@ -86,6 +126,10 @@ def score_all(chunks: DataFrame, queries: dict[int, list[str]], ranking: str = "
     counted = _counted(chunks, terms, key)
     facts = None
     if ranking == "bm25":
+        # Narrow counts are kept, so the statistics and the scores share one pass over the texts.
+        path = scratch(chunks.sparkSession)
+        counted.write.parquet(path)
+        counted = chunks.sparkSession.read.schema(counted.schema).parquet(path)
         held = [F.count_if(F.col(f"a{i}") + F.col(f"b{i}") > 0).alias(f"d{i}") for i in range(len(terms))]
         facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *held).first()
     hits = []

@@ -29,6 +29,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", mutable=MUTABL
     return both.select(*picked)
 
 
-def write_snapshot(merged: DataFrame, path: str) -> None:
-    """Store a snapshot for scans by type; give every snapshot a path of its own."""
-    merged.repartition("chunk_type").write.partitionBy("chunk_type").parquet(path)
+def write_snapshot(merged: DataFrame, path: str, files: int = 64, key: str = "chunk_id") -> None:
+    """Store a snapshot for scans by type; give every snapshot a path of its own.
+
+    Each type is written by up to ``files`` tasks, dealt by the key, so no type ends up in one.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    merged.repartition("chunk_type", part).write.partitionBy("chunk_type").parquet(path)
+
+
+def latest(parts: DataFrame, order: str, key: str = "chunk_id", mutable=MUTABLE) -> DataFrame:
+    """The state after many ingests kept side by side: for every key the mutable columns of its last
+    row by ``order`` and all others of its first, as if upserted one after the other."""
+    columns = [c for c in parts.columns if c not in (order, key)]
+    whole = F.struct(*[F.col(c) for c in columns])
+    ends = parts.groupBy(key).agg(F.min_by(whole, order).alias("first"), F.max_by(whole, order).alias("last"))
+    # What was null at first is filled by the last, as a missing value is by a merge.
+    return ends.select(key, *[F.col(f"last.{c}").alias(c) if c in mutable else F.coalesce(f"first.{c}", f"last.{c}").alias(c) for c in columns])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.config import Retrieval
 from gneiss.functions import models
+from gneiss.functions.frames import in_blocks
 from gneiss.functions.vectors import PLACES, nearest, sigmoid
 from gneiss.operators import lexical
 
@@ -40,15 +41,23 @@ def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str], rrf_k: int = 60
 
 
 def keyword_ranks(chunks: DataFrame, queries: dict, k: int, ranking: str = "bm25", key: str = "chunk_id", block: int = 40) -> DataFrame:
-    """(query_id, key, rank_kw) of the ``k`` best matches of each query, in blocks of queries."""
-    asked = [(q, lexical.query_terms(t)) for q, t in sorted(queries.items())]
+    """(query_id, key, rank_kw) of the ``k`` best matches of each query, in blocks of queries.
+
+    Queries with the same lexemes are scored once.
+    """
+    spark = chunks.sparkSession
+    asked = {q: tuple(lexical.query_terms(t)) for q, t in queries.items()}
+    texts = sorted(set(asked.values()) - {()})
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    out = None
-    for lo in range(0, max(1, len(asked)), block):
-        scored = lexical.score_all(chunks, dict(asked[lo : lo + block]), ranking, key)
-        one = scored.withColumn("rank_kw", F.row_number().over(order).cast("bigint")).where(F.col("rank_kw") <= k).select("query_id", key, "rank_kw")
-        out = one if out is None else out.union(one)
-    return out
+
+    def ranked_blocks():
+        for lo in range(0, max(1, len(texts)), block):
+            scored = lexical.score_all(chunks, {lo + i: list(t) for i, t in enumerate(texts[lo : lo + block])}, ranking, key)
+            yield scored.withColumn("rank_kw", F.row_number().over(order).cast("bigint")).where(F.col("rank_kw") <= k).select(F.col("query_id").alias("text_id"), key, "rank_kw")
+
+    of = {t: i for i, t in enumerate(texts)}
+    pairs = spark.createDataFrame([(q, of[t]) for q, t in sorted(asked.items()) if t], "query_id bigint, text_id bigint")
+    return in_blocks(spark, ranked_blocks()).join(F.broadcast(pairs), "text_id").select("query_id", key, "rank_kw")
 
 
 def hybrid(chunks: DataFrame, queries: dict, vectors: dict, limit: int, settings: Retrieval | None = None, chunk_type: str | None = None, key: str = "chunk_id") -> DataFrame:
@@ -88,10 +97,17 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: Retriev
     return rerank(full, query, settings.top_k) if settings.rerank else full
 
 
-def rerank(hits: DataFrame, query: str, top_n: int, logit=None, key: str = "chunk_id") -> DataFrame:
-    """Hits by the sigmoid of a cross-scorer's logit; ties keep the fused order."""
-    scorer = logit or (lambda content: models.lexical_logit(lexical.query_terms(query), content))
-    scored = hits.withColumn("raw_rerank_score", F.round(scorer(F.col("content")), PLACES))
+def rerank(hits: DataFrame, query: str, top_n: int, logit=None, key: str = "chunk_id", scorer=None, batch: int = 32) -> DataFrame:
+    """Hits by the sigmoid of a cross-scorer's logit; ties keep the fused order.
+
+    ``logit`` gives it as a Column of the content. ``scorer``, a function from a list of (query,
+    content) pairs to a list of numbers such as a cross-encoder's, is called in batches instead.
+    """
+    if scorer is not None:
+        raw = models.pair_scores(query, scorer, batch)(F.coalesce(F.col("content"), F.lit("")))
+    else:
+        raw = (logit or (lambda content: models.lexical_logit(lexical.query_terms(query), content)))(F.col("content"))
+    scored = hits.withColumn("raw_rerank_score", F.round(raw, PLACES))
     scored = scored.withColumn("rerank_score", F.round(sigmoid(F.col("raw_rerank_score")), PLACES))
     order = [F.desc("rerank_score"), F.desc_nulls_last("rrf_score"), key]
     return scored.orderBy(*order).limit(top_n)
@@ -102,7 +118,19 @@ def audit_score(rerank, rrf, cosine):
     return F.coalesce(F.nullif(rerank, F.lit(0.0)), F.nullif(rrf, F.lit(0.0)), F.nullif(cosine, F.lit(0.0)), F.lit(0.0))
 
 
-def prompt_blocks(hits: DataFrame, query: str, rank: str = "rank", style_tokens: int = 1000) -> DataFrame:
+#: Tokens that an answer may have, by how detailed it is to be.
+STYLES = {"brief": 400, "standard": 1000, "deep": 2500}
+
+
+def answered(prompts: DataFrame, backends: list, failed: str = "", **how) -> DataFrame:
+    """Prompts with the answer of the first model that gives one; see ``models.with_answer``.
+
+    Each backend takes a prompt; temperature and the like are its own settings.
+    """
+    return models.with_answer(prompts, backends, failed=failed, wait_for_quota=True, **how)
+
+
+def prompt_blocks(hits: DataFrame, query: str, rank: str = "rank", style_tokens: int = STYLES["standard"]) -> DataFrame:
     """(query_id, prompt): numbered sources with their scores, then the question."""
     block = F.concat(
         F.format_string("[%d] %s", F.col(rank).cast("int"), F.coalesce("source_file", F.lit(""))),
@@ -122,4 +150,4 @@ def rendered(hits: DataFrame) -> DataFrame:
     rank = F.coalesce(F.col("rank_kw").cast("string"), F.lit("未入榜"))
     vec = F.coalesce(F.col("rank_vec").cast("string"), F.lit("未入榜"))
     preview = F.when(F.length("content") > 250, F.concat(F.substring("content", 1, 250), F.lit("..."))).otherwise(F.col("content"))
-    return hits.withColumn("markdown", F.format_string("### %s `%s`\n- vector rank %s, keyword rank %s, fused %.5f\n\n%s", "source_file", "chunk_type", vec, rank, F.coalesce("rrf_score", F.lit(0.0)), preview))
+    return hits.withColumn("markdown", F.format_string("### %s `%s`\n- vector rank %s, keyword rank %s, fused %.5f\n\n%s", "source_file", "chunk_type", vec, rank, F.bround(F.coalesce("rrf_score", F.lit(0.0)), 5), preview))

@@ -9,17 +9,31 @@ from pyspark.sql import functions as F
 
 from gneiss.config import Chunking, Retrieval
 from gneiss.functions import text
-from gneiss.functions.vectors import nearest
+from gneiss.functions.frames import broadcast_if_small, in_blocks, scratch
+from gneiss.functions.stemming import STOP_WORDS
+from gneiss.functions.vectors import centroids, nearest, nearest_in_lists, with_list
 from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retrieval, sessions
 from gneiss.plans import views
 from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
+from gneiss.sources.benchmark import builtin_cases
 from gneiss.sources.readers import table
 from gneiss.streaming import streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-TERMS = "the and"
+#: What is asked, by turns where there are many queries, and the lexemes of each.
+TEXTS = ["the ther and the thin", "Anea, thor", "erst of all the thing", "was it thinly ther, or anea?"]
+LEXEMES = [["ther", "thin"], ["anea", "thor"], ["erst", "thing"], ["anea", "ther", "thin"]]
+#: The words of the tables that have these lexemes.
+FORMS = {
+    "ther": ["ther", "therly", "therlyed", "therlying"],
+    "thin": ["thin", "thinly", "thinlyed", "thinlying"],
+    "anea": ["anea", "aneaed", "aneaes", "aneaing", "aneaingly"],
+    "thor": ["thor", "thorly", "thorlyed", "thorlying"],
+    "erst": ["erst", "ersted", "erstedly", "erstes", "ersting", "erstingly", "erstly", "erstlying"],
+    "thing": ["thing", "thinged", "thingedly", "thinges", "thinging", "thingingly", "thingly", "thinglyed", "thinglying"],
+}
 FLOOR = 0.1
 
 
@@ -41,7 +55,7 @@ _SIM = "round(list_cosine_similarity(c.embedding::double[], q.embedding::double[
 def _topk_sql(k: int, where: str = "true", floor: float | None = None) -> str:
     bar = f"WHERE s >= {floor}" if floor is not None else ""
     return f"""WITH {CHUNKS_SQL}, s AS (
-      SELECT c.chunk_id, {_SIM} AS s FROM chunks c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where})
+      SELECT c.chunk_id, {_SIM} AS s FROM chunks c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.embedding IS NOT NULL AND {where})
     SELECT chunk_id, s AS cosine_similarity, row_number() OVER (ORDER BY s DESC, chunk_id)::int AS rank_vec FROM s {bar}
     ORDER BY s DESC, chunk_id LIMIT {k}"""
 
@@ -75,15 +89,11 @@ def _every_hundredth(spark: SparkSession, d: str, block: int = 1000):
 
 
 @query(f"""WITH {CHUNKS_SQL}, s AS (
-  SELECT q.vec_id AS query_id, c.chunk_id, {_SIM} AS s FROM chunks c, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q), r AS (
+  SELECT q.vec_id AS query_id, c.chunk_id, {_SIM} AS s FROM chunks c, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE c.embedding IS NOT NULL), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::int AS rank_vec FROM s)
 SELECT query_id, chunk_id, s AS cosine_similarity, rank_vec FROM r WHERE rank_vec <= 5""")
 def cosine_topk_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    found = [nearest(views.chunks(spark, d), block, 5) for block in _every_hundredth(spark, d)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return in_blocks(spark, (nearest(views.chunks(spark, d), block, 5) for block in _every_hundredth(spark, d)))
 
 
 @query("SELECT len(embedding)::int AS dims, count(*) AS vectors FROM embeddings GROUP BY 1")
@@ -94,17 +104,23 @@ def vector_dims_check(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ keyword search
 
 _TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
-_MATCH = f"""held AS (
-  SELECT chunk_id, {_TOK.format('chapter_path')} AS a, {_TOK.format('content')} AS b FROM chunks), m AS (
-  SELECT chunk_id, len(a) + len(b) AS length,
-    len(list_filter(a, lambda t: t = 'and')) AS a0, len(list_filter(b, lambda t: t = 'and')) AS b0,
-    len(list_filter(a, lambda t: t = 'the')) AS a1, len(list_filter(b, lambda t: t = 'the')) AS b1 FROM held)"""
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(STOP_WORDS)) + "]"
+_FORMS_SQL = "forms(lexeme, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, own in FORMS.items() for w in own) + ")"
+_ASKED = "asked(text_id, lexeme) AS (VALUES " + ", ".join(f"({i}, '{k}')" for i, own in enumerate(LEXEMES) for k in own) + ")"
+_MATCH = f"""{_FORMS_SQL}, {_ASKED}, held AS (
+  SELECT chunk_id, list_filter({_TOK.format('chapter_path')}, lambda t: NOT list_contains({_STOP}, t)) AS a, list_filter({_TOK.format('content')}, lambda t: NOT list_contains({_STOP}, t)) AS b FROM chunks), size AS (
+  SELECT chunk_id, len(a) + len(b) AS length FROM held), one AS (
+  SELECT chunk_id, 'a' AS field, unnest(a) AS word FROM held UNION ALL SELECT chunk_id, 'b', unnest(b) FROM held), m AS (
+  SELECT chunk_id, lexeme, count(*) FILTER (WHERE field = 'a') AS ta, count(*) FILTER (WHERE field = 'b') AS tb FROM one JOIN forms USING (word) GROUP BY ALL), need AS (
+  SELECT text_id, count(*) AS n FROM asked GROUP BY 1)"""
 _BM25 = """stats AS (
-  SELECT count(*)::double AS n, avg(length) AS mean, count(*) FILTER (WHERE a0 + b0 > 0)::double AS d0, count(*) FILTER (WHERE a1 + b1 > 0)::double AS d1 FROM m), kw AS (
-  SELECT chunk_id, round(
-    ln(1.0 + (n - d0 + 0.5) / (d0 + 0.5)) * (a0 + b0) * 2.2 / ((a0 + b0) + 1.2 * (0.25 + 0.75 * length / mean)) +
-    ln(1.0 + (n - d1 + 0.5) / (d1 + 0.5)) * (a1 + b1) * 2.2 / ((a1 + b1) + 1.2 * (0.25 + 0.75 * length / mean)), 9) AS bm25
-  FROM m, stats WHERE a0 + b0 > 0 AND a1 + b1 > 0)"""
+  SELECT count(*)::double AS n, avg(length) AS mean FROM size), df AS (
+  SELECT lexeme, count(*)::double AS df FROM m GROUP BY 1), kw AS (
+  SELECT text_id, chunk_id, round(sum(ln(1.0 + (stats.n - df + 0.5) / (df + 0.5)) * (ta + tb) * 2.2 / ((ta + tb) + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS bm25
+  FROM asked JOIN m USING (lexeme) JOIN df USING (lexeme) JOIN size USING (chunk_id) JOIN need USING (text_id), stats GROUP BY text_id, chunk_id HAVING count(*) = max(need.n))"""
+_WTF = """wtf AS (
+  SELECT text_id, chunk_id, round(sum(1.0 * ta / (ta + 1.0) + 0.4 * tb / (tb + 1.0)), 9)::double AS wtf
+  FROM asked JOIN m USING (lexeme) JOIN need USING (text_id) GROUP BY text_id, chunk_id HAVING count(*) = max(need.n))"""
 
 
 @query(f"SELECT doc_id, len({_TOK.format('text')})::int AS n_tokens FROM documents")
@@ -116,26 +132,49 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
   SELECT DISTINCT chunk_id, unnest(list_concat({_TOK.format('chapter_path')}, {_TOK.format('content')})) AS term FROM chunks)
 SELECT term, count(*) AS df FROM p GROUP BY term""")
 def postings_df(spark: SparkSession, d: str) -> DataFrame:
-    held = lexical.postings(views.chunks(spark, d))
+    held = lexical.postings(views.chunks(spark, d), english=False)
     return held.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query(f"WITH {CHUNKS_SQL}, {_MATCH} SELECT chunk_id FROM m WHERE a0 + b0 > 0 AND a1 + b1 > 0")
+@query(f"WITH {CHUNKS_SQL}, {_MATCH} SELECT chunk_id, lexeme AS term, ta AS in_path, tb AS in_content FROM m")
+def lexeme_postings(spark: SparkSession, d: str) -> DataFrame:
+    held = lexical.postings(views.chunks(spark, d)).where(F.col("term").isin(list(FORMS)))
+    counts = [F.coalesce(F.sum(F.when(F.col("field") == f, F.col("tf"))), F.lit(0)).alias(n) for f, n in (("A", "in_path"), ("B", "in_content"))]
+    return held.groupBy("chunk_id", "term").agg(*counts)
+
+
+@query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_WTF} SELECT text_id, chunk_id, wtf FROM wtf")
+def stored_postings_match(spark: SparkSession, d: str) -> DataFrame:
+    """All texts by postings that are stored once."""
+    path = scratch(spark)
+    held = lexical.postings(views.chunks(spark, d))
+    held.repartition("term").sortWithinPartitions("term").write.parquet(path)
+    stored = spark.read.schema(held.schema).parquet(path)
+    parts = [lexical.match_stored(stored, lexical.query_terms(t)).select(F.lit(i).alias("text_id"), "chunk_id", "wtf") for i, t in enumerate(TEXTS)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_WTF} SELECT chunk_id FROM wtf WHERE text_id = 0")
 def keyword_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.match_all(views.chunks(spark, d), lexical.query_terms(TERMS)).select("chunk_id")
+    return lexical.match_all(views.chunks(spark, d), lexical.query_terms(TEXTS[0])).select("chunk_id")
 
 
-@query(f"""WITH {CHUNKS_SQL}, {_MATCH}, w AS (
-  SELECT chunk_id, round(1.0 * a0 / (a0 + 1.0) + 0.4 * b0 / (b0 + 1.0) + 1.0 * a1 / (a1 + 1.0) + 0.4 * b1 / (b1 + 1.0), 9)::double AS wtf
-  FROM m WHERE a0 + b0 > 0 AND a1 + b1 > 0)
-SELECT chunk_id, wtf, row_number() OVER (ORDER BY wtf DESC, chunk_id)::int AS rank_kw FROM w ORDER BY wtf DESC, chunk_id LIMIT 30""")
+@query(f"""WITH {CHUNKS_SQL}, {_MATCH}, {_WTF}
+SELECT chunk_id, wtf, row_number() OVER (ORDER BY wtf DESC, chunk_id)::int AS rank_kw FROM wtf WHERE text_id = 0 ORDER BY wtf DESC, chunk_id LIMIT 30""")
 def keyword_wtf_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(lexical.match_all(views.chunks(spark, d), lexical.query_terms(TERMS)), "wtf", "rank_kw", 30)
+    return retrieval.ranked(lexical.match_all(views.chunks(spark, d), lexical.query_terms(TEXTS[0])), "wtf", "rank_kw", 30)
 
 
-@query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_BM25} SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id)::int AS rank_kw FROM kw ORDER BY bm25 DESC, chunk_id LIMIT 30")
+@query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_BM25} SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id)::int AS rank_kw FROM kw WHERE text_id = 0 ORDER BY bm25 DESC, chunk_id LIMIT 30")
 def keyword_bm25_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(lexical.bm25(views.chunks(spark, d), lexical.query_terms(TERMS)), "bm25", "rank_kw", 30)
+    return retrieval.ranked(lexical.bm25(views.chunks(spark, d), lexical.query_terms(TEXTS[0])), "bm25", "rank_kw", 30)
+
+
+@query(f"""WITH {CHUNKS_SQL}, {_MATCH}, {_BM25}, r AS (SELECT text_id, chunk_id, row_number() OVER (PARTITION BY text_id ORDER BY bm25 DESC, chunk_id) AS rank_kw FROM kw)
+SELECT text_id AS query_id, chunk_id, rank_kw FROM r WHERE rank_kw <= 20""")
+def keyword_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    """Several texts, and one of stop words alone, which matches nothing."""
+    return retrieval.keyword_ranks(views.chunks(spark, d), dict(enumerate([*TEXTS, "the and of it"])), 20)
 
 
 # ------------------------------------------------------------------ hybrid search
@@ -143,10 +182,10 @@ def keyword_bm25_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid_sql(select: str, where: str = "true", queries: str = "vec_id = 0", limit: int = 15) -> str:
     return f"""WITH {CHUNKS_SQL.replace('chunks AS', 'every AS')}, chunks AS (SELECT * FROM every WHERE {where}), {_MATCH}, {_BM25},
-    q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE {queries}), s AS (
-      SELECT q.query_id, c.chunk_id, {_SIM} AS s FROM chunks c, q), v AS (
+    q AS (SELECT vec_id AS query_id, (vec_id // 100) % {len(TEXTS)} AS text_id, embedding FROM embeddings WHERE {queries}), s AS (
+      SELECT q.query_id, c.chunk_id, {_SIM} AS s FROM chunks c, q WHERE c.embedding IS NOT NULL), v AS (
       SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank_vec FROM s WHERE s >= {FLOOR}) WHERE rank_vec <= 30), k AS (
-      SELECT q.query_id, z.* FROM q, (SELECT chunk_id, row_number() OVER (ORDER BY bm25 DESC, chunk_id) AS rank_kw FROM kw) z WHERE rank_kw <= 30), f AS (
+      SELECT q.query_id, z.* FROM q JOIN (SELECT text_id, chunk_id, row_number() OVER (PARTITION BY text_id ORDER BY bm25 DESC, chunk_id) AS rank_kw FROM kw) z USING (text_id) WHERE rank_kw <= 30), f AS (
       SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, rank_vec, rank_kw,
         round(coalesce(1.0::double / (60.0::double + rank_vec), 0) + coalesce(1.0::double / (60.0::double + rank_kw), 0), 9) AS rrf_score
       FROM v FULL OUTER JOIN k ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id), r AS (
@@ -158,7 +197,7 @@ _HITS = "chunk_id, rank_vec, rank_kw, rrf_score"
 
 
 def _hybrid(spark, d, chunk_type=None):
-    return retrieval.hybrid(views.chunks(spark, d), {0: TERMS}, {0: views.vector_of(spark, d, 0)}, 15, Retrieval(floor=FLOOR), chunk_type)
+    return retrieval.hybrid(views.chunks(spark, d), {0: TEXTS[0]}, {0: views.vector_of(spark, d, 0)}, 15, Retrieval(floor=FLOOR), chunk_type)
 
 
 @query(_hybrid_sql(_HITS))
@@ -173,16 +212,15 @@ def hybrid_rrf_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_hybrid_sql("query_id, rank, " + _HITS, queries="vec_id % 100 = 0", limit=10))
 def hybrid_rrf_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector with one of the texts."""
     pool = views.chunks(spark, d)
-    kw = retrieval.keyword_ranks(pool, {0: TERMS}, 30).drop("query_id")
-    out = None
-    for block in _every_hundredth(spark, d):
-        near = nearest(pool, block, 30, floor=FLOOR).select("query_id", "chunk_id", F.col("rank_vec").cast("bigint").alias("rank_vec"))
-        asked = spark.createDataFrame([(q,) for q in sorted(block)], "query_id bigint")
-        fused = retrieval.fuse(near, asked.join(kw), ["query_id", "chunk_id"])
-        out = fused if out is None else out.union(fused)
-    order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 10").select("query_id", "rank", "chunk_id", "rank_vec", "rank_kw", "rrf_score")
+
+    def blocks():
+        for block in _every_hundredth(spark, d):
+            asked = {q: TEXTS[q // 100 % len(TEXTS)] for q in block}
+            yield retrieval.hybrid(pool, asked, block, 10, Retrieval(floor=FLOOR)).select("query_id", "rank", "chunk_id", "rank_vec", "rank_kw", "rrf_score")
+
+    return in_blocks(spark, blocks())
 
 
 @query(f"""WITH t AS ({_topk_sql(10)}) SELECT chunk_id, cosine_similarity, NULL::bigint AS rank_vec, NULL::bigint AS rank_kw, NULL::double AS rrf_score FROM t""")
@@ -191,7 +229,7 @@ def vector_only_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RERANK = f"""hits AS ({_hybrid_sql(_HITS)}), texts AS (SELECT doc_id AS chunk_id, text AS content, source, lang FROM documents), l AS (
-  SELECT h.*, round(len(list_intersect(list_distinct({_TOK.format('content')}), ['and', 'the', 'ing', 'der'])) * 8.0::double / 4 - 4.0, 9) AS raw_rerank_score
+  SELECT h.*, round(len(list_intersect(list_distinct({_TOK.format('content')}), ['ther', 'thin', 'ing', 'der'])) * 8.0::double / 4 - 4.0, 9) AS raw_rerank_score
   FROM hits h JOIN texts USING (chunk_id)), rr AS (
   SELECT chunk_id, rrf_score, raw_rerank_score, round(1.0::double / (1.0::double + exp(-raw_rerank_score)), 9) AS rerank_score FROM l)"""
 
@@ -200,7 +238,41 @@ _RERANK = f"""hits AS ({_hybrid_sql(_HITS)}), texts AS (SELECT doc_id AS chunk_i
 def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     hits = _hybrid(spark, d).select("chunk_id", "rrf_score")
     full = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
-    return retrieval.rerank(full, "the and ing der", 5).select("chunk_id", "rrf_score", "raw_rerank_score", "rerank_score")
+    return retrieval.rerank(full, "ther thin ing der", 5).select("chunk_id", "rrf_score", "raw_rerank_score", "rerank_score")
+
+
+_SEARCH = _RERANK.replace("['ther', 'thin', 'ing', 'der']", "['ther', 'thin']").replace("8.0::double / 4", "8.0::double / 2")
+
+
+@query(f"WITH {_SEARCH} SELECT chunk_id, rrf_score, rerank_score FROM rr ORDER BY rerank_score DESC, rrf_score DESC NULLS LAST, chunk_id LIMIT 4")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of candidates goes to the reranker, which keeps the best four."""
+    settings = Retrieval(floor=FLOOR, rerank=True, top_k=4)
+    return retrieval.search(views.chunks(spark, d), TEXTS[0], views.vector_of(spark, d, 0), settings).select("chunk_id", "rrf_score", "rerank_score")
+
+
+@query("SELECT 0::bigint AS chunk_id, 0.0::double AS cosine_similarity WHERE false")
+def blank_search(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(views.chunks(spark, d), "   ", views.vector_of(spark, d, 0), use_hybrid=False).select("chunk_id", "cosine_similarity")
+
+
+@query(rf"""WITH h AS ({_hybrid_sql('query_id, ' + _HITS)})
+SELECT h.chunk_id, '### ' || d.source || ' `' || CASE WHEN coalesce(e.label, d.doc_id) % 2 = 0 THEN 'text' ELSE 'table' END || '`' || chr(10) || '- vector rank ' || coalesce(rank_vec::varchar, '未入榜') || ', keyword rank ' || coalesce(rank_kw::varchar, '未入榜')
+  || ', fused ' || printf('%.5f', rrf_score) || chr(10) || chr(10) || CASE WHEN length(d.text) > 250 THEN left(d.text, 250) || '...' ELSE d.text END AS markdown
+FROM h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN embeddings e ON e.vec_id = h.chunk_id""")
+def rendered_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hybrid(spark, d).join(views.chunks(spark, d).drop("embedding"), "chunk_id")
+    return retrieval.rendered(hits).select("chunk_id", "markdown")
+
+
+@query()
+def inverted_list_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector by the approximate index, which holds every row."""
+    chunks, path = views.chunks(spark, d).select("chunk_id", "embedding"), scratch(spark)
+    index = centroids(chunks)
+    with_list(chunks, index).write.partitionBy("list").parquet(path)
+    listed = spark.read.parquet(path)
+    return in_blocks(spark, (nearest_in_lists(listed, index, block, 10) for block in _every_hundredth(spark, d)))
 
 
 @query("""SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE NULL END, 0.0), nullif(CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END, 0.0), nullif(value / 2, 0.0), 0.0) AS score FROM events""")
@@ -226,6 +298,11 @@ def top_queries(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_queries(views.audit(spark, d))
 
 
+def _newest():
+    """The numbers of a session's kept turns, from the newest."""
+    return F.array_join(F.reverse(F.transform("turns", lambda t: t["turn_id"].cast("string"))), ",").alias("newest")
+
+
 def _sessions(spark, d):
     return sessions.session_state(views.turns(spark, d))
 
@@ -265,10 +342,10 @@ def path_share_by_type(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ sessions
 
 
-@query("""SELECT conv_id::varchar AS session_id, arg_min(role, turn) AS user_id, count(*)::int AS turn_count, least(count(*), 3)::int AS kept, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id::varchar AS session_id, arg_min(role, turn) AS user_id, count(*)::int AS turn_count, array_to_string(list(turn ORDER BY turn DESC)[1:3], ',') AS newest, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1""")
 def session_upsert_state(spark: SparkSession, d: str) -> DataFrame:
     out = sessions.session_state(views.turns(spark, d), 3)
-    return out.select("session_id", "user_id", "turn_count", F.size("turns").alias("kept"), F.unix_seconds("created_at").alias("first_turn"), F.unix_seconds("updated_at").alias("last_turn"))
+    return out.select("session_id", "user_id", "turn_count", _newest(), F.unix_seconds("created_at").alias("first_turn"), F.unix_seconds("updated_at").alias("last_turn"))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
@@ -286,9 +363,10 @@ def turn_unwind(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d).select("session_id", F.explode("turns").alias("t")).select("session_id", "t.turn_id", "t.latency_ms")
 
 
-@query(f"WITH {AUDIT_SQL} SELECT (length(query) >= 1 AND total_latency_ms >= 0) AS valid, count(*) AS events FROM audit GROUP BY 1")
+@query(f"WITH {AUDIT_SQL} SELECT (length(query) >= 1 AND total_latency_ms >= 40) AS valid, count(*) AS events FROM audit GROUP BY 1")
 def audit_valid_split(spark: SparkSession, d: str) -> DataFrame:
-    return views.audit(spark, d).groupBy(sessions.audit_is_valid().alias("valid")).agg(F.count("*").alias("events"))
+    late = views.audit(spark, d).withColumn("total_latency_ms", F.col("total_latency_ms") - 40)
+    return late.groupBy(sessions.audit_is_valid().alias("valid")).agg(F.count("*").alias("events"))
 
 
 # ------------------------------------------------------------------ text
@@ -348,9 +426,9 @@ _LINES = MANUALS_SQL + r""", ord AS (
   FROM pt GROUP BY ALL), sections AS (SELECT * FROM sec WHERE text <> '')"""
 
 
-@query(f"WITH {_LINES} SELECT manual, source_file, section, length(text)::int AS chars FROM sections")
+@query(f"WITH {_LINES} SELECT manual, source_file, section, length(text)::int AS chars, sha256(text) AS text_sha256 FROM sections")
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.sections(views.manuals(spark, d)).select("manual", "source_file", "section", F.length("text").alias("chars"))
+    return ingest.sections(views.manuals(spark, d)).select("manual", "source_file", "section", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(f"WITH {_LINES} SELECT manual, source_file, section, chapter_path FROM sections")
@@ -365,6 +443,13 @@ def table_isolation(spark: SparkSession, d: str) -> DataFrame:
     return parts.where("chunk_type = 'table'").groupBy("source_file").agg(F.count("*").alias("tables"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("SELECT doc_id, CASE WHEN length(lang || ' / ' || source || ' / ' || text) > 150 THEN lang || ' / ... / ' || text ELSE lang || ' / ' || source || ' / ' || text END AS path FROM (SELECT doc_id, lang, source, trim(text, ' ') AS text FROM documents) WHERE text <> ''")
+def breadcrumb_from_map(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of maps from levels to titles; the text stands for a very long title."""
+    meta = F.create_map(F.lit("H1"), F.col("lang"), F.lit("H2"), F.col("source"), F.lit("H4"), F.col("text"))
+    return table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", ingest.path_of(meta).alias("path"))
+
+
 @query("""SELECT doc_id, regexp_replace(source || '.md', '\\.[^.]*$', '') || '_c' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents""".replace("\\\\", "\\"))
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
@@ -391,15 +476,16 @@ def ingest_end_to_end(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ merge
 
 
-@query("""WITH o AS (SELECT doc_id AS chunk_id, source AS source_file, lang AS chapter_path, text AS content FROM documents WHERE doc_id % 3 <> 0), n AS (
-  SELECT doc_id AS chunk_id, 'new' AS source_file, 'new / ' || lang AS chapter_path, left(text, 40) AS content FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH o AS (SELECT doc_id AS chunk_id, source AS source_file, lang AS chapter_path, text AS content FROM documents), n AS (
+  SELECT doc_id + 50 AS chunk_id, 'new' AS source_file, 'new / ' || lang AS chapter_path, text AS content FROM documents)
 SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, coalesce(o.source_file, n.source_file) AS source_file,
   CASE WHEN n.chunk_id IS NOT NULL THEN n.chapter_path ELSE o.chapter_path END AS chapter_path,
   CASE WHEN n.chunk_id IS NOT NULL THEN n.content ELSE o.content END AS content FROM o FULL OUTER JOIN n ON o.chunk_id = n.chunk_id""")
 def chunk_upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, and all again under other ids: some of these are new, most replace a row."""
     docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.col("lang").alias("chapter_path"), F.col("text").alias("content"))
-    new = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("new").alias("source_file"), F.concat(F.lit("new / "), "lang").alias("chapter_path"), F.substring("text", 1, 40).alias("content"))
+    old = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.col("lang").alias("chapter_path"), F.col("text").alias("content"))
+    new = docs.select((F.col("doc_id") + 50).alias("chunk_id"), F.lit("new").alias("source_file"), F.concat(F.lit("new / "), "lang").alias("chapter_path"), F.col("text").alias("content"))
     return merge.upsert(old, new)
 
 
@@ -413,32 +499,41 @@ def chunk_key_uniqueness(spark: SparkSession, d: str) -> DataFrame:
 _HELD_SQL = "held AS (SELECT b.item_id, d.doc_id, d.source, strpos(d.text, b.text)::int AS place, length(b.text)::int AS chars FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-#: Benchmark items of under seven tokens that are broadcast at once, about.
+#: Benchmark items of under three tokens that are broadcast at once, about.
 SHORT_BLOCK = 10_000
 
 
 def contained(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, doc_id, source, place, chars): benchmark items that stand in documents.
 
-    Documents meet items on a five-token window, the item's second to sixth token; then the text
-    itself is looked up. Items of under seven tokens are looked up in every document, in blocks of
-    a counted number.
+    Documents meet items on a hashed window of the tokens inside an item, five of them or as many as
+    it has between the first and the last; then the text itself is looked up. Only the documents
+    that are met are read again. Items of under three tokens have no inner token: they are looked up
+    in every document, in blocks of a counted number.
     """
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("text is not null")
     words = text.tokens(F.col("text"))
     keyed = items.select("item_id", F.col("text").alias("item"), words.alias("w"))
-    long = keyed.where(F.size("w") >= 7).select("item_id", "item", F.xxhash64(F.slice("w", 2, 5)).alias("window"))
-    hashed = docs.select("doc_id", "source", "text", words.alias("w"))
-    starts = F.when(F.size("w") >= 5, F.sequence(F.lit(1), F.size("w") - 4)).otherwise(F.array().cast("array<int>"))
-    windows = hashed.select("doc_id", F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, 5))))).alias("window"))
-    few = long.count() <= 200_000
-    pairs = windows.join(F.broadcast(long.select("item_id", "window")) if few else long.select("item_id", "window"), "window").select("doc_id", "item_id").distinct()
-    found = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(docs.select("doc_id", "source", "text"), "doc_id")
-    short = keyed.where(F.size("w") < 7).select("item_id", "item")
+    inner = F.least(F.size("w") - 2, F.lit(5))
+    long = keyed.where(F.size("w") >= 3).select("item_id", inner.alias("size"), F.xxhash64(F.slice("w", F.lit(2), inner)).alias("window"))
+    sizes = sorted(r["size"] for r in long.select("size").distinct().collect())  # five at most
+
+    def windows(k: int):
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(k))))), lambda h: F.struct(F.lit(k).alias("size"), h.alias("window")))
+
+    full = docs.select("doc_id", "source", "text")
+    found = full.limit(0).select("*", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit("").alias("item"))
+    if sizes:
+        dealt = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode_outer(F.concat(*map(windows, sizes))).alias("x")).select("doc_id", "x.size", "x.window")
+        pairs = dealt.join(broadcast_if_small(long), ["size", "window"]).select("doc_id", "item_id").distinct()
+        texts = broadcast_if_small(pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id"), 50_000)
+        found = full.join(texts, "doc_id").select("doc_id", "source", "text", "item_id", "item")
+    short = keyed.where(F.size("w") < 3).select("item_id", "item")
     blocks = ceil(short.count() / SHORT_BLOCK)
     for k in range(blocks):
         block = short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k) if blocks > 1 else short
-        found = found.unionByName(docs.select("doc_id", "source", "text").join(F.broadcast(block), F.contains("text", "item")))
+        found = found.unionByName(full.join(F.broadcast(block), F.contains("text", "item")))
     return found.where(F.contains("text", "item")).select("item_id", "doc_id", "source", F.expr("position(item in text)").alias("place"), F.length("item").alias("chars"))
 
 
@@ -458,7 +553,7 @@ _FLAGS_SQL = f"""{_HELD_SQL}, {CHUNKS_SQL}, cases AS (
   SELECT b.item_id AS case_id, e.embedding, ['src' || (b.item_id % 20)] AS files, {_TOK.format('b.text')}[1:3] AS words,
     (SELECT coalesce(list(doc_id), []) FROM held h WHERE h.item_id = b.item_id) AS ids
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), s AS (
-  SELECT q.case_id, q.ids, q.files, q.words, c.chunk_id, c.source_file, c.content, {_SIM} AS s FROM cases q, chunks c), r AS (
+  SELECT q.case_id, q.ids, q.files, q.words, c.chunk_id, c.source_file, c.content, {_SIM} AS s FROM cases q, chunks c WHERE c.embedding IS NOT NULL), r AS (
   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, chunk_id) AS rank FROM s), flags AS (
   SELECT case_id, chunk_id, rank, greatest(len(ids), len(files), 1) AS targets,
     (list_contains(ids, chunk_id) OR (list_contains(files, source_file) AND len(list_filter(words, lambda w: contains(lower(content), w))) >= least(2, len(words)))) AS relevant
@@ -475,10 +570,8 @@ def _flags(spark: SparkSession, d: str, k: int = 10, block: int = 1000) -> DataF
     vectors = table(spark, d, "embeddings")
     asked = items.join(vectors, items.item_id == vectors.vec_id).select("item_id", "embedding")
     blocks = max(1, ceil(asked.count() / block))
-    near = None
-    for b in range(blocks):
-        one = nearest(chunks, {r[0]: list(r[1]) for r in asked.where(F.pmod("item_id", F.lit(blocks)) == b).collect()}, k)
-        near = one if near is None else near.union(one)
+    dealt = (asked.where(F.pmod("item_id", F.lit(blocks)) == b) for b in range(blocks))
+    near = in_blocks(spark, (nearest(chunks, {r[0]: list(r[1]) for r in some.collect()}, k) for some in dealt))
     ids = contained(spark, d).groupBy("item_id").agg(F.collect_set("doc_id").alias("ids"))
     cases = items.join(ids, "item_id", "left").select(
         F.col("item_id").alias("query_id"),
@@ -525,6 +618,74 @@ def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.summary(_metrics(spark, d))
 
 
+@query(f"""WITH {CHUNKS_SQL}, cases AS (
+  SELECT b.item_id, e.embedding, coalesce(CASE b.item_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' END, 'text') AS kind FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), s AS (
+  SELECT q.item_id, c.chunk_id, {_SIM} AS s FROM cases q JOIN chunks c ON c.chunk_type = q.kind WHERE c.embedding IS NOT NULL), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id)::int AS rank_vec FROM s)
+SELECT item_id AS query_id, chunk_id, s AS cosine_similarity, rank_vec FROM r WHERE rank_vec <= 3""")
+def candidates_by_case_type(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with a type of their own keep it; the others take the general filter."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    kind = F.when(F.col("item_id") % 3 == 0, "text").when(F.col("item_id") % 3 == 1, "table")
+    cases = table(spark, d, "benchmark").select("item_id").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), "embedding", kind.alias("expected_type"))
+    return evaluation.candidates(views.chunks(spark, d), cases, 3, "text")
+
+
+@query("SELECT * FROM (VALUES ('TC-01', 'text', 2, 3), ('TC-02', 'table', 1, 3), ('TC-03', 'text', 1, 3), ('TC-04', 'text', 3, 3), ('TC-05', 'text', 2, 3), ('TC-06', 'text', 2, 3), ('TC-07', 'text', 1, 3)) AS t(id, expected_type, files, keywords)")
+def builtin_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return builtin_cases(spark).select("id", "expected_type", F.size("expected_files").alias("files"), F.size("required_keywords").alias("keywords"))
+
+
+@query(f"WITH {_METRICS_SQL} SELECT k::varchar AS k, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision, round(avg(hit), 9) AS hit_rate, round(avg(mrr), 9) AS mrr FROM metrics GROUP BY 1")
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary as it is read back from the report's JSON."""
+    path, metrics = scratch(spark), _metrics(spark, d)
+    evaluation.write_report(evaluation.summary(metrics), metrics, path)
+    return spark.read.schema("k string, recall double, precision double, hit_rate double, mrr double").json(f"{path}/summary")
+
+
+_EMBEDDED = "SELECT count(*) AS total, count(embedding) AS embedded, bool_and(len(embedding) = 64) AS dims_ok FROM chunks"
+
+
+@query(f"WITH {CHUNKS_SQL}, c AS ({_EMBEDDED}) SELECT *, total = embedded AND total >= 300 AND dims_ok AS passed FROM c")
+def embedding_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.embedding_check(views.chunks(spark, d), 64)
+
+
+_TABLES = "SELECT count(*) AS tables, bool_and(starts_with(lower(trim(content)), '<table') AND ends_with(lower(trim(content)), '</table>')) AS passed FROM chunks WHERE chunk_type = 'table'"
+
+
+@query(f"WITH {CHUNKS_SQL} {_TABLES}")
+def table_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.table_check(views.chunks(spark, d))
+
+
+_BEST = f"SELECT coalesce(bool_or(s > 0.3 AND (contains(lower(content), 'the') OR contains(lower(content), 'que'))), false) AS passed FROM (SELECT content, {_SIM} AS s FROM chunks c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.embedding IS NOT NULL AND {{}} ORDER BY s DESC, chunk_id LIMIT 1)"
+
+
+def _best_hit(spark, d, chunk_type=None):
+    hits = _near(spark, d, 1, chunk_type=chunk_type)
+    return evaluation.top_hit_check(hits.join(views.chunks(spark, d).select("chunk_id", "content"), "chunk_id"), 0.3, "the", "que")
+
+
+@query(f"WITH {CHUNKS_SQL} {_BEST.format('true')}")
+def top_hit_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    return _best_hit(spark, d)
+
+
+@query(f"""WITH {CHUNKS_SQL}, e AS ({_EMBEDDED}), t AS ({_TABLES}), b AS ({_BEST.format('true')}), x AS ({_BEST.format("chunk_type = 'table'")}), u AS (
+  SELECT count(*) = count(DISTINCT chunk_id) AND count(*) > 0 AS passed FROM chunks), every AS (
+  SELECT total = embedded AND total >= 300 AND dims_ok AS passed FROM e UNION ALL SELECT passed FROM t UNION ALL SELECT passed FROM b UNION ALL SELECT passed FROM x UNION ALL SELECT passed FROM u)
+SELECT count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM every""")
+def acceptance_tally(spark: SparkSession, d: str) -> DataFrame:
+    chunks = views.chunks(spark, d)
+    checks = [evaluation.embedding_check(chunks, 64), evaluation.table_check(chunks), _best_hit(spark, d), _best_hit(spark, d, "table"), evaluation.uniqueness_check(chunks)]
+    every = checks[0].select("passed")
+    for check in checks[1:]:
+        every = every.union(check.select("passed"))
+    return evaluation.tally(every)
+
+
 # ------------------------------------------------------------------ judgement
 
 
@@ -549,12 +710,12 @@ def leakage_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH h AS ({_hybrid_sql('query_id, chunk_id, rank')}), b AS (
-  SELECT h.query_id, h.rank, '[' || h.rank || '] ' || d.source || ' (' || d.lang || ' / ' || d.source || '), ' || CASE WHEN e.label % 2 = 0 THEN 'text' ELSE 'table' END || chr(10) || d.text AS t
-  FROM h JOIN documents d ON d.doc_id = h.chunk_id JOIN embeddings e ON e.vec_id = h.chunk_id)
-SELECT query_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question (1000 tokens at most): the and' AS prompt FROM b GROUP BY query_id""")
+  SELECT h.query_id, h.rank, '[' || h.rank || '] ' || d.source || ' (' || d.lang || ' / ' || d.source || '), ' || CASE WHEN coalesce(e.label, d.doc_id) % 2 = 0 THEN 'text' ELSE 'table' END || chr(10) || d.text AS t
+  FROM h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN embeddings e ON e.vec_id = h.chunk_id)
+SELECT query_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question (1000 tokens at most): the ther and the thin' AS prompt FROM b GROUP BY query_id""")
 def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
     hits = _hybrid(spark, d).select("query_id", "chunk_id", "rank").join(views.chunks(spark, d).drop("embedding"), "chunk_id")
-    return retrieval.prompt_blocks(hits, TERMS)
+    return retrieval.prompt_blocks(hits, TEXTS[0])
 
 
 # ------------------------------------------------------------------ streams
@@ -564,23 +725,20 @@ def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
 def audit_stream_append(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "events")
     arriving = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    out, at = views.scratch(spark), views.scratch(spark)
+    out, at = scratch(spark), scratch(spark)
     streams.append_audit(views.as_audit(arriving), out, at).awaitTermination()
     stored = spark.read.parquet(out)
     return stored.groupBy("query_type", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"))
 
 
-@query("""SELECT conv_id::varchar AS session_id, count(*)::int AS turn_count, least(count(*), 3)::int AS kept, max(turn) AS last_turn FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id::varchar AS session_id, count(*)::int AS turn_count, array_to_string(list(turn ORDER BY turn DESC)[1:3], ',') AS newest, max(turn) AS last_turn FROM conversations GROUP BY 1""")
 def session_state_stream(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "conversations")
     arriving = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/conversations.parquet*")
-    out, at = views.scratch(spark), views.scratch(spark)
+    out, at = scratch(spark), scratch(spark)
     turn = F.struct(F.col("turn").cast("int").alias("turn_id"), F.col("text").alias("query"))
     rows = arriving.select(F.col("conv_id").cast("string").alias("session_id"), F.col("role").alias("user_id"), F.timestamp_seconds("turn").alias("timestamp"), turn.alias("turn"))
-    running = streams.upsert_sessions(rows, out, at, 3)
-    running.awaitTermination()
-    last = running.lastProgress["batchId"] if running.lastProgress else 0
-    latest = spark.read.parquet(f"{out}/v{last}")
-    return latest.select("session_id", "turn_count", F.size("turns").alias("kept"), F.unix_seconds("updated_at").alias("last_turn"))
+    streams.upsert_sessions(rows, out, at, 3).awaitTermination()
+    return streams.stored_sessions(spark, out, 3).select("session_id", "turn_count", _newest(), F.unix_seconds("updated_at").alias("last_turn"))
 
 

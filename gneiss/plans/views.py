@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.sources.readers import table
 
 CHUNKS_SQL = """chunks AS (
-  SELECT d.doc_id AS chunk_id, d.source AS source_file, CASE WHEN e.label % 2 = 0 THEN 'text' ELSE 'table' END AS chunk_type,
+  SELECT d.doc_id AS chunk_id, d.source AS source_file, CASE WHEN coalesce(e.label, d.doc_id) % 2 = 0 THEN 'text' ELSE 'table' END AS chunk_type,
          d.lang || ' / ' || d.source AS chapter_path, d.text AS content, e.embedding
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 AUDIT_SQL = """audit AS (
   SELECT event_id, user_id::varchar AS session_id, coalesce(json_extract_string(props, '$.k'), '') AS query, event_type AS query_type,
@@ -28,13 +25,14 @@ MANUALS_SQL = r"""manuals AS (
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Stored chunks: documents with vectors; the label's parity gives the type."""
+    """Stored chunks: all documents, with their vectors where they have one; the parity of the
+    label, else of the id, gives the type."""
     docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
-    joined = docs.join(vecs, docs.doc_id == vecs.vec_id)
+    joined = docs.join(vecs, docs.doc_id == vecs.vec_id, "left")
     return joined.select(
         F.col("doc_id").alias("chunk_id"),
         F.col("source").alias("source_file"),
-        F.when(F.col("label") % 2 == 0, "text").otherwise("table").alias("chunk_type"),
+        F.when(F.coalesce("label", "doc_id") % 2 == 0, "text").otherwise("table").alias("chunk_type"),
         F.concat("lang", F.lit(" / "), "source").alias("chapter_path"),
         F.col("text").alias("content"),
         "embedding",
@@ -88,9 +86,3 @@ def manuals(spark: SparkSession, d: str) -> DataFrame:
 def vector_of(spark: SparkSession, d: str, vec_id: int) -> list[float]:
     row = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
     return list(row[0]) if row else []
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/gneiss-{uuid.uuid4().hex}"

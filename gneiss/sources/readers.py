@@ -8,14 +8,16 @@ from pyspark.sql import types as T
 
 from gneiss import schemas
 from gneiss.functions.text import file_name, stripped
+from gneiss.sources.store import resolved
 
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, text) of the ``*.md`` files right in a folder; blank files are left out.
 
-    A missing folder raises, as any reader of a missing path does.
+    A relative folder that isn't there is looked for below the project's root; a missing one
+    raises, as any reader of a missing path does.
     """
-    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    files = spark.read.option("pathGlobFilter", "*.md").text(resolved(folder), wholetext=True)
     return files.select(file_name().alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("text")) != "")
 
 

@@ -6,7 +6,7 @@ another trigger, a service.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,38 +22,121 @@ def append_audit(events: DataFrame, path: str, checkpoint: str, ts: str = "times
     return writer.trigger(availableNow=True).start()
 
 
-def upsert_sessions(turns: DataFrame, path: str, checkpoint: str, cap: int = sessions.CAP) -> StreamingQuery:
-    """Session states, merged batch by batch into numbered snapshots under ``path``.
+def _parts(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the finished parts ``prefix=N`` under a path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    done = [n for n in names if n.startswith(f"{prefix}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
 
-    A batch that runs again replaces its own snapshot, so a restart changes nothing.
+
+def _drop_parts(spark: SparkSession, path: str, names: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for n in names:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _live(spark: SparkSession, path: str, upto: int | None = None) -> tuple[int | None, list[int]]:
+    """The newest base, and the batches after it."""
+    base = max((b for b in _parts(spark, path, "base") if upto is None or b <= upto), default=None)
+    return base, [b for b in _parts(spark, path, "batch") if (base is None or b > base) and (upto is None or b <= upto)]
+
+
+def _read(spark: SparkSession, path: str, base: int | None, batches: list[int]) -> DataFrame | None:
+    """The base and batches side by side, with their numbers as ``part``."""
+    named = ([(base, f"{path}/base={base}")] if base is not None else []) + [(b, f"{path}/batch={b}") for b in batches]
+    out = None
+    for number, at in named:
+        one = spark.read.parquet(at).withColumn("part", F.lit(number).cast("bigint"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _keep(batch: DataFrame, number: int, path: str, merged, every: int) -> None:
+    """Write a batch's own part; after ``every`` parts merge them into a new base and drop them.
+
+    A batch that runs again replaces its own part. What is written is in proportion to the batch;
+    the whole state is rewritten only by a merge.
     """
+    spark = batch.sparkSession
+    base, _ = _live(spark, path)
+    if base is not None and number <= base:
+        return  # merged already
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    base, batches = _live(spark, path, number)
+    if len(batches) >= every:
+        merged(_read(spark, path, base, batches)).write.mode("overwrite").parquet(f"{path}/base={number}")
+        _drop_parts(spark, path, [f"batch={b}" for b in batches] + ([f"base={base}"] if base is not None else []))
+
+
+def merged_sessions(parts: DataFrame, cap: int = sessions.CAP) -> DataFrame:
+    """Session states kept side by side, summed up by session: counters add, the first user and time
+    of creation stay, the newest turns are kept."""
+    facts = F.struct("part", "user_id", "turn_count", "turns", "created_at", "updated_at")
+    ordered = parts.groupBy("session_id").agg(F.array_sort(F.collect_list(facts)).alias("p"))
+    turns = F.flatten(F.transform("p", lambda x: x["turns"]))
+    first = F.get("p", F.lit(0))
+    return ordered.select(
+        "session_id",
+        first["user_id"].alias("user_id"),
+        F.aggregate("p", F.lit(0), lambda n, x: n + x["turn_count"]).alias("turn_count"),
+        F.slice(turns, F.greatest(F.size(turns) - cap + 1, F.lit(1)), F.lit(cap)).alias("turns"),
+        first["created_at"].alias("created_at"),
+        F.element_at("p", -1)["updated_at"].alias("updated_at"),
+    )
+
+
+def stored_sessions(spark: SparkSession, path: str, cap: int = sessions.CAP) -> DataFrame:
+    """All session states that ``upsert_sessions`` has kept under ``path``."""
+    return merged_sessions(_read(spark, path, *_live(spark, path)), cap)
+
+
+def upsert_sessions(turns: DataFrame, path: str, checkpoint: str, cap: int = sessions.CAP, every: int = 16) -> StreamingQuery:
+    """Session states by batches: each writes the state of its own turns, keyed by session, and the
+    parts are merged when they are read and after every ``every`` batches."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = sessions.session_state(batch, cap)
-        if number:
-            fresh = sessions.merged_state(spark.read.parquet(f"{path}/v{number - 1}"), fresh, cap)
-        fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
+        _keep(sessions.session_state(batch, cap), number, path, lambda p: merged_sessions(p, cap), every)
 
     return turns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_files(spark, folder: str, path: str, checkpoint: str, manual: str = "manual", **how) -> StreamingQuery:
-    """Markdown files that arrive in a folder, chunked, embedded and merged into snapshots.
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks that ``ingest_files`` has kept under ``path``."""
+    from gneiss.operators import merge
+
+    return merge.latest(_read(spark, f"{path}/chunks", *_live(spark, f"{path}/chunks")), "part")
 
-    The key of a chunk depends only on its file, so a batch that runs again changes nothing. Headings
-    and overlaps carry on inside a batch, not from one batch to the next.
+
+def ingest_files(spark, folder: str, path: str, checkpoint: str, manual: str = "manual", every: int = 16, **how) -> StreamingQuery:
+    """Markdown files that arrive in a folder, chunked, embedded and kept as parts under ``path``.
+
+    The files themselves are kept too, and a manual that gets more of them is chunked again as a
+    whole: headings and overlaps carry on from one batch to the next as within one. Chunks' keys
+    depend only on their file, so a batch that runs again changes nothing.
     """
     from gneiss.functions.text import file_name, stripped
     from gneiss.operators import ingest, merge
 
-    files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.readStream.schema("value string").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     named = files.select(F.lit(manual).alias("manual"), file_name().alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("value")) != "")
 
+    def newest(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("manual", "source_file").agg(F.max_by("text", "part").alias("text"))
+
     def absorb(batch: DataFrame, number: int) -> None:
-        fresh = ingest.ingest(batch, **how)
-        if number:
-            fresh = merge.upsert(batch.sparkSession.read.parquet(f"{path}/v{number - 1}"), fresh)
-        fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
+        own, kept = batch.sparkSession, f"{path}/files"
+        if batch.isEmpty():
+            return
+        _keep(batch, number, kept, newest, every)
+        touched = batch.select("manual").distinct()
+        known = newest(_read(own, kept, *_live(own, kept))).join(F.broadcast(touched), "manual", "left_semi")
+        state = lambda parts: merge.latest(parts, "part")
+        _keep(ingest.ingest(known, **how), number, f"{path}/chunks", state, every)
 
     return named.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

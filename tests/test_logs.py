@@ -138,20 +138,55 @@ def test_session_stream_restarts(spark, tmp_path):
     more = turn_rows(spark, 7).where("turn.turn_id > 4").unionByName(turn_rows(spark, 1, "t"))
     more.coalesce(1).write.mode("append").parquet(src)
     run()
-    out = {r.session_id: r for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()}
+    out = {r.session_id: r for r in streams.stored_sessions(spark, str(tmp_path / "out"), 3).collect()}
     assert out["s"].turn_count == 7 and [t.turn_id for t in out["s"].turns] == [5, 6, 7] and out["t"].turn_count == 1
 
 
-def test_ingest_stream_is_idempotent(spark, tmp_path):
+def test_session_parts_are_merged(spark, tmp_path):
+    """Every second batch makes a base; a batch that runs again changes nothing."""
+    out = str(tmp_path / "out")
+    state = lambda p: streams.merged_sessions(p, 3)
+    for k in range(5):
+        batch = turn_rows(spark, 2 * k + 2).where(f"turn.turn_id > {2 * k}").unionByName(turn_rows(spark, 1, f"t{k}"))
+        for _ in range(2):
+            streams._keep(sessions.session_state(batch, 3), k, out, state, 2)
+    assert streams._live(spark, out) == (3, [4])
+    got = {r.session_id: r for r in streams.stored_sessions(spark, out, 3).collect()}
+    assert got["s"].turn_count == 10 and [t.turn_id for t in got["s"].turns] == [8, 9, 10] and got["s"].user_id == "u1" and len(got) == 6
+
+
+def test_ingest_stream_equals_one_ingest(spark, tmp_path):
+    from gneiss.operators import ingest
+
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.md").write_text("# T\nold text.")
-    for number, text in ((0, "old text."), (1, "new text.")):
-        if number:
-            (tmp_path / "in" / "a.md").unlink()
-            (tmp_path / "in" / "b.md").write_text("# U\nnew text.")
-        streams.ingest_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-        out = {r.chunk_id: r.content for r in spark.read.parquet(str(tmp_path / f"out/v{number}")).collect()}
-        assert text in "".join(out.values()) and len(out) == number + 1
+    texts = {"a_1.md": "# T\n## U\nold text. And more.", "a_2.md": "new text.\n<table>x</table>", "a_10.md": "### V\nlast text."}
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_text(text)
+        streams.ingest_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), every=2).awaitTermination()
+    out = {r.chunk_id: (r.content, r.chapter_path, r.chunk_index) for r in streams.stored_chunks(spark, str(tmp_path / "out")).collect()}
+    files = spark.createDataFrame([("manual", n, t) for n, t in texts.items()], "manual string, source_file string, text string")
+    assert out == {r.chunk_id: (r.content, r.chapter_path, r.chunk_index) for r in ingest.ingest(files).collect()}
+    assert out["a_2_c0"][1] == "T / U" and "And more." in out["a_2_c0"][0]
+
+
+def test_bootstrap_and_fallbacks(spark, tmp_path, monkeypatch):
+    from gneiss.sources import store
+
+    assert store.bootstrap(spark, None)["status"] == "skipped"
+    for _ in range(2):
+        made = store.bootstrap(spark, str(tmp_path / "store"))
+        assert made["status"] == "success" and made["indexes"]["chat_sessions"]["unique"] == ["session_id"] and made["indexes"]["search_audit_logs"]["days"] == 30
+    assert spark.read.schema(schemas.CHAT_SESSIONS).parquet(str(tmp_path / "store/chat_sessions")).count() == 0
+    (tmp_path / "file").write_text("x")
+    assert store.bootstrap(spark, str(tmp_path / "file"))["status"] == "error"
+    (tmp_path / "root" / "docs").mkdir(parents=True)
+    (tmp_path / "root" / "docs" / "x.md").write_text("# X")
+    monkeypatch.chdir(tmp_path)
+    assert store.resolved("docs", str(tmp_path / "root")) == str(tmp_path / "root" / "docs") and store.resolved("none") == "none" and store.resolved("/abs") == "/abs"
+    spark.range(1).selectExpr("id as a").write.parquet(str(tmp_path / "e"))
+    spark.range(1).selectExpr("id as a", "'x' as b").write.mode("append").parquet(str(tmp_path / "e"))
+    assert {r.b for r in store.evolving(spark, str(tmp_path / "e")).collect()} == {None, "x"}
+    assert store.evolving(spark, str(tmp_path / "e"), schemas.FEEDBACK).columns == ["a", "b", "rating", "comment"]
 
 
 def test_report_files(spark, tmp_path):

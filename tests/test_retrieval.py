@@ -59,18 +59,50 @@ def test_search_shapes(chunks):
     assert retrieval.of_type(chunks, "全部").count() == chunks.count()
 
 
-def test_keyword_needs_all_terms(chunks):
-    found = {r.chunk_id for r in lexical.match_all(chunks, ["cat", "the"]).collect()}
+def test_keyword_needs_all_lexemes(chunks):
+    found = {r.chunk_id for r in lexical.match_all(chunks, lexical.query_terms("the cats and dogged")).collect()}
     assert found == {r.chunk_id for r in chunks.collect() if r.content and "cat" in r.content}
-    assert lexical.match_all(chunks, []).count() == 0 and lexical.bm25(chunks, ["nowhere"]).count() == 0
-    assert lexical.query_terms("The cat, the CAT!") == ["cat", "the"]
+    assert lexical.match_all(chunks, []).count() == 0 and lexical.bm25(chunks, ["nowher"]).count() == 0
+    assert lexical.query_terms("The cats, the CAT!") == ["cat"] and lexical.query_terms("the and of") == []
+
+
+def test_forms_of_lexemes(spark):
+    rows = [(1, "p", "Connected connections, connecting the connect skies lying"), (2, "sky", "lie lies console consoling concern")]
+    df = spark.createDataFrame(rows, "chunk_id bigint, chapter_path string, content string")
+    forms = lexical.forms_of(df, ["connect", "sky", "lie", "consol"])
+    assert forms == {"connect": ["connect", "connected", "connecting", "connections"], "sky": ["skies", "sky"], "lie": ["lie", "lies", "lying"], "consol": ["consol", "console", "consoling"]}
+    assert {r.chunk_id for r in lexical.match_all(df, lexical.query_terms("the skies lying")).collect()} == {1, 2}
+
+
+def test_stems_of_a_published_sample():
+    from gneiss.functions.stemming import stem
+
+    sample = """consist consisted consistency consistent consistently consisting consists:consist consolation consolations:consol consolidate
+    consolidated:consolid conspicuous conspicuously:conspicu conspiracy:conspiraci conspire conspired:conspir knaves knave:knave knavish:knavish
+    kneel kneeled kneels:kneel knives:knive knife:knife knightly knights:knight knitted:knit happy:happi flies:fli dying:die gas:gas gaps:gap
+    agreed:agre boy:boy cry:cri by:by relational:relat luxuriated:luxuri generate generated:generat hopping:hop hoping:hope sky:sky news:news
+    inning innings:inning exceed exceeds:exceed generously:generous"""
+    for words, expected in __import__("re").findall(r"([a-z\s]+):(\w+)", sample):
+        for w in words.split():
+            assert stem(w) == expected, w
+
+
+def test_cross_scorer_in_batches(spark):
+    sizes = []
+
+    def scorer(pairs):
+        assert len(pairs) <= 2 and all(q == "a cat" for q, _ in pairs)
+        return [float(len(c)) for _, c in pairs]
+
+    df = spark.createDataFrame([(1, "xx", 0.1), (2, "x", 0.2), (3, None, None), (4, "xxxx", 0.0)], "chunk_id bigint, content string, rrf_score double")
+    assert [r.chunk_id for r in retrieval.rerank(df, "a cat", 3, scorer=scorer, batch=2).collect()] == [4, 1, 2] and not sizes
 
 
 def test_stored_postings_match_the_scan(spark, chunks):
     lexical.store_postings(lexical.postings(chunks), "gneiss_test_postings", 4)
     try:
         stored = spark.table("gneiss_test_postings")
-        for terms in (["cat", "the"], ["p", "w7"], ["nowhere"], []):
+        for terms in (["cat", "dog"], ["p", "w7"], ["nowher"], []):
             assert sorted(map(tuple, lexical.match_stored(stored, terms).collect())) == sorted(map(tuple, lexical.match_all(chunks, terms).collect()))
     finally:
         spark.sql("DROP TABLE gneiss_test_postings")
@@ -120,14 +152,38 @@ def test_score_pick_sigmoid_and_settings(spark, monkeypatch):
 def test_retries():
     seen, naps = [], []
 
-    def fail():
-        seen.append(1)
-        raise RuntimeError
+    def fails(message):
+        def call():
+            seen.append(message)
+            raise RuntimeError(message)
 
-    assert models.with_retries(fail, 3, 1.5, lambda: "light", naps.append) == "light"
+        return call
+
+    assert models.with_retries([fails("503 unavailable"), lambda: "light"], 3, 1.5, naps.append) == "light"
     assert len(seen) == 3 and naps == [1.5, 3.0]
+    for message, times in (("quota exceeded", 1), ("bad key", 1), ("timeout", 2)):
+        seen.clear()
+        with pytest.raises(RuntimeError):
+            models.with_retries([fails(message)], 2, 0.0, naps.append)
+        assert len(seen) == times
+    seen.clear()
     with pytest.raises(RuntimeError):
-        models.with_retries(fail, 2, 0.0, None, naps.append)
+        models.with_retries([fails("quota")], 2, 0.0, naps.append, wait_for_quota=True)
+    assert len(seen) == 2
+
+
+def test_answers_of_several_models(spark):
+    def busy(prompt):
+        raise RuntimeError("quota")
+
+    def light(prompt):
+        if "?" not in prompt:
+            raise RuntimeError("no question")
+        return prompt.upper()
+
+    df = spark.createDataFrame([(1, "why?"), (2, "so"), (3, None)], "query_id int, prompt string")
+    out = {r.query_id: r.answer for r in models.with_answer(df, [busy, light], failed="none").collect()}
+    assert out == {1: "WHY?", 2: "none", 3: "none"}
 
 
 def test_many_queries_in_one_pass(chunks):
