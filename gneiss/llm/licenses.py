@@ -175,8 +175,12 @@ RULES = [
 ]
 UNKNOWN = "UNKNOWN"
 
-#: Every licence sentence has one of these words, and so has one that speaks of a licence.
-TRIGGER = re.compile(r"licen[cs]e|licensed|permission|copyright|redistribut|warrant|provided as is|rights reserved|endorse|obtain a copy|public domain|creative commons|spdx|provided by the|notice may not be|source versions|advertising materials|unlicense|public license|want to public|cc0|gpl|advertising|is provided by|distributed in the hope|either version|should have received|eupl|cc[ -]by", re.IGNORECASE)
+#: Every licence sentence has one of these in lower case, and so has one that speaks of a licence.
+TRIGGERS = (
+    "licen", "permission", "copyright", "redistribut", "warrant", "provided as is", "rights reserved", "endorse", "obtain a copy", "public domain",
+    "creative commons", "spdx", "provided by", "notice may not be", "source versions", "advertising", "want to public", "cc0", "gpl", "in the hope",
+    "either version", "should have received", "eupl", "cc by", "cc-by",
+)
 #: A sentence: marks end it where white space or the text's end follows, but for the point of
 #: "v. 2.0". Lines may be wrapped.
 SENTENCE = re.compile(r"[^.;:!?]*(?:(?:[.;:!?]+(?=\S)|(?<=\b[vV])\.(?=\s+\d))[^.;:!?]*)*(?:[.;:!?]+|\Z)", re.DOTALL)
@@ -244,10 +248,15 @@ def identifiers(sentence: str) -> list[str]:
     return out
 
 
+def triggered(text: str) -> bool:
+    low = text.lower()
+    return any(t in low for t in TRIGGERS)
+
+
 def sentences(text: str):
     """(start, end) of each sentence that has a trigger."""
     for m in SENTENCE.finditer(text):
-        if m.end() > m.start() and TRIGGER.search(text, m.start(), m.end()):
+        if m.end() > m.start() and triggered(m[0]):
             yield m.start(), m.end()
 
 
@@ -272,7 +281,7 @@ def by_rules(ids: list[str]) -> list[tuple[int, str]]:
 
 def scan(text: str) -> tuple[list[str], list[tuple[str, int, int]]]:
     """(licences, spans): a span is an identifier and the characters of its sentence."""
-    if not TRIGGER.search(text):
+    if not triggered(text):
         return [], []
     spans = [(f"spdx:{m[1]}", m.start(), m.end()) for m in SPDX.finditer(text)]
     tagged = [(a, b) for _, a, b in spans]

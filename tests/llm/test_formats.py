@@ -379,7 +379,7 @@ def test_license_rules_in_order():
     assert licenses.by_rules(["mit-grant", "mit-notice", "as-is-provided", "apache-2"]) == [(0, "MIT"), (3, "Apache-2.0")]
     assert licenses.by_rules(["as-is-provided", "mit-grant"]) == [(0, "UNKNOWN"), (1, "UNKNOWN")]
     for forms in (*licenses.SENTENCES.values(), *licenses.named_sentences().values()):
-        assert all(licenses.TRIGGER.search(f) and licenses.normal(f) == f.replace(" * ", " ") for f in forms)
+        assert all(licenses.triggered(f) and licenses.normal(f) == f.replace(" * ", " ") for f in forms)
     text = "Intro. " + APACHE
     assert [text[a:b].strip()[:8] for _, a, b in licenses.scan(text)[1]][0] == "Licensed"
 
