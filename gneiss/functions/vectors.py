@@ -129,7 +129,7 @@ def with_list(rows: DataFrame, index, vector: str = "embedding", name: str = "li
     return kept.mapInArrow(run, schema)
 
 
-def nearest_in_lists(listed: DataFrame, index, queries: dict, k: int, probes: int = 16, key: str = "chunk_id", vector: str = "embedding", name: str = "list") -> DataFrame:
+def nearest_in_lists(listed: DataFrame, index, queries: dict, k: int, probes: int = 32, key: str = "chunk_id", vector: str = "embedding", name: str = "list") -> DataFrame:
     """Approximate ``nearest``: each query looks only into the ``probes`` lists nearest to it.
 
     Rows meet the queries of their list alone; each Arrow batch of a list is scored at once.

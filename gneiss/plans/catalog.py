@@ -16,7 +16,7 @@ from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retr
 from gneiss.plans import views
 from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
 from gneiss.sources.benchmark import builtin_cases
-from gneiss.sources.readers import table
+from gneiss.sources.readers import benchmark_cases, table
 from gneiss.streaming import streams
 
 QUERIES: dict = {}
@@ -636,6 +636,16 @@ def builtin_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return builtin_cases(spark).select("id", "expected_type", F.size("expected_files").alias("files"), F.size("required_keywords").alias("keywords"))
 
 
+@query("SELECT item_id::varchar AS id, text AS query, ['src' || (item_id % 20)] AS expected_files FROM benchmark")
+def json_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Cases as they are read back from files that hold a JSON array each, of a bounded size."""
+    items, path = table(spark, d, "benchmark"), scratch(spark)
+    block = F.pmod(F.xxhash64("item_id"), F.lit(max(1, ceil(items.count() / 1000))))
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("expected_files"))
+    items.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(case)).alias("value")).write.partitionBy("block").text(path)
+    return benchmark_cases(spark, path).select("id", "query", "expected_files")
+
+
 @query(f"WITH {_METRICS_SQL} SELECT k::varchar AS k, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision, round(avg(hit), 9) AS hit_rate, round(avg(mrr), 9) AS mrr FROM metrics GROUP BY 1")
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
     """The summary as it is read back from the report's JSON."""

@@ -40,6 +40,38 @@ def test_approximate_recall(chunks):
     assert len(exact & near) >= 4
 
 
+def test_inverted_lists_recall(spark):
+    """Ten nearest of sixty queries among clustered vectors; every row stands in a list."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(40, 16))
+    rows = [(i, (middle[i % 40] + 0.6 * rng.normal(size=16)).tolist()) for i in range(3000)] + [(9000, None), (9001, [1.0]), (9002, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    index = vectors.centroids(df, lists=32, sample=1000)
+    listed = vectors.with_list(df, index).cache()
+    assert listed.where("list is null").count() == 2 and listed.count() == 3003
+    queries = {k: rows[k * 50][1] for k in range(60)}
+    exact = {(r.query_id, r.chunk_id) for r in vectors.nearest(df, queries, 10).collect()}
+    near = {(r.query_id, r.chunk_id) for r in vectors.nearest_in_lists(listed, index, queries, 10, probes=8).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    every = {(r.query_id, r.chunk_id, r.rank_vec) for r in vectors.nearest_in_lists(listed, index, queries, 10, probes=32).collect()}
+    assert every == {(r.query_id, r.chunk_id, r.rank_vec) for r in vectors.nearest(df, queries, 10).collect()}
+    assert vectors.nearest_in_lists(listed, index, {}, 5).count() == 0
+    empty = df.limit(0)
+    assert vectors.with_list(empty, vectors.centroids(empty)).count() == 0
+
+
+def test_inverted_lists_on_the_tables(spark):
+    """Recall against brute force over the driver's own vectors."""
+    from gneiss.plans import catalog
+
+    d = "/root/testdata/sf0.1"
+    chunks = catalog.views.chunks(spark, d)
+    queries = {k: v for block in catalog._every_hundredth(spark, d) for k, v in block.items()}
+    exact = {(r.query_id, r.chunk_id) for r in vectors.nearest(chunks, queries, 10).collect()}
+    near = {(r.query_id, r.chunk_id) for r in catalog.inverted_list_topk(spark, d).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([(0, 7, 1), (0, 8, 5)], "query_id bigint, chunk_id bigint, rank_vec bigint")
     k = spark.createDataFrame([(0, 7, 2), (0, 9, 1)], "query_id bigint, chunk_id bigint, rank_kw bigint")

@@ -108,3 +108,21 @@ def test_ingest_counts_and_vectors(spark):
     assert {len(r.embedding) for r in made.collect()} == {64}
     assert ingest.ingest(files.limit(0)).count() == 0
     assert ingest.chunked(files, kind="semantic").count() >= 2
+
+
+def test_long_semantic_chunks_are_split(spark):
+    """A semantic chunk beyond the safe length is cut again; shorter ones stay whole."""
+    from gneiss.config import Chunking
+
+    long, short = "word " * 700, "One sentence. Another one."
+    files = spark.createDataFrame([("m", "a.md", long), ("m", "b.md", short)], "manual string, source_file string, text string")
+    made = ingest.chunked(files, Chunking(prefix=1), kind="semantic").collect()
+    of = {name: [r.content for r in made if r.source_file == name] for name in ("a.md", "b.md")}
+    assert len(of["a.md"]) >= 4 and all(len(c) <= 2000 for c in of["a.md"])
+    assert "".join(of["b.md"]).replace("\n", " ").endswith("Another one.")
+
+
+def test_names_with_very_long_numbers(spark):
+    names = ["m_" + "9" * 25 + ".md", "m_1" + "0" * 25 + ".md", "m_007.md", "m_10.md"]
+    df = spark.createDataFrame([(n,) for n in names], "v string").orderBy(text.natural_key(F.col("v")))
+    assert [r[0] for r in df.collect()] == ["m_007.md", "m_10.md", names[0], names[1]]
