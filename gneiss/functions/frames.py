@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: dict[str, str] = {}
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``max_rows`` rows, else as it is: the
@@ -17,13 +20,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``.
 
-    Without that setting only a session on one machine has such a folder: the warehouse's.
+    Without that setting only a session on one machine, as in tests, has such a folder: a temporary
+    one. On a cluster an error is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../gneiss-scratch"
+        root = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='gneiss-scratch-')}")
     path = f"{root.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
