@@ -17,8 +17,9 @@ parts that are compared two by two.
 
 Defined results: ASCII letters count as lower case and words stand between ASCII white space; texts
 with the same words in the same order are equal; a text of fewer than five words has one
-shingle, all of it; null and empty texts are equal; documents without an id are compared
-like others, and name no group; an empty table gives an empty result.
+shingle, all of it; null and empty texts are equal; very long texts are hashed whole, a slice of
+shingles at a time; documents without an id are compared like others, and name no group; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Cyclic boosted shallow trees learn one lookup table per feature; the strongest p
 two-way tables. Scoring adds up table cells for whole batches at a time.
 
 Defined results: a null text counts as empty and gets the score of its features; equal texts
-get equal scores; without any usable label every text is kept with score 0.5; all other
-columns pass through, and a column that already has the score's name is replaced.
+get equal scores; very long texts are read whole, in linear time; without any usable label every
+text is kept with score 0.5; all other columns pass through, and a column that already has the
+score's name is replaced.
 """
 
 from __future__ import annotations
