@@ -10,8 +10,8 @@ spanning star of what is linked; groups beyond a size are compared in chunks by
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is
 linked like any other; very long texts are hashed whole, their bits counted in slices; repeated
-rows give repeated result rows; a group whose ids are all null has a null component; an empty table gives an empty result; a column of the input that has a
-result column's name is replaced.
+rows give repeated result rows; a group whose ids are all null has a null component; an empty
+table gives an empty result; a column of the input that has a result column's name is replaced.
 """
 
 from __future__ import annotations
