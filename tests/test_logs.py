@@ -169,6 +169,16 @@ def test_ingest_stream_equals_one_ingest(spark, tmp_path):
     assert out["a_2_c0"][1] == "T / U" and "And more." in out["a_2_c0"][0]
 
 
+def test_events_are_appended_or_reported(spark, tmp_path):
+    names = "query string, result_count int, vector_latency_ms double, keyword_latency_ms double, rerank_latency_ms double, total_latency_ms double, timestamp timestamp"
+    t = dt.datetime(2024, 3, 1)
+    df = spark.createDataFrame([("q", 1, 1.0, 1.0, 1.0, 3.0, t), ("", 1, 1.0, 1.0, 1.0, 3.0, t), ("q", None, None, None, None, None, t + dt.timedelta(days=1))], names)
+    assert streams.append_events(df, str(tmp_path / "a")) == {"status": "success"} == streams.append_events(df, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).groupBy("day").count().count() == 2
+    (tmp_path / "file").write_text("x")
+    assert streams.append_events(df, str(tmp_path / "file"))["status"] == "error"
+
+
 def test_bootstrap_and_fallbacks(spark, tmp_path, monkeypatch):
     from gneiss.sources import store
 
