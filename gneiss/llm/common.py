@@ -17,13 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the folder that the whole cluster shares, and read them.
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the whole cluster shares.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset on one machine,
-    as in tests, a temporary one is taken. The table goes when the driver ends.
+    as in tests, a temporary one is taken. What is written there goes when the driver ends.
     """
-    spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
@@ -31,10 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='gneiss-shared-')}")
     path = f"{root.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to the folder that the whole cluster shares, and read them."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
