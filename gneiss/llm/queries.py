@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bestfit, chat, decontaminate, expiring, htmltext, imatch, licenses, ngram_lm, packing, quality, simhash, toxicity
+from gneiss.llm import bestfit, chat, collocations, decontaminate, expiring, htmltext, imatch, licenses, ngram_lm, packing, quality, simhash, toxicity
 from gneiss.llm.common import held_out, table
 
 TOXIC_FROM = 0.5
@@ -76,6 +76,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = bestfit.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
     found = bestfit.placed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -108,6 +112,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_html_text": op9_html_text,
     "op10_lm_score": op10_lm_score,
+    "op11_collocations": op11_collocations,
     "op12_best_fit": op12_best_fit,
     "op13_expiring_dedup": op13_expiring_dedup,
     "instruction_packing": instruction_packing,
@@ -117,5 +122,6 @@ ORACLES = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op8_chat_format": chat.ORACLE_SQL,
     "op10_lm_score": ngram_lm.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "op13_expiring_dedup": expiring.ORACLE_SQL,
 }
