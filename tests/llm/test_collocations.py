@@ -61,7 +61,7 @@ def test_mine(spark, monkeypatch, seed, least, slice_, group):
 
 def test_counters_bound_counts_from_above(spark, monkeypatch):
     rows = corpus(3)
-    docs = spark.createDataFrame(rows, SCHEMA).select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("utf8"))
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("utf8"))
     few = collocations.heavy_cells(collocations.sketched(docs, 4, 2), 50).count()  # 16 counters: all are heavy
     fine = collocations.heavy_cells(collocations.sketched(docs, 40, 2), 50).count()
     assert few == 16 and 0 < fine < 200
