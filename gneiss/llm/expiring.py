@@ -42,6 +42,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    # A start of the query opens each store once; left open, its local files would stay with the executors.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 OUT = "click_id bigint, start_hour bigint, closed_batch bigint, n_repeats bigint, n_conflicts bigint, conflict_crc bigint, hash binary"
