@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gneiss.functions import text
+from gneiss.functions.stemming import STOP_WORDS
 
 
 def hash_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -62,13 +64,34 @@ def pair_scores(query: str, scorer: Callable[[list[tuple[str, str]]], list[float
     return scored
 
 
-def lexical_logit(terms: list[str], content: Column) -> Column:
-    """Default cross-scorer: share of the query's lexemes that stand in the text as they are, as a
-    logit from -4 to 4."""
-    wanted = sorted(set(terms))
-    have = F.array_distinct(text.tokens(content))
-    hits = F.size(F.array_intersect(have, F.array(*[F.lit(t) for t in wanted]).cast("array<string>")))
-    return hits * 8.0 / max(1, len(wanted)) - 4.0
+def grams(word: str) -> frozenset[str]:
+    """The three-letter runs of a word between its ends: a word's vector has ones at them."""
+    marked = f"<{word}>"
+    return frozenset(marked[i : i + 3] for i in range(len(marked) - 2))
+
+
+def late_interaction(query: str, content: Column) -> Column:
+    """Default cross-scorer: for each word of the query the cosine of its vector and that of the text's
+    most similar word (``grams``), averaged, as a logit from -4 to 4.
+
+    Inflected words are near to one another, so nothing is stemmed. Stop words of the query don't
+    count; a query of such alone, a null and an empty text give -4. A batch's words are compared once each.
+    """
+    wanted = [grams(w) for w in sorted(set(re.findall(r"[^\W_]+", query.lower())) - STOP_WORDS)]
+
+    @F.pandas_udf("double")
+    def scored(words: pd.Series) -> pd.Series:
+        import numpy as np
+
+        known: dict[str, int] = {}
+        rows = [[known.setdefault(w, len(known)) for w in own] for own in words]
+        near = np.zeros((len(known) + 1, len(wanted)))
+        for word, at in known.items():
+            own = grams(word)
+            near[at] = [len(own & q) / (len(own) * len(q)) ** 0.5 for q in wanted]
+        return pd.Series([8.0 * float(near[row].max(axis=0).mean()) - 4.0 if row and wanted else -4.0 for row in rows], dtype="float64")
+
+    return scored(F.array_distinct(text.tokens(content)))
 
 
 #: What the message of an error holds that passes, and of one about quotas.

@@ -13,6 +13,7 @@ from gneiss.config import Retrieval
 from gneiss.functions import models
 from gneiss.functions.frames import in_blocks
 from gneiss.functions.vectors import PLACES, nearest, sigmoid
+from gneiss.operators import index as postings
 from gneiss.operators import lexical
 
 ALL_TYPES = "全部"
@@ -40,19 +41,25 @@ def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str], rrf_k: int = 60
     return both.withColumn("rrf_score", F.round(part("rank_vec") + part("rank_kw"), PLACES))
 
 
-def keyword_ranks(chunks: DataFrame, queries: dict, k: int, ranking: str = "bm25", key: str = "chunk_id", block: int = 40) -> DataFrame:
+def keyword_ranks(chunks: DataFrame, queries: dict, k: int, ranking: str = "bm25", key: str = "chunk_id", block: int = 40, index: postings.Index | None = None) -> DataFrame:
     """(query_id, key, rank_kw) of the ``k`` best matches of each query, in blocks of queries.
 
-    Queries with the same lexemes are scored once.
+    Queries with the same lexemes are scored once. With an ``index`` of the chunks only its blocks are
+    read, a thousand queries at a time; without one, all texts for each block of queries.
     """
     spark = chunks.sparkSession
+    block = block if index is None else 1000
     asked = {q: tuple(lexical.query_terms(t)) for q, t in queries.items()}
     texts = sorted(set(asked.values()) - {()})
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
 
     def ranked_blocks():
         for lo in range(0, max(1, len(texts)), block):
-            scored = lexical.score_all(chunks, {lo + i: list(t) for i, t in enumerate(texts[lo : lo + block])}, ranking, key)
+            own = {lo + i: list(t) for i, t in enumerate(texts[lo : lo + block])}
+            if index is not None:
+                yield postings.top(spark, index, own, k, ranking, key).select(F.col("query_id").alias("text_id"), key, "rank_kw")
+                continue
+            scored = lexical.score_all(chunks, own, ranking, key)
             yield scored.withColumn("rank_kw", F.row_number().over(order).cast("bigint")).where(F.col("rank_kw") <= k).select(F.col("query_id").alias("text_id"), key, "rank_kw")
 
     of = {t: i for i, t in enumerate(texts)}
@@ -60,13 +67,16 @@ def keyword_ranks(chunks: DataFrame, queries: dict, k: int, ranking: str = "bm25
     return in_blocks(spark, ranked_blocks()).join(F.broadcast(pairs), "text_id").select("query_id", key, "rank_kw")
 
 
-def hybrid(chunks: DataFrame, queries: dict, vectors: dict, limit: int, settings: Retrieval | None = None, chunk_type: str | None = None, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, rank_vec, rank_kw, rrf_score, rank) of the ``limit`` best of each query."""
+def hybrid(chunks: DataFrame, queries: dict, vectors: dict, limit: int, settings: Retrieval | None = None, chunk_type: str | None = None, key: str = "chunk_id", index: postings.Index | None = None) -> DataFrame:
+    """(query_id, key, rank_vec, rank_kw, rrf_score, rank) of the ``limit`` best of each query.
+
+    ``index`` is one of the chunks of that type, and spares a scan of the texts.
+    """
     settings = settings or Retrieval()
     pool = of_type(chunks, chunk_type)
     fetch = settings.fetch_k(limit)
     near = nearest(pool, vectors, fetch, key, floor=settings.floor).select("query_id", key, F.col("rank_vec").cast("bigint").alias("rank_vec"))
-    fused = fuse(near, keyword_ranks(pool, queries, fetch, key=key), ["query_id", key], settings.rrf_k)
+    fused = fuse(near, keyword_ranks(pool, queries, fetch, key=key, index=index), ["query_id", key], settings.rrf_k)
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), key)
     return fused.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
 
@@ -77,7 +87,7 @@ def vector_only(chunks: DataFrame, vectors: dict, limit: int, chunk_type: str |
     return near.select("query_id", key, "cosine_similarity", F.lit(None).cast("bigint").alias("rank_vec"), F.lit(None).cast("bigint").alias("rank_kw"), F.lit(None).cast("double").alias("rrf_score"))
 
 
-def search(chunks: DataFrame, query: str, vector: list[float], settings: Retrieval | None = None, chunk_type: str | None = None, use_hybrid: bool = True) -> DataFrame:
+def search(chunks: DataFrame, query: str, vector: list[float], settings: Retrieval | None = None, chunk_type: str | None = None, use_hybrid: bool = True, index: postings.Index | None = None) -> DataFrame:
     """What the search page shows: hits of one query with their facts, re-ranked if set.
 
     A blank query has no hit.
@@ -88,7 +98,7 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: Retriev
     else:
         vectors, queries = {0: vector}, {0: query}
     if use_hybrid and vectors:
-        found = hybrid(chunks, queries, vectors, settings.pool, settings, chunk_type).drop("rank")
+        found = hybrid(chunks, queries, vectors, settings.pool, settings, chunk_type, index=index).drop("rank")
         sims = nearest(of_type(chunks, chunk_type), vectors, settings.fetch_k(settings.pool)).select("query_id", "chunk_id", "cosine_similarity")
         found = found.join(sims, ["query_id", "chunk_id"], "left")
     else:
@@ -100,13 +110,13 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: Retriev
 def rerank(hits: DataFrame, query: str, top_n: int, logit=None, key: str = "chunk_id", scorer=None, batch: int = 32) -> DataFrame:
     """Hits by the sigmoid of a cross-scorer's logit; ties keep the fused order.
 
-    ``logit`` gives it as a Column of the content. ``scorer``, a function from a list of (query,
+    ``logit`` gives it as a Column of the content, by default by late interaction of words. ``scorer``, a function from a list of (query,
     content) pairs to a list of numbers such as a cross-encoder's, is called in batches instead.
     """
     if scorer is not None:
         raw = models.pair_scores(query, scorer, batch)(F.coalesce(F.col("content"), F.lit("")))
     else:
-        raw = (logit or (lambda content: models.lexical_logit(lexical.query_terms(query), content)))(F.col("content"))
+        raw = (logit or (lambda content: models.late_interaction(query, content)))(F.col("content"))
     scored = hits.withColumn("raw_rerank_score", F.round(raw, PLACES))
     scored = scored.withColumn("rerank_score", F.round(sigmoid(F.col("raw_rerank_score")), PLACES))
     order = [F.desc("rerank_score"), F.desc_nulls_last("rrf_score"), key]

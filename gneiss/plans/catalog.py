@@ -13,6 +13,7 @@ from gneiss.functions.frames import broadcast_if_small, in_blocks, scratch
 from gneiss.functions.stemming import STOP_WORDS
 from gneiss.functions.vectors import centroids, nearest, nearest_in_lists, with_list
 from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retrieval, sessions
+from gneiss.operators import index as postings
 from gneiss.plans import views
 from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
 from gneiss.sources.benchmark import builtin_cases
@@ -143,38 +144,49 @@ def lexeme_postings(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("chunk_id", "term").agg(*counts)
 
 
+@query(f"WITH {CHUNKS_SQL}, {_MATCH} SELECT lexeme AS term, count(*) AS df, sum(ta)::bigint AS in_path, sum(tb)::bigint AS in_content FROM m GROUP BY lexeme")
+def index_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What the stored index has of some lexemes, summed up over its blocks; it is made here if it isn't yet."""
+    blocks = postings.own_blocks(spark, views.index(spark, d), list(FORMS)).select("term", F.explode("postings").alias("p"))
+    return blocks.groupBy("term").agg(F.count("*").alias("df"), F.sum("p.ta").alias("in_path"), F.sum("p.tb").alias("in_content"))
+
+
 @query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_WTF} SELECT text_id, chunk_id, wtf FROM wtf")
 def stored_postings_match(spark: SparkSession, d: str) -> DataFrame:
-    """All texts by postings that are stored once."""
-    path = scratch(spark)
-    held = lexical.postings(views.chunks(spark, d))
-    held.repartition("term").sortWithinPartitions("term").write.parquet(path)
-    stored = spark.read.schema(held.schema).parquet(path)
-    parts = [lexical.match_stored(stored, lexical.query_terms(t)).select(F.lit(i).alias("text_id"), "chunk_id", "wtf") for i, t in enumerate(TEXTS)]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    """All matches of all texts from the stored index."""
+    asked = {i: lexical.query_terms(t) for i, t in enumerate(TEXTS)}
+    return postings.matches(spark, views.index(spark, d), asked).select(F.col("query_id").cast("int").alias("text_id"), "chunk_id", F.col("score").alias("wtf"))
 
 
 @query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_WTF} SELECT chunk_id FROM wtf WHERE text_id = 0")
 def keyword_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.match_all(views.chunks(spark, d), lexical.query_terms(TEXTS[0])).select("chunk_id")
+    return postings.matches(spark, views.index(spark, d), {0: lexical.query_terms(TEXTS[0])}).select("chunk_id")
 
 
 @query(f"""WITH {CHUNKS_SQL}, {_MATCH}, {_WTF}
 SELECT chunk_id, wtf, row_number() OVER (ORDER BY wtf DESC, chunk_id)::int AS rank_kw FROM wtf WHERE text_id = 0 ORDER BY wtf DESC, chunk_id LIMIT 30""")
 def keyword_wtf_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(lexical.match_all(views.chunks(spark, d), lexical.query_terms(TEXTS[0])), "wtf", "rank_kw", 30)
+    best = postings.top(spark, views.index(spark, d), {0: lexical.query_terms(TEXTS[0])}, 30, "wtf")
+    return best.select("chunk_id", F.col("score").alias("wtf"), F.col("rank_kw").cast("int").alias("rank_kw"))
+
+
+@query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_WTF} SELECT chunk_id, wtf FROM wtf WHERE text_id = 3")
+def keyword_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: one pass over all texts."""
+    return lexical.match_all(views.texts(spark, d), lexical.query_terms(TEXTS[3]))
 
 
 @query(f"WITH {CHUNKS_SQL}, {_MATCH}, {_BM25} SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id)::int AS rank_kw FROM kw WHERE text_id = 0 ORDER BY bm25 DESC, chunk_id LIMIT 30")
 def keyword_bm25_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(lexical.bm25(views.chunks(spark, d), lexical.query_terms(TEXTS[0])), "bm25", "rank_kw", 30)
+    best = postings.top(spark, views.index(spark, d), {0: lexical.query_terms(TEXTS[0])}, 30)
+    return best.select("chunk_id", F.col("score").alias("bm25"), F.col("rank_kw").cast("int").alias("rank_kw"))
 
 
 @query(f"""WITH {CHUNKS_SQL}, {_MATCH}, {_BM25}, r AS (SELECT text_id, chunk_id, row_number() OVER (PARTITION BY text_id ORDER BY bm25 DESC, chunk_id) AS rank_kw FROM kw)
 SELECT text_id AS query_id, chunk_id, rank_kw FROM r WHERE rank_kw <= 20""")
 def keyword_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """Several texts, and one of stop words alone, which matches nothing."""
-    return retrieval.keyword_ranks(views.chunks(spark, d), dict(enumerate([*TEXTS, "the and of it"])), 20)
+    return retrieval.keyword_ranks(views.chunks(spark, d), dict(enumerate([*TEXTS, "the and of it"])), 20, index=views.index(spark, d))
 
 
 # ------------------------------------------------------------------ hybrid search
@@ -197,7 +209,7 @@ _HITS = "chunk_id, rank_vec, rank_kw, rrf_score"
 
 
 def _hybrid(spark, d, chunk_type=None):
-    return retrieval.hybrid(views.chunks(spark, d), {0: TEXTS[0]}, {0: views.vector_of(spark, d, 0)}, 15, Retrieval(floor=FLOOR), chunk_type)
+    return retrieval.hybrid(views.chunks(spark, d), {0: TEXTS[0]}, {0: views.vector_of(spark, d, 0)}, 15, Retrieval(floor=FLOOR), chunk_type, index=views.index(spark, d, chunk_type))
 
 
 @query(_hybrid_sql(_HITS))
@@ -218,7 +230,7 @@ def hybrid_rrf_multi_query(spark: SparkSession, d: str) -> DataFrame:
     def blocks():
         for block in _every_hundredth(spark, d):
             asked = {q: TEXTS[q // 100 % len(TEXTS)] for q in block}
-            yield retrieval.hybrid(pool, asked, block, 10, Retrieval(floor=FLOOR)).select("query_id", "rank", "chunk_id", "rank_vec", "rank_kw", "rrf_score")
+            yield retrieval.hybrid(pool, asked, block, 10, Retrieval(floor=FLOOR), index=views.index(spark, d)).select("query_id", "rank", "chunk_id", "rank_vec", "rank_kw", "rrf_score")
 
     return in_blocks(spark, blocks())
 
@@ -228,27 +240,35 @@ def vector_only_shape(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_only(views.chunks(spark, d), {0: views.vector_of(spark, d, 0)}, 10).drop("query_id")
 
 
-_RERANK = f"""hits AS ({_hybrid_sql(_HITS)}), texts AS (SELECT doc_id AS chunk_id, text AS content, source, lang FROM documents), l AS (
-  SELECT h.*, round(len(list_intersect(list_distinct({_TOK.format('content')}), ['ther', 'thin', 'ing', 'der'])) * 8.0::double / 4 - 4.0, 9) AS raw_rerank_score
-  FROM hits h JOIN texts USING (chunk_id)), rr AS (
+#: What the re-ranker is asked: inflected forms, and a word that no text has.
+RERANK_TEXT = "therlying thinly erstes anea"
+
+
+def _rerank_sql(words: list[str]) -> str:
+    grams = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: ('<' || {0} || '>')[i:i + 2]))".format
+    return f"""hits AS ({_hybrid_sql(_HITS)}), w AS (SELECT unnest({words}) AS q), texts AS (
+  SELECT h.*, list_distinct({_TOK.format('text')}) AS own FROM hits h JOIN documents d ON d.doc_id = h.chunk_id), near AS (
+  SELECT chunk_id, q, max(len(list_intersect({grams('q')}, {grams('t')})) / sqrt(len({grams('q')}) * len({grams('t')}))) AS s
+  FROM (SELECT chunk_id, unnest(own) AS t FROM texts), w GROUP BY ALL), l AS (
+  SELECT chunk_id, rrf_score, round(8.0::double * coalesce(avg(s), 0) - 4.0, 9) AS raw_rerank_score FROM hits LEFT JOIN near USING (chunk_id) GROUP BY ALL), rr AS (
   SELECT chunk_id, rrf_score, raw_rerank_score, round(1.0::double / (1.0::double + exp(-raw_rerank_score)), 9) AS rerank_score FROM l)"""
 
 
-@query(f"WITH {_RERANK} SELECT * FROM rr ORDER BY rerank_score DESC, rrf_score DESC NULLS LAST, chunk_id LIMIT 5")
+@query(f"WITH {_rerank_sql(['therlying', 'thinly', 'erstes', 'anea'])} SELECT * FROM rr ORDER BY rerank_score DESC, rrf_score DESC NULLS LAST, chunk_id LIMIT 5")
 def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     hits = _hybrid(spark, d).select("chunk_id", "rrf_score")
     full = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
-    return retrieval.rerank(full, "ther thin ing der", 5).select("chunk_id", "rrf_score", "raw_rerank_score", "rerank_score")
+    return retrieval.rerank(full, RERANK_TEXT, 5).select("chunk_id", "rrf_score", "raw_rerank_score", "rerank_score")
 
 
-_SEARCH = _RERANK.replace("['ther', 'thin', 'ing', 'der']", "['ther', 'thin']").replace("8.0::double / 4", "8.0::double / 2")
+_SEARCH = _rerank_sql(["ther", "thin"])
 
 
 @query(f"WITH {_SEARCH} SELECT chunk_id, rrf_score, rerank_score FROM rr ORDER BY rerank_score DESC, rrf_score DESC NULLS LAST, chunk_id LIMIT 4")
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     """The pool of candidates goes to the reranker, which keeps the best four."""
     settings = Retrieval(floor=FLOOR, rerank=True, top_k=4)
-    return retrieval.search(views.chunks(spark, d), TEXTS[0], views.vector_of(spark, d, 0), settings).select("chunk_id", "rrf_score", "rerank_score")
+    return retrieval.search(views.chunks(spark, d), TEXTS[0], views.vector_of(spark, d, 0), settings, index=views.index(spark, d)).select("chunk_id", "rrf_score", "rerank_score")
 
 
 @query("SELECT 0::bigint AS chunk_id, 0.0::double AS cosine_similarity WHERE false")

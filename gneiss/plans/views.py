@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.operators import index as postings
+from gneiss.operators.retrieval import of_type
 from gneiss.sources.readers import table
 
+_indexes: dict = {}
+
 CHUNKS_SQL = """chunks AS (
   SELECT d.doc_id AS chunk_id, d.source AS source_file, CASE WHEN coalesce(e.label, d.doc_id) % 2 = 0 THEN 'text' ELSE 'table' END AS chunk_type,
          d.lang || ' / ' || d.source AS chapter_path, d.text AS content, e.embedding
@@ -39,6 +43,22 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as far as keyword search needs them."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat("lang", F.lit(" / "), "source").alias("chapter_path"), F.col("text").alias("content"))
+
+
+def index(spark: SparkSession, d: str, chunk_type: str | None = None) -> postings.Index:
+    """The index of all chunks, or of a type: made when it is first asked for, as a store makes it at
+    ingest, and again when the table has changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    name = (spark.sparkContext.applicationId, d, chunk_type, changed)
+    if name not in _indexes:
+        _indexes[name] = postings.build(texts(spark, d) if chunk_type is None else of_type(chunks(spark, d), chunk_type))
+    return _indexes[name]
+
+
 def audit(spark: SparkSession, d: str) -> DataFrame:
     """Audit events: the value is the total latency, and parts of it the stages'."""
     return as_audit(table(spark, d, "events"))
