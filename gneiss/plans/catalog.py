@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.config import Chunking, Retrieval
-from gneiss.functions import text
+from gneiss.functions import pq, text
 from gneiss.functions.frames import broadcast_if_small, in_blocks, scratch
 from gneiss.functions.stemming import STOP_WORDS
 from gneiss.functions.vectors import centroids, nearest, nearest_in_lists, with_list
@@ -295,6 +295,38 @@ def inverted_list_topk(spark: SparkSession, d: str) -> DataFrame:
     return in_blocks(spark, (nearest_in_lists(listed, index, block, 10) for block in _every_hundredth(spark, d)))
 
 
+def _quantised(spark: SparkSession, d: str):
+    """(stored codes, quantizer, number of vectors, rows that a query scores exactly: a tenth, a hundred at most)."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    quantizer, n = pq.fit(rows), rows.count()
+    return pq.store(rows, quantizer), quantizer, n, max(1, min(100, n // 10))
+
+
+@query()
+def quantised_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector by product quantisation on inverted lists."""
+    stored, quantizer, _, keep = _quantised(spark, d)
+    return in_blocks(spark, (pq.nearest(stored, quantizer, block, 10, keep) for block in _every_hundredth(spark, d)))
+
+
+@query("""SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS queries, count(*) AS vectors, true AS recall_of_nine_tenths, true AS a_tenth_scored FROM embeddings""")
+def quantised_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ten nearest of each query are found to nine tenths, while a tenth of the vectors is scored exactly at most."""
+    stored, quantizer, n, keep = _quantised(spark, d)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+    def blocks():
+        for block in _every_hundredth(spark, d):
+            exact = nearest(rows, block, 10).select("query_id", "chunk_id", F.lit(True).alias("exact"))
+            near = pq.nearest(stored, quantizer, block, 10, keep).select("query_id", "chunk_id", F.lit(True).alias("near"))
+            scored = pq.survivors(stored, quantizer, block, keep, pq.PROBES).groupBy("query_id").agg(F.count("*").alias("scored"))
+            found = exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("exact").alias("exact"), F.count("near").alias("near"))
+            yield found.join(scored, "query_id", "left")
+
+    every = in_blocks(spark, blocks())
+    return every.agg(F.count("*").alias("queries"), F.lit(n).alias("vectors"), (F.sum("near") >= 0.9 * F.sum("exact")).alias("recall_of_nine_tenths"), (F.max("scored") <= n / 10).alias("a_tenth_scored"))
+
+
 @query("""SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE NULL END, 0.0), nullif(CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END, 0.0), nullif(value / 2, 0.0), 0.0) AS score FROM events""")
 def audit_score_pick(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
