@@ -1,8 +1,12 @@
 """Ingest: Markdown to sections, tables and overlapping chunks.
 
-Everything that only looks at rows around is a window over one manual's lines; only the prefix
-of a short first chunk depends on the chunk before with its own prefix, and runs through
-a manual in order.
+What carries on through a manual (headings over lines and files, numbers of chunks, the overlap from the chunk
+before) is worked out in two passes over ranges of it: each range is summed up, the short summaries are
+put together in order, and each range starts from what comes before it. So a manual is
+dealt to many tasks. ``initial`` is the state that earlier files of a manual have left.
+
+Files without a manual are left out. Files of one name in a manual follow one another in an order of their
+own.
 """
 
 from __future__ import annotations
@@ -14,12 +18,16 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.config import Chunking
 from gneiss.functions import models, text
+from gneiss.functions.frames import scratch
 from gneiss.functions.vectors import cosine
 
 LEVELS = 6
+#: Lines, sections and chunks in a range, about.
+LINE_RANGE, SECTION_RANGE, CHUNK_RANGE = 8192, 512, 2048
 HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*$"
 SENTENCE = re.compile(text.SENTENCE_END)
 # What a table is, and the separators of recursive splitting in order.
@@ -27,25 +35,61 @@ TABLE = r"(?i)(<table(?:\s+[^>]*)?>[\s\S]*?</table>)"
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "；", ";", " ", ""]
 
 
-def sections(files: DataFrame, max_path: int = 150) -> DataFrame:
-    """(manual, source_file, file_ord, section, chapter_path, text) from (manual, source_file, text).
+def in_order(files: DataFrame) -> DataFrame:
+    """(manual, source_file, file_ord, text) of files with any text, numbered by their natural order.
 
-    A heading starts a section and stays in its text. Headings carry on over files in natural
-    order: a new one drops those of its level and below.
+    Only names are numbered in one place, texts stay where they are.
     """
-    by_name = Window.partitionBy("manual").orderBy(text.natural_key(F.col("source_file")), "source_file")
-    ordered = files.where(text.stripped(F.coalesce("text", F.lit(""))) != "").withColumn("file_ord", F.row_number().over(by_name))
+    named = files.where("manual is not null").where(text.stripped(F.coalesce("text", F.lit(""))) != "").select("manual", "source_file", "text", F.xxhash64("text").alias("hash"))
+    keys = ["manual", "source_file", "hash"]
+    names = named.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("manual").orderBy(text.natural_key(F.col("source_file")), "source_file", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    start = names.select(F.col("manual").alias("m"), F.col("source_file").alias("f"), F.col("hash").alias("h"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    same = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+    met = named.withColumn("same", same).join(start, (F.col("manual") == F.col("m")) & F.col("source_file").eqNullSafe(F.col("f")) & (F.col("hash") == F.col("h")))
+    return met.select("manual", "source_file", (F.col("start") + F.col("same")).alias("file_ord"), "text")
+
+
+def _marked(ordered: DataFrame, line_range: int | None) -> DataFrame:
+    """Lines with the level and title of headings, and the range of its file that each is in."""
     lines = ordered.select("manual", "source_file", "file_ord", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line", "value"))
     level = F.length(F.regexp_extract("value", HEADING, 1))
     title = F.regexp_extract("value", HEADING, 2)
-    marked = lines.withColumns({"level": F.when(F.col("value").rlike(HEADING) & (title != ""), level).otherwise(0), "title": title})
-    order = Window.partitionBy("manual").orderBy("file_ord", "line")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    # A higher heading clears a level with an empty title.
-    heads = {f"h{k}": F.last(F.when(F.col("level") == k, F.col("title")).when((F.col("level") > 0) & (F.col("level") < k), ""), ignorenulls=True).over(so_far) for k in range(1, LEVELS + 1)}
-    in_file = Window.partitionBy("manual", "file_ord").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumns(heads | {"section": F.sum((F.col("level") > 0).cast("int")).over(in_file)})
-    path = text.breadcrumb(F.array(*[F.col(f"h{k}") for k in range(1, LEVELS + 1)]), max_path)
+    return lines.withColumns({"level": F.when(F.col("value").rlike(HEADING) & (title != ""), level).otherwise(0), "title": title, "range": F.floor(F.col("line") / (line_range or LINE_RANGE))})
+
+
+def _head(k: int) -> Column:
+    """What a line does to the heading of level k: a higher one clears it with an empty title."""
+    return F.when(F.col("level") == k, F.col("title")).when((F.col("level") > 0) & (F.col("level") < k), "")
+
+
+def _heads_before(marked: DataFrame, initial: DataFrame | None) -> DataFrame:
+    """(manual, file_ord, range, before, own, sections): headings that stand before each range, what it sets
+    itself, and how many sections its file has had."""
+    sums = marked.groupBy("manual", "file_ord", "range").agg(
+        F.array(*[F.max_by(_head(k), F.when(_head(k).isNotNull(), F.col("line"))) for k in range(1, LEVELS + 1)]).alias("own"), F.count_if(F.col("level") > 0).alias("n")
+    )
+    so_far = Window.partitionBy("manual").orderBy("file_ord", "range").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("manual", "file_ord").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    found = sums.withColumns({f"b{k}": F.last(F.get("own", F.lit(k - 1)), ignorenulls=True).over(so_far) for k in range(1, LEVELS + 1)} | {"sections": F.coalesce(F.sum("n").over(in_file), F.lit(0))})
+    before = [F.col(f"b{k}") for k in range(1, LEVELS + 1)]
+    if initial is not None:
+        found = found.join(initial.select("manual", "heads"), "manual", "left")
+        before = [F.coalesce(b, F.get("heads", F.lit(k))) for k, b in enumerate(before)]
+    return found.select("manual", "file_ord", "range", F.array(*before).alias("before"), "own", "sections")
+
+
+def sections(files: DataFrame, max_path: int = 150, initial: DataFrame | None = None, line_range: int | None = None) -> DataFrame:
+    """(manual, source_file, file_ord, section, chapter_path, text) from (manual, source_file, text).
+
+    A heading starts a section and stays in its text. Headings carry on over files in natural
+    order: a new one drops those of its level and below.
+    """
+    marked = _marked(in_order(files), line_range)
+    so_far = Window.partitionBy("manual", "file_ord", "range").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    local = {f"h{k}": F.last(_head(k), ignorenulls=True).over(so_far) for k in range(1, LEVELS + 1)} | {"inside": F.sum((F.col("level") > 0).cast("int")).over(so_far)}
+    placed = marked.withColumns(local).join(_heads_before(marked, initial), ["manual", "file_ord", "range"]).withColumn("section", F.col("sections") + F.col("inside"))
+    path = text.breadcrumb(F.array(*[F.coalesce(F.col(f"h{k}"), F.get("before", F.lit(k - 1))) for k in range(1, LEVELS + 1)]), max_path)
     return (
         placed.groupBy("manual", "source_file", "file_ord", "section")
         .agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("lines"), F.max_by(path, "line").alias("chapter_path"))
@@ -54,6 +98,14 @@ def sections(files: DataFrame, max_path: int = 150) -> DataFrame:
     )
 
 
+def heads_after(files: DataFrame, initial: DataFrame | None = None, line_range: int | None = None) -> DataFrame:
+    """(manual, source_file, heads): the headings that stand at the end of each file."""
+    ordered = in_order(files)
+    before = _heads_before(_marked(ordered, line_range), initial)
+    last = before.groupBy("manual", "file_ord").agg(F.max_by(F.transform(F.arrays_zip("own", "before"), lambda x: F.coalesce(x["own"], x["before"])), "range").alias("heads"))
+    return last.join(ordered.select("manual", "file_ord", "source_file"), ["manual", "file_ord"]).groupBy("manual", "source_file").agg(F.max_by("heads", "file_ord").alias("heads"))
+
+
 def pieces(secs: DataFrame) -> DataFrame:
     """Sections cut into whole tables and the texts between, in order (piece, chunk_type, text)."""
     tables = F.regexp_extract_all("text", F.lit(TABLE), F.lit(1))
@@ -130,14 +182,56 @@ def semantic_chunks(rows: DataFrame, settings: Chunking | None = None, backend=N
     return grouped.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("s")).select(key, "chunk", F.array_join(F.transform("s", lambda x: x["content"]), " ").alias("text"))
 
 
-def with_prefixes(chunks: DataFrame, target: int = 250) -> DataFrame:
-    """Chunks of manuals with the overlap from the text chunk before.
+def trimmed(texts: Column, target: int) -> Column:
+    """The last of some text chunks (ord, first, text, chars) that together have ``target`` characters of sentences."""
+
+    def take(acc, x):
+        return F.when(acc["n"] >= target, acc).otherwise(F.struct(F.concat(F.array(x), acc["kept"]).alias("kept"), (acc["n"] + x["chars"]).alias("n")))
+
+    start = F.struct(F.array().cast("array<struct<ord: bigint, first: boolean, text: string, chars: bigint>>").alias("kept"), F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(F.reverse(texts), start, take)["kept"]
 
-    ``chunks`` has manual, ord (order within the manual), chunk_type, first (first chunk of its
+
+def tails(chunks: DataFrame, by: str, target: int) -> DataFrame:
+    """(manual, by, tail): of each range the last text chunks, as many as an overlap can reach into.
+
+    An overlap is made of whole sentences at the end that have ``target`` characters, whatever stands before
+    them; a chunk boundary ends a sentence. So what comes after depends on no more than this.
+    """
+    chars = F.aggregate(text.sentences(F.col("text")), F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
+    texts = chunks.where("chunk_type <> 'table'").select("manual", by, F.col("ord").cast("bigint").alias("ord"), "first", "text", chars.alias("chars"))
+    back = Window.partitionBy("manual", by).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    last = texts.withColumn("after", F.coalesce(F.sum("chars").over(back), F.lit(0))).where(F.col("after") < target)
+    return last.groupBy("manual", by).agg(F.array_sort(F.collect_list(F.struct("ord", "first", "text", "chars"))).alias("tail"))
+
+
+def file_tails(chunks: DataFrame, target: int) -> DataFrame:
+    """(manual, source_file, tail) of files that have any text chunk."""
+    names = chunks.select("manual", "file_ord", "source_file").distinct()
+    return tails(chunks, "file_ord", target).join(names, ["manual", "file_ord"]).groupBy("manual", "source_file").agg(F.max_by("tail", "file_ord").alias("tail"))
+
+
+def with_prefixes(chunks: DataFrame, target: int = 250, initial: DataFrame | None = None, chunk_range: int | None = None) -> DataFrame:
+    """Chunks of manuals with the overlap from the text chunk before, as ``content``.
+
+    ``chunks`` has manual, ord (place within the manual, from 1), chunk_type, first (first chunk of its
     piece) and text. Tables neither take nor give an overlap. A chunk inside a piece takes it
     from the plain chunk before; a piece's first chunk from the chunk before with its prefix.
+
+    Each range of a manual gets the tail of what is before it (``tails``; of ``initial`` too, which has
+    manual and tail) and runs through its own chunks in order.
     """
-    schema = "manual string, ord bigint, content string"
+    ranged = chunks.withColumn("range", F.floor((F.col("ord") - 1) / (chunk_range or CHUNK_RANGE)).cast("bigint"))
+    own = tails(ranged, "range", target)
+    if initial is not None:
+        own = own.unionByName(initial.where(F.size("tail") > 0).select("manual", F.lit(-1).cast("bigint").alias("range"), F.transform("tail", lambda x: x.withField("ord", x["ord"] - (1 << 60))).alias("tail")))
+    # Every tail has a character at least.
+    before = Window.partitionBy("manual").orderBy("range").rowsBetween(-target, -1)
+    gathered = own.select("manual", "range", F.flatten(F.collect_list("tail").over(before)).alias("held"))
+    handed = gathered.select("manual", "range", F.explode(trimmed(F.col("held"), target)).alias("t"))
+    halo = handed.select("manual", "range", "t.ord", F.lit("text").alias("chunk_type"), "t.first", "t.text", F.lit(True).alias("halo"))
+    schema = T.StructType([*ranged.schema.fields, T.StructField("content", T.StringType())])
+    names = [f.name for f in ranged.schema.fields]
 
     def carry(frame):
         frame = frame.sort_values("ord")
@@ -149,10 +243,12 @@ def with_prefixes(chunks: DataFrame, target: int = 250) -> DataFrame:
             prefix = prefix_of(final if first else plain, target)
             plain, final = value, f"{prefix}\n{value}" if prefix else value
             out.append(final)
-        return pd.DataFrame({"manual": frame["manual"], "ord": frame["ord"], "content": out})
+        return frame.assign(content=out)[~frame["halo"].astype(bool)][[*names, "content"]]
 
-    done = chunks.select(F.col("manual").cast("string").alias("manual"), "ord", "chunk_type", "first", "text").groupBy("manual").applyInPandas(carry, schema)
-    return chunks.withColumn("manual", F.col("manual").cast("string")).join(done, ["manual", "ord"])
+    # Columns that the pass doesn't need are filled, since pandas has no null numbers.
+    filled = {f.name: F.lit(0 if isinstance(f.dataType, T.NumericType) else None).cast(f.dataType) for f in ranged.schema.fields if f.name not in halo.columns}
+    both = ranged.withColumn("halo", F.lit(False)).unionByName(halo.withColumns(filled))
+    return both.groupBy("manual", "range").applyInPandas(carry, schema).drop("range")
 
 
 def prefix_of(previous: str, target: int) -> str:
@@ -164,10 +260,27 @@ def prefix_of(previous: str, target: int) -> str:
     return joined if not joined or joined.endswith(tuple("。！？.!?")) else f"{joined}。"
 
 
-def chunked(files: DataFrame, settings: Chunking | None = None, kind: str = "recursive", backend=None) -> DataFrame:
-    """All of ingest but the vectors: chunk_id, source_file, chunk_type, chunk_index, chapter_path, content."""
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with chunk_index (place in the file, from 0), ord (place in the manual, from 1) and first."""
+    grouped = rows.withColumn("group", F.floor(F.col("section") / SECTION_RANGE))
+    sizes = grouped.groupBy("manual", "file_ord", "group").agg(F.count("*").alias("n"))
+
+    def before(*part):
+        rest = [c for c in ("file_ord", "group") if c not in part]
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    base = sizes.select("manual", "file_ord", "group", before("manual", "file_ord").alias("in_file"), before("manual").alias("in_manual"))
+    inside = F.row_number().over(Window.partitionBy("manual", "file_ord", "group").orderBy("section", "piece", "chunk", "sub"))
+    met = grouped.withColumn("inside", inside).join(base, ["manual", "file_ord", "group"])
+    found = met.withColumns({"ord": F.col("in_manual") + F.col("inside"), "chunk_index": (F.col("in_file") + F.col("inside") - 1).cast("int"), "first": (F.col("chunk") == 0) & (F.col("sub") == 0)})
+    return found.drop("group", "inside", "in_file", "in_manual")
+
+
+def plain_chunks(files: DataFrame, settings: Chunking | None = None, kind: str = "recursive", backend=None, initial: DataFrame | None = None) -> DataFrame:
+    """Numbered chunks of ``files`` without overlaps. They are written, since several passes read them."""
     settings = settings or Chunking()
-    parts = pieces(sections(files, settings.max_path)).withColumn("piece_id", F.concat_ws("|", F.col("manual").cast("string"), "source_file", F.col("section").cast("string"), F.col("piece").cast("string")))
+    secs = sections(files.withColumn("manual", F.col("manual").cast("string")), settings.max_path, initial)
+    parts = pieces(secs).withColumn("piece_id", F.concat_ws("|", "manual", "source_file", F.col("file_ord").cast("string"), F.col("section").cast("string"), F.col("piece").cast("string")))
     split = recursive_chunks(settings.size, settings.overlap)
     if kind == "semantic":
         texts = semantic_chunks(parts.where("chunk_type = 'text'"), settings, backend).withColumnRenamed("text", "piece_text")
@@ -178,11 +291,21 @@ def chunked(files: DataFrame, settings: Chunking | None = None, kind: str = "rec
         subs = F.when(F.col("chunk_type") == "text", split("text")).otherwise(F.array("text"))
     base = ["manual", "source_file", "file_ord", "section", "chapter_path", "piece", "chunk", "chunk_type"]
     rows = made.select(*base, F.posexplode(subs).alias("sub", "text"))
-    whole = Window.partitionBy("manual").orderBy("file_ord", "section", "piece", "chunk", "sub")
-    in_file = Window.partitionBy("manual", "file_ord").orderBy("section", "piece", "chunk", "sub")
-    numbered = rows.withColumns({"ord": F.row_number().over(whole).cast("bigint"), "chunk_index": (F.row_number().over(in_file) - 1), "first": (F.col("chunk") == 0) & (F.col("sub") == 0)})
-    out = with_prefixes(numbered, settings.prefix)
-    return out.select(text.chunk_id(F.col("source_file"), F.col("chunk_index")).alias("chunk_id"), "source_file", "chunk_type", F.col("chunk_index").cast("int").alias("chunk_index"), "chapter_path", "content")
+    path = scratch(files.sparkSession)
+    rows.write.parquet(path)
+    return numbered(files.sparkSession.read.schema(rows.schema).parquet(path))
+
+
+def finished(chunks: DataFrame, settings: Chunking, initial: DataFrame | None = None) -> DataFrame:
+    """``plain_chunks`` with their overlaps, as chunk_id, source_file, chunk_type, chunk_index, chapter_path, content."""
+    out = with_prefixes(chunks, settings.prefix, initial)
+    return out.select(text.chunk_id(F.col("source_file"), F.col("chunk_index")).alias("chunk_id"), "source_file", "chunk_type", "chunk_index", "chapter_path", "content")
+
+
+def chunked(files: DataFrame, settings: Chunking | None = None, kind: str = "recursive", backend=None, initial: DataFrame | None = None) -> DataFrame:
+    """All of ingest but the vectors: chunk_id, source_file, chunk_type, chunk_index, chapter_path, content."""
+    settings = settings or Chunking()
+    return finished(plain_chunks(files, settings, kind, backend, initial), settings, initial)
 
 
 def ingest(files: DataFrame, settings: Chunking | None = None, kind: str = "recursive", backend=None) -> DataFrame:

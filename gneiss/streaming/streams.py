@@ -6,11 +6,15 @@ another trigger, a service.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gneiss.operators import sessions
+from gneiss import schemas
+from gneiss.config import Chunking
+from gneiss.functions import models, text
+from gneiss.functions.frames import scratch
+from gneiss.operators import ingest, merge, sessions
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str, ts: str = "timestamp", days: int = sessions.TTL_DAYS) -> StreamingQuery:
@@ -102,8 +106,9 @@ def merged_sessions(parts: DataFrame, cap: int = sessions.CAP) -> DataFrame:
 
 
 def stored_sessions(spark: SparkSession, path: str, cap: int = sessions.CAP) -> DataFrame:
-    """All session states that ``upsert_sessions`` has kept under ``path``."""
-    return merged_sessions(_read(spark, path, *_live(spark, path)), cap)
+    """All session states that ``upsert_sessions`` has kept under ``path``; none where nothing has been kept yet."""
+    parts = _read(spark, path, *_live(spark, path))
+    return spark.createDataFrame([], schemas.CHAT_SESSIONS) if parts is None else merged_sessions(parts, cap)
 
 
 def upsert_sessions(turns: DataFrame, path: str, checkpoint: str, cap: int = sessions.CAP, every: int = 16) -> StreamingQuery:
@@ -117,36 +122,90 @@ def upsert_sessions(turns: DataFrame, path: str, checkpoint: str, cap: int = ses
 
 
 def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """All chunks that ``ingest_files`` has kept under ``path``."""
-    from gneiss.operators import merge
+    """All chunks that ``ingest_files`` has kept under ``path``; none where nothing has been kept yet."""
+    parts = _read(spark, f"{path}/chunks", *_live(spark, f"{path}/chunks"))
+    if parts is None:
+        return spark.createDataFrame([], schemas.MANUAL_CHUNKS).drop("created_at")
+    return merge.latest(parts, "part")
 
-    return merge.latest(_read(spark, f"{path}/chunks", *_live(spark, f"{path}/chunks")), "part")
+
+def _newest_files(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("manual", "source_file").agg(F.max_by("text", "part").alias("text"))
+
+
+def _newest_states(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("manual", "source_file").agg(F.max_by("heads", "part").alias("heads"), F.max_by("tail", "part").alias("tail"))
+
+
+def _key(name: str = "source_file"):
+    return F.struct(text.natural_key(F.col(name)).alias("natural"), F.col(name).alias("name"))
+
+
+def _states_before(states: DataFrame | None, lows: DataFrame, target: int) -> DataFrame | None:
+    """(manual, heads, tail): what the files before ``lows`` (manual, low) have left."""
+    if states is None:
+        return None
+    earlier = states.join(F.broadcast(lows), "manual").where(_key() < F.col("low"))
+    back = Window.partitionBy("manual").orderBy(F.desc(_key()))
+    near = earlier.withColumn("back", F.row_number().over(back))
+    # Files whose tail isn't empty have a character each; only so many can matter.
+    spoken = near.where(F.size("tail") > 0).withColumn("spoken", F.row_number().over(back)).where(F.col("spoken") <= target)
+    tails = spoken.groupBy("manual").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("spoken")).alias("at"), "tail"))), lambda x: x["tail"])).alias("tail"))
+    numbered = F.transform("tail", lambda x, i: x.withField("ord", i.cast("bigint")))
+    return near.where("back = 1").select("manual", "heads").join(tails, "manual", "left").select("manual", "heads", F.coalesce(ingest.trimmed(numbered, target), F.array()).alias("tail"))
+
+
+def absorb_files(batch: DataFrame, number: int, path: str, every: int = 16, settings: Chunking | None = None, kind: str = "recursive", backend=None) -> None:
+    """Chunk the files (manual, source_file, text) of a batch and keep chunks, files and states under ``path``.
+
+    Of every file the headings at its end and its last texts are kept. New files that come after all others of
+    their manual start from these; only they are chunked and embedded. A file that comes between others, or
+    again, makes those after it run again too, but chunks that stay the same are neither embedded nor written.
+    """
+    settings = settings or Chunking()
+    spark = batch.sparkSession
+    base, _ = _live(spark, f"{path}/states")
+    if base is not None and number <= base or batch.isEmpty():
+        return  # states are written last, so all of it is done
+    _keep(batch, number, f"{path}/files", _newest_files, every)
+    # What this batch itself left in a failed attempt doesn't count.
+    before = _read(spark, f"{path}/states", *_live(spark, f"{path}/states", number - 1))
+    states = None if before is None else _newest_states(before)
+    lows = batch.groupBy("manual").agg(F.min(_key()).alias("low"))
+    known = _newest_files(_read(spark, f"{path}/files", *_live(spark, f"{path}/files")))
+    redone = known.join(F.broadcast(lows), "manual").where(_key() >= F.col("low")).drop("low")
+    initial = _states_before(states, lows, settings.prefix)
+    if initial is not None:
+        at = scratch(spark)
+        initial.write.parquet(at)
+        initial = spark.read.schema(initial.schema).parquet(at)
+    plain = ingest.plain_chunks(redone, settings, kind, backend, initial)
+    made = ingest.finished(plain, settings, initial)
+    held = _read(spark, f"{path}/chunks", *_live(spark, f"{path}/chunks", number - 1))
+    again = redone.join(batch.select("manual", "source_file"), ["manual", "source_file"], "left_anti")
+    if held is not None and (states is not None and not states.join(redone.select("manual", "source_file"), ["manual", "source_file"], "left_semi").isEmpty() or not again.isEmpty()):
+        at = scratch(spark)
+        old = merge.latest(held, "part").select("chunk_id", F.col("content").alias("old"), F.col("chapter_path").alias("old_path"), "embedding")
+        made.join(old, "chunk_id", "left").write.parquet(at)
+        met = spark.read.parquet(at)
+        same = F.col("old").eqNullSafe(F.col("content"))
+        moved = met.where(same & ~F.col("old_path").eqNullSafe(F.col("chapter_path"))).drop("old", "old_path")
+        fresh = models.with_embedding(met.where(~same).drop("old", "old_path", "embedding"), backend, batch=settings.batch)
+        done = fresh.unionByName(moved)
+    else:
+        done = models.with_embedding(made, backend, batch=settings.batch)
+    _keep(done, number, f"{path}/chunks", lambda parts: merge.latest(parts, "part"), every)
+    ends = ingest.heads_after(redone, initial).join(ingest.file_tails(plain, settings.prefix), ["manual", "source_file"], "left")
+    empty = F.array().cast(ends.schema["tail"].dataType)
+    _keep(ends.select("manual", "source_file", "heads", F.coalesce("tail", empty).alias("tail")), number, f"{path}/states", _newest_states, every)
 
 
 def ingest_files(spark, folder: str, path: str, checkpoint: str, manual: str = "manual", every: int = 16, **how) -> StreamingQuery:
     """Markdown files that arrive in a folder, chunked, embedded and kept as parts under ``path``.
 
-    The files themselves are kept too, and a manual that gets more of them is chunked again as a
-    whole: headings and overlaps carry on from one batch to the next as within one. Chunks' keys
+    Headings and overlaps carry on from one batch to the next as within one (``absorb_files``). Chunks' keys
     depend only on their file, so a batch that runs again changes nothing.
     """
-    from gneiss.functions.text import file_name, stripped
-    from gneiss.operators import ingest, merge
-
     files = spark.readStream.schema("value string").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    named = files.select(F.lit(manual).alias("manual"), file_name().alias("source_file"), F.col("value").alias("text")).where(stripped(F.col("value")) != "")
-
-    def newest(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("manual", "source_file").agg(F.max_by("text", "part").alias("text"))
-
-    def absorb(batch: DataFrame, number: int) -> None:
-        own, kept = batch.sparkSession, f"{path}/files"
-        if batch.isEmpty():
-            return
-        _keep(batch, number, kept, newest, every)
-        touched = batch.select("manual").distinct()
-        known = newest(_read(own, kept, *_live(own, kept))).join(F.broadcast(touched), "manual", "left_semi")
-        state = lambda parts: merge.latest(parts, "part")
-        _keep(ingest.ingest(known, **how), number, f"{path}/chunks", state, every)
-
-    return named.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    named = files.select(F.lit(manual).alias("manual"), text.file_name().alias("source_file"), F.col("value").alias("text")).where(text.stripped(F.col("value")) != "")
+    return named.writeStream.foreachBatch(lambda batch, number: absorb_files(batch, number, path, every, **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
