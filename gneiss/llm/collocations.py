@@ -36,6 +36,8 @@ FIRST = 2000
 CHUNK_BYTES, SORT_RUNS, SEGMENT_RUNS = 4_000_000, 4_000_000, 1_500_000
 #: Heavy counters in one pass that picks candidates, and bytes of patterns in one automaton.
 SLICE, GROUP_BYTES = 8_000_000, 8_000_000
+#: Patterns whose counts are packed together.
+PART = 4096
 #: Lower case for A to Z alone; ends of pieces become a byte that no text has, tabs become spaces.
 FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -208,7 +210,7 @@ def automata(patterns: list[tuple[str, bytes]]) -> dict:
 
 
 def counted(rows: DataFrame, patterns: list[tuple[str, bytes]]) -> DataFrame:
-    """(lang, phrase, f): occurrences of the patterns in each part of the texts, overlaps included."""
+    """(lang, phrase, f): occurrences of the patterns in all texts, overlaps included."""
     shared = rows.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
@@ -233,11 +235,23 @@ def counted(rows: DataFrame, patterns: list[tuple[str, bytes]]) -> DataFrame:
                     guarded = guarded.replace(b"  ", b" ")
                 hits = np.fromiter(map(itemgetter(1), made[lang].iter(guarded.decode("utf-8", "surrogateescape"))), np.int64)
                 counts += np.bincount(hits, minlength=len(patterns))
-        some = np.flatnonzero(counts).tolist()
-        columns = ([patterns[i][0] for i in some], [patterns[i][1] for i in some], counts[some])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
+        some = np.flatnonzero(counts)
+        parts = [(int(p[0]) // PART, p) for p in np.split(some, np.flatnonzero(np.diff(some // PART)) + 1) if len(p)]
+        packed = ([k for k, _ in parts], [encode(np.diff(p, prepend=0)) for _, p in parts], [encode(counts[p]) for _, p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(packed, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "places", "counts"])
 
-    return rows.mapInArrow(run, "lang string, phrase binary, f bigint")
+    def summed(frame):
+        import pandas as pd
+
+        sums = np.zeros(len(shared.value), np.int64)
+        for places, counts in zip(frame["places"], frame["counts"], strict=True):
+            sums[np.cumsum(decode(places).astype(np.int64))] += decode(counts).astype(np.int64)
+        some = np.flatnonzero(sums).tolist()
+        return pd.DataFrame({"lang": [shared.value[i][0] for i in some], "phrase": [shared.value[i][1] for i in some], "f": sums[some]})
+
+    # A task's counts are a few packed columns, not a row for each pattern that it has met.
+    packed = rows.mapInArrow(run, "part bigint, places binary, counts binary")
+    return packed.groupBy("part").applyInPandas(summed, "lang string, phrase binary, f bigint")
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
@@ -277,7 +291,7 @@ def counts_of(rows: DataFrame, phrases: DataFrame, group_bytes: int = GROUP_BYTE
     for k in range(groups):
         here = patterns.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == k).toPandas()
         group = sorted(zip(here["lang"].tolist(), map(bytes, here["phrase"].tolist()), strict=True))
-        found.append(cut(counted(rows, group).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))))
+        found.append(cut(counted(rows, group)))
     return cut(_united(found))
 
 
