@@ -36,8 +36,8 @@ FIRST = 2000
 CHUNK_BYTES, SORT_RUNS, SEGMENT_RUNS = 4_000_000, 4_000_000, 1_500_000
 #: Heavy counters in one pass that picks candidates, and bytes of patterns in one automaton.
 SLICE, GROUP_BYTES = 8_000_000, 8_000_000
-#: Patterns whose counts are packed together.
-PART = 4096
+#: Patterns that are packed together, and phrases that a task holds before it packs them.
+PART, HELD = 4096, 400_000
 #: Lower case for A to Z alone; ends of pieces become a byte that no text has, tabs become spaces.
 FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -158,16 +158,18 @@ def heavy_cells(parts: DataFrame, min_count: int) -> DataFrame:
 
 
 def picked(rows: DataFrame, cells: np.ndarray, bits: int, whole: bool, totals: bool) -> DataFrame:
-    """(lang, phrase, words): the runs on the given counters; with ``totals`` also rows with the number of
-    words, whose phrase is null.
+    """(part, lang, words, phrases): the runs on the given counters, packed by parts of their keys; with ``totals``
+    also the number of words of each language in a task, as part -1.
 
     If the counters are the ``whole`` heavy set, runs of which a part isn't on them are passed by, as
     none is more frequent than its parts; otherwise every run is looked up.
     """
     shared = rows.sparkSession.sparkContext.broadcast(cells)
+    part_bits = max(0, ceil(log2(max(1, len(cells) / PART))))
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
         cells, shift = shared.value, np.uint64(64 - bits)
         width = np.uint64(max(0, bits - 22))
@@ -180,21 +182,50 @@ def picked(rows: DataFrame, cells: np.ndarray, bits: int, whole: bool, totals: b
             at = np.minimum(np.searchsorted(cells, cell[some]), max(0, len(cells) - 1))
             return some[cells[at] == cell[some]] if len(cells) else some[:0]
 
+        def packed(found):
+            by: dict = {}
+            for key in sorted(found):
+                lang, phrase = found[key]
+                by.setdefault((key >> (64 - part_bits) if part_bits else 0, lang), []).append(phrase)
+            press = zstandard.ZstdCompressor()
+            columns = ([p for p, _ in by], [x for _, x in by], [0] * len(by), [press.compress(b"\xff".join(own)) for own in by.values()])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "lang", "words", "phrases"])
+
+        types = (pa.int64(), pa.string(), pa.int64(), pa.binary())
+        met, words = {}, {}
         for chunk in chunks(batches):
             found, names = Words(*chunk), chunk[0]
-            rows_ = []
             for n, last, keys in found.runs((lambda n, last, keys: last[known(keys)]) if whole else lambda n, last, keys: last):
                 here = known(keys)
-                _, first = np.unique(keys[here], return_index=True)
-                rows_ += [(names[found.text[i]], found.phrase(n, i), 0) for i in last[here[first]].tolist()]
-            if totals:
-                per = np.bincount(found.text, minlength=len(names))
-                rows_ += [(lang, None, int(k)) for lang, k in zip(names, per.tolist(), strict=True) if k]
-            columns = zip(*rows_, strict=True) if rows_ else ([], [], [])
-            table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "words"])
-            yield from table.group_by(["lang", "phrase"], use_threads=False).aggregate([("words", "sum")]).rename_columns(["lang", "phrase", "words"]).to_batches()
+                own, first = np.unique(keys[here], return_index=True)
+                for key, i in zip(own.tolist(), last[here[first]].tolist(), strict=True):
+                    if key not in met:
+                        met[key] = names[found.text[i]], found.phrase(n, i)
+            for lang, k in zip(names, np.bincount(found.text, minlength=len(names)).tolist(), strict=True):
+                words[lang] = words.get(lang, 0) + k
+            if len(met) > HELD:
+                yield packed(met)
+                met = {}
+        yield packed(met)
+        if totals:
+            columns = ([-1] * len(words), list(words), list(words.values()), [None] * len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "lang", "words", "phrases"])
+
+    return rows.mapInArrow(run, "part bigint, lang string, words bigint, phrases binary")
+
+
+def distinct_phrases(found: DataFrame) -> DataFrame:
+    """(lang, phrase) of what tasks have ``picked``."""
 
-    return rows.mapInArrow(run, "lang string, phrase binary, words bigint")
+    def run(frame):
+        import pandas as pd
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        own = {x for blob in frame["phrases"] for x in press.decompress(blob).split(b"\xff")}
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "phrase": sorted(own)})
+
+    return found.where("part >= 0").select("part", "lang", "phrases").groupBy("part", "lang").applyInPandas(run, "lang string, phrase binary")
 
 
 def automata(patterns: list[tuple[str, bytes]]) -> dict:
@@ -276,9 +307,9 @@ def candidates(rows: DataFrame, min_count: int, slice_: int = SLICE) -> tuple[Da
     for k in range(slices):
         here = heavy if slices == 1 else heavy.where(F.pmod(F.xxhash64("cell"), F.lit(slices)) == k)
         cells = np.sort(_array(here, "cell").astype(np.uint64))
-        found.append(cut(picked(rows, cells, bits, slices == 1, k == 0).groupBy("lang", "phrase").agg(F.sum("words").alias("n"))))
+        found.append(cut(picked(rows, cells, bits, slices == 1, k == 0)))
     whole = _united(found)
-    return whole.where("phrase is not null").select("lang", "phrase"), whole.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    return _united([distinct_phrases(x) for x in found]), whole.where("part < 0 and words > 0").groupBy("lang").agg(F.sum("words").alias("n"))
 
 
 def counts_of(rows: DataFrame, phrases: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
