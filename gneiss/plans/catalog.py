@@ -18,7 +18,7 @@ from gneiss.plans import views
 from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
 from gneiss.sources.benchmark import builtin_cases
 from gneiss.sources.readers import benchmark_cases, table
-from gneiss.streaming import streams
+from gneiss.streaming import state, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -400,6 +400,17 @@ def session_upsert_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("session_id", "user_id", "turn_count", _newest(), F.unix_seconds("created_at").alias("first_turn"), F.unix_seconds("updated_at").alias("last_turn"))
 
 
+@query("""SELECT conv_id::varchar AS session_id, arg_min(role, turn) AS user_id, count(*)::int AS turn_count, array_to_string(list(turn ORDER BY turn DESC)[1:3], ',') AS newest, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1""")
+def session_state_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same states kept in the state store, over three starts; two thirds of the turns come late."""
+    turns, arriving, out, at = views.turns(spark, d), scratch(spark), scratch(spark), scratch(spark)
+    for k in (2, 0, 1):
+        turns.where(F.col("turn.turn_id") % 3 == k).write.mode("append").parquet(arriving)
+        state.keep_sessions(spark.readStream.schema(turns.schema).parquet(arriving), out, at, 3).awaitTermination()
+    kept = state.kept_sessions(spark, out)
+    return kept.select("session_id", "user_id", "turn_count", _newest(), F.unix_seconds("created_at").alias("first_turn"), F.unix_seconds("updated_at").alias("last_turn"))
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
 def last_n_turns(spark: SparkSession, d: str) -> DataFrame:
     return sessions.last_turns(table(spark, d, "conversations"), 3, "conv_id").select("conv_id", "turn", "role")
