@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss import schemas
+from gneiss.operators import support
 from gneiss.functions import models
 from gneiss.functions.vectors import nearest
 from gneiss.operators.retrieval import of_type
@@ -161,6 +162,19 @@ def leakage(reports: DataFrame, raw: str = "report") -> DataFrame:
     return parsed.select(*[c for c in reports.columns if c != raw], total.alias("total_claims"), leaked.alias("leaked_claims")).select("*", *leakage_verdict(F.col("leaked_claims"), F.col("total_claims")))
 
 
+def verified_leakage(reports: DataFrame, contexts: DataFrame, case: str = "case_id", raw: str = "report") -> DataFrame:
+    """(case, total_claims, leaked_claims, leakage_rate, verdict) of leakage audits whose flags aren't believed:
+    what a claim quotes has to stand in a context (case, text) of its case, at least nearly (``support``).
+
+    Reports that can't be read have no claims. Cases are given once.
+    """
+    parsed = reports.select(case, F.from_json(raw, schemas.LEAKAGE_REPORT)["atomic_checks"].alias("checks"))
+    claims = parsed.select(case, F.posexplode_outer("checks").alias("claim_id", "c")).where("c is not null").select(case, "claim_id", F.col("c.is_supported_by_context").alias("flagged"), F.col("c.citation_quote").alias("quote"))
+    held = support.verified(claims, contexts, case).groupBy(case).agg(F.count("*").alias("total"), F.count_if(~F.col("supported")).alias("leaked"))
+    counts = reports.select(case).join(held, case, "left").select(case, F.coalesce("total", F.lit(0)).alias("total_claims"), F.coalesce("leaked", F.lit(0)).alias("leaked_claims"))
+    return counts.select("*", *leakage_verdict(F.col("leaked_claims"), F.col("total_claims")))
+
+
 def leakage_verdict(leaked: Column, total: Column) -> list[Column]:
     rate = F.when(total > 0, leaked / total).otherwise(0.0)
     return [rate.alias("leakage_rate"), F.when(leaked == 0, "PASS_ISOLATED").otherwise("FAIL_LEAKAGE_DETECTED").alias("verdict")]

@@ -12,7 +12,7 @@ from gneiss.functions import pq, text
 from gneiss.functions.frames import broadcast_if_small, in_blocks, scratch
 from gneiss.functions.stemming import STOP_WORDS
 from gneiss.functions.vectors import centroids, nearest, nearest_in_lists, with_list
-from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retrieval, sessions
+from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retrieval, sessions, support
 from gneiss.operators import index as postings
 from gneiss.plans import views
 from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
@@ -791,6 +791,34 @@ def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.prompt_blocks(hits, TEXTS[0])
 
 
+#: Three kinds of quotes of each benchmark item: as it is, with every seventh token changed and one left out, and backwards.
+_CLAIMS = f"""toks AS (SELECT item_id, {_TOK.format('text')} AS x FROM benchmark), claims AS (
+  SELECT item_id * 10 AS claim_id, x AS q FROM toks UNION ALL
+  SELECT item_id * 10 + 1, list_transform(list_filter(x, lambda t, i: i <> 5), lambda t, i: CASE WHEN i % 7 = 0 THEN 'changed' ELSE t END) FROM toks UNION ALL
+  SELECT item_id * 10 + 2, list_reverse(x) FROM toks)"""
+
+
+@query(f"""WITH {_CLAIMS}, c AS (SELECT *, least(3, len(q)) AS size FROM claims WHERE len(q) > 0), d AS (
+  SELECT doc_id, {_TOK.format('text')} AS t FROM documents), cs AS (
+  SELECT claim_id, size, unnest(range(1, len(q) - size + 2)) AS pl, q FROM c), cg AS (
+  SELECT claim_id, size, pl, array_to_string(q[pl:pl + size - 1], ' ') AS g FROM cs), ds AS (
+  SELECT doc_id, size, unnest(range(1, len(t) - size + 2)) AS place, t FROM d, (SELECT DISTINCT size FROM c)), dg AS (
+  SELECT doc_id, size, place, array_to_string(t[place:place + size - 1], ' ') AS g FROM ds), met AS (
+  SELECT claim_id, doc_id, floor((place - pl) / 8.0)::int AS band, count(*) AS seeds FROM cg JOIN dg USING (size, g) GROUP BY ALL), best AS (
+  SELECT claim_id, doc_id, band FROM met QUALIFY row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY seeds DESC, band) = 1), s AS (
+  SELECT claim_id, doc_id, round(len(list_filter(q, lambda w, i: list_contains(t[greatest(1, i + (band - 1) * 8):i + (band - 1) * 8 + 23], w)))::double / len(q), 9) AS support
+  FROM best JOIN c USING (claim_id) JOIN d USING (doc_id))
+SELECT claim_id, doc_id, support, support >= 0.8 AS supported FROM s""")
+def quoted_claims(spark: SparkSession, d: str) -> DataFrame:
+    """How far each document bears out verbatim, edited and invented quotes of benchmark items."""
+    items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("x"))
+    kept = F.filter("x", lambda t, i: i != 4)
+    kinds = [F.col("x"), F.transform(kept, lambda t, i: F.when((i + 1) % 7 == 0, "changed").otherwise(t)), F.reverse("x")]
+    claims = items.select("item_id", F.posexplode(F.array(*kinds)).alias("k", "q")).select((F.col("item_id") * 10 + F.col("k")).alias("claim_id"), F.array_join("q", " ").alias("quote"))
+    found = support.support(claims, table(spark, d, "documents"), key="doc_id")
+    return found.withColumn("supported", F.col("support") >= support.ENOUGH)
+
+
 # ------------------------------------------------------------------ streams
 
 
