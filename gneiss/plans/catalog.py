@@ -16,6 +16,7 @@ from gneiss.operators import analytics, evaluation, ingest, lexical, merge, retr
 from gneiss.operators import index as postings
 from gneiss.plans import views
 from gneiss.plans.views import AUDIT_SQL, CHUNKS_SQL, MANUALS_SQL
+from gneiss.sources import versions
 from gneiss.sources.benchmark import builtin_cases
 from gneiss.sources.readers import benchmark_cases, table
 from gneiss.streaming import state, streams
@@ -552,6 +553,21 @@ def chunk_upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.upsert(old, new)
 
 
+@query("""WITH o AS (SELECT doc_id AS chunk_id, source AS source_file, lang AS chapter_path, text AS content FROM documents), n AS (
+  SELECT doc_id + 50 AS chunk_id, 'new' AS source_file, 'new / ' || lang AS chapter_path, text AS content FROM documents)
+SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, coalesce(o.source_file, n.source_file) AS source_file,
+  CASE WHEN n.chunk_id IS NOT NULL THEN n.chapter_path ELSE o.chapter_path END AS chapter_path,
+  CASE WHEN n.chunk_id IS NOT NULL THEN n.content ELSE o.content END AS content FROM o FULL OUTER JOIN n ON o.chunk_id = n.chunk_id""")
+def chunk_upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same into a stored table, of which each merge rewrites the buckets that it touches."""
+    docs, path = table(spark, d, "documents"), scratch(spark)
+    old = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.col("lang").alias("chapter_path"), F.col("text").alias("content"))
+    new = docs.select((F.col("doc_id") + 50).alias("chunk_id"), F.lit("new").alias("source_file"), F.concat(F.lit("new / "), "lang").alias("chapter_path"), F.col("text").alias("content"))
+    for rows in (old, new):
+        versions.upsert(rows, path, old.schema)
+    return versions.read(spark, path, old.schema)
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT count(*) AS total, count(DISTINCT chunk_id) AS distinct_keys, (count(*) = count(DISTINCT chunk_id) AND count(*) > 0) AS passed FROM chunks")
 def chunk_key_uniqueness(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.uniqueness_check(views.chunks(spark, d))
@@ -822,6 +838,20 @@ def quoted_claims(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ streams
 
 
+@query("""WITH e AS (SELECT event_id, event_type, ts::date AS day FROM events), m AS (SELECT max(day) AS top FROM e)
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS events FROM e, m WHERE day >= top - INTERVAL 7 DAY GROUP BY ALL""")
+def expiring_days(spark: SparkSession, d: str) -> DataFrame:
+    """Events stored by day in two batches, the later half first; days that have expired are neither kept nor taken."""
+    events, path = table(spark, d, "events").select("event_id", "event_type", "ts"), scratch(spark)
+    middle = F.lit(events.agg(F.expr("timestamp_micros(cast((unix_micros(cast(min(ts) as timestamp)) + unix_micros(cast(max(ts) as timestamp))) / 2 as bigint))")).first()[0])
+    late = F.col("ts").cast("timestamp") >= middle
+    for k, rows in enumerate((events.where(late), events.where(~late))):
+        versions.append(rows, path, "ts", 7, k)
+    versions.vacuum(spark, path, 1)
+    stored = versions.read(spark, path, events.schema)
+    return stored.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"))
+
+
 @query(f"WITH {AUDIT_SQL} SELECT query_type, strftime(\"timestamp\", '%Y-%m-%d') AS day, count(*) AS events FROM audit WHERE length(query) >= 1 AND total_latency_ms >= 0 GROUP BY ALL")
 def audit_stream_append(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "events")
