@@ -226,6 +226,21 @@ def test_leaks_equal_brute_force(spark):
     assert all(abs(got[k][0] - expected[k][0]) < 1e-12 and got[k][1] == expected[k][1] for k in got)
 
 
+def test_windows_meet_few_items(spark):
+    """Of 1,500 items of one size a window meets only those with which it shares a shingle."""
+    rng = random.Random(31)
+    words = [f"v{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(1500)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(50)) + " " + texts[k] + " tail") for k in range(40)], DOCS)
+    made = decontaminate._items(items, decontaminate.RADIUS).cache()
+    held = decontaminate._anchored(docs, made.select("iid", "n", F.posexplode("item").alias("off", "shingle"))).cache()
+    windows = decontaminate._windows(held).cache()
+    met = decontaminate._met(windows, held, made, decontaminate.RADIUS).count()
+    assert windows.count() >= 40 and 40 <= met < 0.05 * 1500 * windows.count()
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(k, k) for k in range(40)}
+
+
 def test_edited_items_are_found_as_by_all_windows(spark):
     """Scattered, replaced, inserted, dropped and appended words, near the threshold; every window
     of every document against every item."""
