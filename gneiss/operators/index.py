@@ -35,6 +35,8 @@ WEIGHTS = {"A": 1.0, "B": 0.4}
 K1, B = 1.2, 0.75
 BLOCK = 256
 BUCKETS = 64
+#: Chunks whose words are counted at once.
+ROWS = 500
 #: Scores are rounded; a range that comes this near to the bar is opened.
 SLACK = 1e-8
 
@@ -68,12 +70,12 @@ def counted(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
         def lexeme(word: str) -> str | None:
             if word not in known:
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
                 known[word] = None if word in stemming.STOP_WORDS else stemming.stem(word)
             return known[word]
 
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             rows, keys, n = batch.column(0), batch.column(1), batch.num_rows
             fields = []
             terms: dict[str, int] = {}
