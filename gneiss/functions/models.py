@@ -34,6 +34,35 @@ def hash_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
+def embedder_chain(backends: list[Callable[[list[str]], list[list[float]]]], width: int | None = None) -> Callable[[list[str]], list[list[float]]]:
+    """The first of several backends that answers: a server, say, then the same model in the process.
+
+    A backend that fails, or gives vectors of another number or width, is passed by for that batch; if none is
+    left, the last error is raised. All must serve one model, since their vectors end up side by side.
+    """
+
+    def embed(texts):
+        last: Exception = RuntimeError("no backend")
+        for backend in backends:
+            try:
+                vectors = backend(texts)
+            except Exception as e:
+                last = e
+                continue
+            widths = {len(v) for v in vectors}
+            if len(vectors) == len(texts) and len(widths) <= 1 and (width is None or widths <= {width}):
+                return vectors
+            last = ValueError(f"{len(vectors)} vectors of widths {sorted(widths)} for {len(texts)} texts")
+        raise last
+
+    return embed
+
+
+def hub_name(model: str, owner: str = "BAAI") -> str:
+    """A model's name on a hub; without an owner it gets the default one."""
+    return model if "/" in model else f"{owner}/{model}"
+
+
 def with_embedding(df, backend: Callable | None = None, source: str = "content", name: str = "embedding", batch: int = 32):
     """``df`` with vectors of the cleaned text, made in batches that load the model once a task."""
     from pyspark.sql import types as T

@@ -140,6 +140,22 @@ def test_stored_postings_match_the_scan(spark, chunks):
         spark.sql("DROP TABLE gneiss_test_postings")
 
 
+def test_chain_of_embedders(spark):
+    def down(texts):
+        raise ConnectionError("down")
+
+    one, short = models.hash_embedder(4), lambda texts: [[1.0]] * (len(texts) - 1)
+    chain = models.embedder_chain([down, short, models.hash_embedder(8), one], width=4)
+    assert chain(["a", "b"]) == one(["a", "b"]) and chain([]) == []
+    with pytest.raises(ConnectionError):
+        models.embedder_chain([short, down])(["a"])
+    with pytest.raises(ValueError, match="0 vectors"):
+        models.embedder_chain([down, short])(["a"])
+    df = spark.createDataFrame([(1, "x y"), (2, None)], "chunk_id int, content string")
+    assert [list(r.embedding) for r in models.with_embedding(df, chain).orderBy("chunk_id").collect()] == [list(map(float, v)) for v in one(["x y", ""])]
+    assert models.hub_name("bge-m3") == "BAAI/bge-m3" and models.hub_name("a/b") == "a/b"
+
+
 def test_builtin_cases(spark):
     from gneiss.sources.benchmark import builtin_cases
 
