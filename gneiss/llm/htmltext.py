@@ -13,8 +13,9 @@ stands outside of it; only names of readers' comments always weigh. Elements tha
 
 The paths that are left name the content nodes: the articles and mains that hold them, or else the
 element around all containers with a share of the page's ratios. These nodes give the text: all
-their blocks in page order that no name speaks against, with content besides them and the page's
-title where they have none.
+their blocks in page order that no name speaks against, and the page's title where they have none. Content
+besides them counts only where they have less than half of what was chosen. Names are known in English, German,
+French and Spanish; furniture inside of an article under other names, or without one, is told by its ratios alone.
 
 Reading is linear in the page: tags that never end, quotes that never close, elements that stay
 open and nesting of any depth are read in one pass.
@@ -51,9 +52,11 @@ NOISE_WORDS = r"""ad ads adv advertisement adbox adslot adunit advert\w* adsense
 \w*sidebar\w* side aside \w*footer\w* foot \w*header masthead topbar toolbar discussion reviews feedback bio trending popular
 cookie\w* consent gdpr notice\w* notification\w* alert\w* modal\w* popup\w* overlay newsletter\w* subscribe\w* subscription
 signup login search\w* share\w* sharing social\w* related\w* recommend\w* widget\w* tags? pagination pager copyright legal disclaimer
-hidden skip\w* toc complementary contentinfo navigation form"""
+hidden skip\w* toc complementary contentinfo navigation form
+\w*werbung\w* anzeigen? reklame seitenleiste fusszeile kopfzeile teilen empfehlung\w* verwandte\w* publicite\w* pub publi annonces? partager
+pied entete publicidad\w* anuncios? patrocinad\w* compartir relacionad\w* pie"""
 #: The same for what readers write; it may well be longer than the article.
-COMMENT_WORDS = r"comment comments commentlist \w*comments replies reply respond disqus\w*"
+COMMENT_WORDS = r"\w*kommentar\w* commentaires? comentarios? g(?:ae|ä)stebuch guestbook responses? comment comments commentlist \w*comments replies reply respond disqus\w*"
 NOISE = re.compile(r"(?:" + "|".join(NOISE_WORDS.split()) + r")\d*", re.IGNORECASE)
 COMMENT = re.compile(r"(?:" + "|".join(COMMENT_WORDS.split()) + r")\d*", re.IGNORECASE)
 #: Words that, before others in a name, may as well say what an article is about.
@@ -64,6 +67,8 @@ SHAPE = re.compile(r"wrap|wrapper|container|inner|outer|lists?|items?|links?|box
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Names that only say what an element has beside it, or that it heads a piece of text.
 ABOUT = re.compile(r"\b(?:has|with|no|without)[-_]\S+|\b(?:article|entry|post|story|content|section|chapter|title|text|news|blog)[-_]?header\b", re.IGNORECASE)
+#: Share of the chosen text from which on articles are all of it.
+MOST_INSIDE = 0.5
 # Tags as HTML reads them: quotes count after an equals sign only. No part is ever tried twice.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -403,8 +408,12 @@ def main_text(html: str) -> str:
         chosen_here = chosen[index]
     memo: dict[int, bool] = {}
     inside = np.array([0 in roots or _inside(h, roots, memo) for h in holders])
+    # Where articles or mains have most of what was chosen, nothing outside of them belongs to the text; a page
+    # whose text stands outside of a small one keeps both.
+    whole = (total[index] * chars / np.bincount(index, chars)[index])[chosen_here]
+    alone = whole[inside[chosen_here]].sum() >= MOST_INSIDE * whole.sum()
     # A header's headings belong to the text only inside of the article that it heads.
-    wanted = kept & (inside | chosen_here)
+    wanted = kept & inside if alone else kept & (inside | chosen_here)
     # The title where it stands before the text, outside of it.
     titles = [i for i, h in enumerate(holders) if h is not None and h.name == "h1" and kept[i] and plain[i] > 0.5]
     if wanted.any() and titles and not any(wanted[i] for i in titles):

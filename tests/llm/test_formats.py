@@ -389,3 +389,33 @@ def test_license_table(spark):
     out = licenses.with_licenses(df).collect()
     assert [r.licenses for r in out] == [["MIT"], [], []] and out[0].license_spans[0].sentence_id == "mit-named"
     assert licenses.with_licenses(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = ["The first paragraph tells, at some length, what happened; it has commas, and stops.", "A second one follows, with more of the same, long enough to count as text.", "The third ends it all, finally, with a few words more, and a stop."]
+READERS = "".join(f"<p>{x}</p>" for x in ("I liked this a lot, thanks for writing it up, really.", "Well, I did not, and I will say so, at length, because I can.", "Me too, as they say, and more words."))
+
+
+@pytest.mark.parametrize(
+    "within,after",
+    [
+        ("<div class='werbung'><p>Kaufen Sie jetzt, es ist das Beste, und es wird Ihnen gefallen.</p></div>", ""),
+        ("<div class='anzeige'><p>Kaufen Sie jetzt, es ist das Beste, und es wird Ihnen gefallen.</p></div>", ""),
+        ("<div class='publicite'><p>Achetez maintenant, c'est bien, vous allez aimer.</p></div>", ""),
+        ("", f"<div id='kommentare'>{READERS}</div>"),
+        ("", f"<div class='guestbook'>{READERS}</div>"),
+        ("", f"<section class='responses'>{READERS}</section>"),
+        ("", f"<div>{READERS}</div>"),
+        ("", f"<div class='x7q'>{READERS}</div>"),
+        ("", "<div><p>Also read our other piece. Sign up now!</p></div>"),
+    ],
+)
+def test_nothing_outside_of_an_article_and_no_adverts_inside(within, after):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<html><body><nav>Home About</nav><article><h1>Title here</h1>{body}{within}</article>{after}<footer>c</footer></body></html>"
+    assert htmltext.main_text(page) == "\n".join(["Title here", *PARAGRAPHS])
+
+
+def test_a_small_article_beside_the_text_does_not_hide_it():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    found = htmltext.main_text(f"<html><body><article><p>Teaser words.</p></article><div class='c'>{body}</div></body></html>")
+    assert all(p in found for p in PARAGRAPHS)
