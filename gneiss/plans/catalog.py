@@ -822,7 +822,7 @@ _CLAIMS = f"""toks AS (SELECT item_id, {_TOK.format('text')} AS x FROM benchmark
   SELECT doc_id, size, place, array_to_string(t[place:place + size - 1], ' ') AS g FROM ds), met AS (
   SELECT claim_id, doc_id, floor((place - pl) / 8.0)::int AS band, count(*) AS seeds FROM cg JOIN dg USING (size, g) GROUP BY ALL), best AS (
   SELECT claim_id, doc_id, band FROM met QUALIFY row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY seeds DESC, band) = 1), s AS (
-  SELECT claim_id, doc_id, round(len(list_filter(q, lambda w, i: list_contains(t[greatest(1, i + (band - 1) * 8):i + (band - 1) * 8 + 23], w)))::double / len(q), 9) AS support
+  SELECT claim_id, doc_id, round(len(list_filter(q, lambda w, i: list_contains(t[greatest(1, i + (band - 1) * 8):greatest(0, i + (band - 1) * 8 + 23)], w)))::double / len(q), 9) AS support
   FROM best JOIN c USING (claim_id) JOIN d USING (doc_id))
 SELECT claim_id, doc_id, support, support >= 0.8 AS supported FROM s""")
 def quoted_claims(spark: SparkSession, d: str) -> DataFrame:
