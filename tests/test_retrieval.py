@@ -252,3 +252,19 @@ def test_many_short_items_are_found(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(tuple(r) for r in benchmark_containment(spark, str(tmp_path)).collect()) == [(7, 1), (10_049, 1), (20_000, 2)]
+
+
+def _odd_chunks(spark):
+    rows = [(1, "Pumps / a", "pump pumping the valve"), (1, "p", "pump valve valve"), (None, "the", "x9 pump"), (None, None, "pump"), (2, None, None), (3, "", "and the"), (4, "Öl", "öl ÖL " * 600)]
+    return spark.createDataFrame(rows, "chunk_id bigint, chapter_path string, content string")
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """Words aren't shuffled: the one exchange brings postings of a repeated key together."""
+    chunks = _odd_chunks(spark)
+    held = lexical.postings(chunks)
+    assert held._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = [(1, "A", "p", 1), (1, "A", "pump", 1), (1, "B", "pump", 3), (1, "B", "valv", 3), (4, "A", "öl", 1), (4, "B", "öl", 1200), (None, "B", "pump", 2), (None, "B", "x9", 1)]
+    assert sorted(map(tuple, held.collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, lexical.postings(chunks, terms=["pump", "nowher"]).collect()), key=str) == sorted((w for w in want if w[2] == "pump"), key=str)
+    assert ("B", "the", 1) in {tuple(r)[1:] for r in lexical.postings(chunks, english=False).where("chunk_id = 1").collect()}
