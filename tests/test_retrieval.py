@@ -268,3 +268,9 @@ def test_postings_are_counted_in_their_rows(spark):
     assert sorted(map(tuple, held.collect()), key=str) == sorted(want, key=str)
     assert sorted(map(tuple, lexical.postings(chunks, terms=["pump", "nowher"]).collect()), key=str) == sorted((w for w in want if w[2] == "pump"), key=str)
     assert ("B", "the", 1) in {tuple(r)[1:] for r in lexical.postings(chunks, english=False).where("chunk_id = 1").collect()}
+
+
+def test_document_frequencies_count_a_key_once(spark):
+    chunks = _odd_chunks(spark)
+    got = {r["term"]: r["df"] for r in lexical.document_frequencies(chunks).collect()}
+    assert got == {"pumps": 1, "a": 1, "pump": 2, "pumping": 1, "the": 3, "valve": 1, "p": 1, "x9": 1, "and": 1, "öl": 1}
