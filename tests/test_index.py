@@ -104,3 +104,12 @@ def test_reranking_knows_inflected_words(spark):
     assert [r["chunk_id"] for r in got[:4]] == [1, 3, 6, 2] and got[0]["raw_rerank_score"] == 4.0 and got[-1]["raw_rerank_score"] == -4.0
     assert {r["raw_rerank_score"] for r in retrieval.rerank(hits, "the and of", 6).collect()} == {-4.0}
     assert models.grams("ab") == {"<ab", "ab>"} and models.grams("a") == {"<a>"}
+
+
+def test_nothing_is_shuffled_to_build(spark, chunks, stored):
+    """A posting is written once, where its chunk is; keys and lengths are kept once for each range."""
+    assert "Exchange" not in index._blocks(chunks, "chunk_id", 16)._jdf.queryExecution().executedPlan().toString()
+    ranges = stored.ranges(spark).collect()
+    assert max(len(r["rows"]) for r in ranges) <= 16 and len({x for r in ranges for x in r["rows"]}) == chunks.count()
+    held = {(r["range"], s) for r in stored.blocks(spark).collect() for s in r["slots"]}
+    assert held == {(r["range"], i) for r in ranges for i, n in enumerate(r["lengths"]) if n}
