@@ -111,5 +111,5 @@ def test_nothing_is_shuffled_to_build(spark, chunks, stored):
     assert "Exchange" not in index._blocks(chunks, "chunk_id", 16)._jdf.queryExecution().executedPlan().toString()
     ranges = stored.ranges(spark).collect()
     assert max(len(r["rows"]) for r in ranges) <= 16 and len({x for r in ranges for x in r["rows"]}) == chunks.count()
-    held = {(r["range"], s) for r in stored.blocks(spark).collect() for s in r["slots"]}
+    held = {(r["range"], s) for r in stored.blocks(spark).collect() for s in r["packed"][::2]}
     assert held == {(r["range"], i) for r in ranges for i, n in enumerate(r["lengths"]) if n}
