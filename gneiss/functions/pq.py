@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.functions.frames import broadcast_if_small, scratch
-from gneiss.functions.vectors import PLACES, cosine
+from gneiss.functions.vectors import PLACES, cosine, in_turn
 
 CODES = 256
 #: Lists of 64 that a query looks into.
@@ -118,11 +118,13 @@ def survivors(stored: DataFrame, quantizer: Quantizer, queries: dict, keep: int,
             lists = batch.column(2).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, parts)
             for n in np.unique(lists).tolist():
-                at, who = np.flatnonzero(lists == n), asks[n]
-                score = sum(tables[who, p][:, codes[at, p]] for p in range(parts))
-                least = np.partition(score, -keep, axis=1)[:, -keep] if len(at) > keep else np.full(len(who), -np.inf)
-                q, r = np.nonzero(score >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(number[who[q]]), batch.column(0).take(pa.array(at[r])), pa.array(np.full(len(r), n, np.int32)), pa.array(score[q, r])], ["query_id", key, "list", "approximate"])
+                at = np.flatnonzero(lists == n)
+                for part in in_turn(len(asks[n]), len(at)):
+                    who = asks[n][part]
+                    score = sum(tables[who, p][:, codes[at, p]] for p in range(parts))
+                    least = np.partition(score, -keep, axis=1)[:, -keep] if len(at) > keep else np.full(len(who), -np.inf)
+                    q, r = np.nonzero(score >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[who[q]]), batch.column(0).take(pa.array(at[r])), pa.array(np.full(len(r), n, np.int32)), pa.array(score[q, r])], ["query_id", key, "list", "approximate"])
 
     kind = stored.schema[key].dataType.simpleString()
     found = stored.where(F.col("list").isin(sorted(asks))).select(key, "code", "list").mapInArrow(run, f"query_id bigint, `{key}` {kind}, list int, approximate double")

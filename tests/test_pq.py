@@ -75,3 +75,12 @@ def test_odd_tables(spark, plain):
     few = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0])], "k string, v array<double>").select("*", F.lit(1).alias("list"))
     small = pq.fit(few, key="k", vector="v")
     assert [r["k"] for r in pq.nearest(pq.store(few, small, key="k", vector="v"), small, {1: [1.0, 0.1, 0.0]}, 1, 2, key="k", vector="v").collect()] == ["a"]
+
+
+def test_a_task_holds_few_scores_at_once():
+    from gneiss.functions.vectors import CELLS, in_turn
+
+    for queries, rows in ((1000, 10_000), (1000, 7), (3, 5_000_000), (0, 9), (1, 0)):
+        parts = in_turn(queries, rows)
+        assert [q for p in parts for q in range(queries)[p]] == list(range(queries))
+        assert all(len(range(queries)[p]) * rows <= max(CELLS, rows) for p in parts)
