@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -28,6 +29,8 @@ from gneiss.functions.vectors import cosine
 LEVELS = 6
 #: Lines, sections and chunks in a range, about.
 LINE_RANGE, SECTION_RANGE, CHUNK_RANGE = 8192, 512, 2048
+#: Texts whose recursive pieces are held at once.
+TEXTS = 256
 HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*$"
 SENTENCE = re.compile(text.SENTENCE_END)
 # What a table is, and the separators of recursive splitting in order.
@@ -156,12 +159,19 @@ def split_recursive(value: str, size: int = 900, overlap: int = 150, separators:
     return out
 
 
+def pieces_in_turn(batches: Iterator[pd.Series], size: int, overlap: int) -> Iterator[pd.Series]:
+    """Recursive pieces of each text, given out for ``TEXTS`` texts at a time."""
+    for values in batches:
+        for lo in range(0, len(values), TEXTS):
+            yield values.iloc[lo : lo + TEXTS].map(lambda v: split_recursive(v or "", size, overlap))
+
+
 def recursive_chunks(size: int = 900, overlap: int = 150):
     """Array of recursive pieces as a vectorised function."""
 
     @F.pandas_udf("array<string>")
-    def split(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: split_recursive(v or "", size, overlap))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return pieces_in_turn(batches, size, overlap)
 
     return split
 

@@ -159,3 +159,12 @@ def test_a_batch_that_runs_again(spark, tmp_path):
 def test_empty_stores(spark, tmp_path):
     assert streams.stored_chunks(spark, str(tmp_path / "none")).count() == 0 and "embedding" in streams.stored_chunks(spark, str(tmp_path / "none")).columns
     assert streams.stored_sessions(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_recursive_pieces_are_given_out_in_turn():
+    import pandas as pd
+
+    texts = pd.Series([f"text {i}. " * (i % 300) for i in range(1000)] + [None, ""])
+    parts = list(ingest.pieces_in_turn(iter([texts, texts[:0], texts[:3]]), 900, 150))
+    assert max(map(len, parts)) == ingest.TEXTS and sum(map(len, parts)) == 1005
+    assert [x for p in parts for x in p] == [ingest.split_recursive(t or "", 900, 150) for t in [*texts, *texts[:3]]]
