@@ -16,7 +16,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from gneiss.config import Chunking
 from gneiss.functions import models, text
 from gneiss.functions.frames import scratch
-from gneiss.functions.vectors import cosine
+from gneiss.functions.vectors import PLACES, neighbour_cosines
 
 LEVELS = 6
 #: Lines, sections and chunks in a range, about.
@@ -176,20 +178,46 @@ def recursive_chunks(size: int = 900, overlap: int = 150):
     return split
 
 
+def breaks(values: list[str], embed, percentile: float, batch: int) -> list[int]:
+    """Where chunks of sentences start: at the first, and after each gap that is wider than the percentile."""
+    if not values:
+        return []
+    gaps = np.empty(len(values) - 1)
+    last = None
+    for lo in range(0, len(values), batch):
+        vectors = np.asarray(embed(values[lo : lo + batch]), float)
+        held = vectors if last is None else np.vstack([last, vectors])
+        gaps[max(0, lo - 1) : lo + len(vectors) - 1] = np.round(1 - neighbour_cosines(held), PLACES)
+        last = vectors[-1:]
+    if not len(gaps):
+        return [0]
+    ordered, place = np.sort(gaps), (len(gaps) - 1) * percentile
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    bar = ordered[low] if ordered[low] == ordered[high] else (high - place) * ordered[low] + (place - low) * ordered[high]
+    return [0, *(np.flatnonzero(gaps > bar) + 1).tolist()]
+
+
 def semantic_chunks(rows: DataFrame, settings: Chunking | None = None, backend=None, key: str = "piece_id") -> DataFrame:
     """(key, chunk, text): sentences cut where neighbours are further apart than the percentile.
 
-    ``rows`` has the key and ``text``. Distances are cosine distances of the backend's vectors.
+    ``rows`` has the key and ``text``; a row is cut by itself, whatever other rows have its key. Distances are
+    cosine distances of the backend's vectors, which stay in the task: only the places of cuts come back, and nothing
+    is shuffled.
     """
     settings = settings or Chunking()
-    parted = rows.select(key, F.posexplode(text.sentences(F.col("text"))).alias("at", "content"))
-    vectors = models.with_embedding(parted, backend)
-    order = Window.partitionBy(key).orderBy("at")
-    apart = vectors.withColumn("before", F.lag("embedding").over(order)).withColumn("gap", F.round(1 - F.coalesce(cosine(F.col("embedding"), F.col("before")), F.when(F.col("before").isNotNull(), 0.0)), 9))
-    bar = F.percentile("gap", settings.cut_percentile).over(Window.partitionBy(key))
-    cut = apart.withColumn("cut", F.coalesce((F.col("gap") > bar).cast("int"), F.lit(0)))
-    grouped = cut.withColumn("chunk", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("s")).select(key, "chunk", F.array_join(F.transform("s", lambda x: x["content"]), " ").alias("text"))
+    embed = backend or models.hash_embedder()
+    percentile, batch = settings.cut_percentile, settings.batch
+
+    def starts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for lo in range(0, len(values), TEXTS):
+                yield pa.array([breaks(v or [], embed, percentile, batch) for v in values.slice(lo, TEXTS).to_pylist()], pa.list_(pa.int32()))
+
+    parted = rows.select(key, text.sentences(F.col("text")).alias("s"))
+    cut = parted.withColumn("starts", F.arrow_udf(starts, "array<int>")(F.transform("s", lambda x: text.clean_for_embedding(x))))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("s")))
+    texts = F.transform(F.arrays_zip("starts", ends.alias("ends")), lambda x: F.array_join(F.slice("s", x["starts"] + 1, x["ends"] - x["starts"]), " "))
+    return cut.where(F.size("s") > 0).select(key, F.posexplode(texts).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
 def trimmed(texts: Column, target: int) -> Column:

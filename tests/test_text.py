@@ -96,6 +96,42 @@ def test_semantic_chunks_hold_all_sentences(spark):
     assert {r.piece_id for r in out} == {"k"}
 
 
+def test_semantic_cuts_stay_in_their_rows(spark):
+    """Cuts are those of a plain pass over the default vectors; nothing is shuffled, and a row is cut by itself."""
+    import math
+
+    from gneiss.functions.models import hash_embedder
+
+    values = [" ".join(f"w{i * i % 7} w{i % n} is here." for i in range(n)) for n in (1, 2, 40, 75)] + ["!!! ??? a. ... b. b.", "same. same.", "", None]
+    keys = [0, 1, 2, 3, 4, 5, 6, 7]
+    rows = spark.createDataFrame(list(zip(keys, values, strict=True)) + [(2, values[2])], "piece_id int, text string")
+    made = ingest.semantic_chunks(rows)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.schema.simpleString() == "struct<piece_id:int,chunk:bigint,text:string>"
+    got = sorted(map(tuple, made.collect()))
+    expected = []
+    for key, value in [*zip(keys, values, strict=True), (2, values[2])]:
+        parts = [s for s in map(str.strip, ingest.SENTENCE.split(value or "")) if s]
+        vectors = hash_embedder()(parts)
+        gaps = []
+        for a, b in zip(vectors, vectors[1:]):
+            size = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+            gaps.append(round(1 - (sum(x * y for x, y in zip(a, b)) / size if size else 0), 9))
+        chunks = [[p] for p in parts[:1]]
+        if gaps:
+            place = (len(gaps) - 1) * 0.85
+            low = sorted(gaps)[math.floor(place)]
+            bar = low + (place - math.floor(place)) * (sorted(gaps)[math.ceil(place)] - low)
+            for p, gap in zip(parts[1:], gaps):
+                if gap > bar + 1e-12:
+                    chunks.append([p])
+                else:
+                    chunks[-1].append(p)
+        expected += [(key, n, " ".join(c)) for n, c in enumerate(chunks)]
+    assert got == sorted(expected)
+    assert len([r for r in got if r[0] == 3]) > 3
+
+
 def test_clean_for_embedding(spark):
     assert one(spark, text.clean_for_embedding, "<td style='a'>x</td><td  style=\"b\">y</td>") == "<td>x</td><td>y</td>"
     assert len(one(spark, text.clean_for_embedding, "x" * 5000)) == 3500
