@@ -45,7 +45,7 @@ def in_order(files: DataFrame) -> DataFrame:
 
     Only names are numbered in one place, texts stay where they are.
     """
-    named = files.where("manual is not null").where(text.stripped(F.coalesce("text", F.lit(""))) != "").select("manual", "source_file", "text", F.xxhash64("text").alias("hash"))
+    named = files.where("manual is not null").where(F.rlike("text", F.lit(r"\S"))).select("manual", "source_file", "text", F.xxhash64("text").alias("hash"))
     keys = ["manual", "source_file", "hash"]
     names = named.groupBy(*keys).agg(F.count("*").alias("n"))
     before = Window.partitionBy("manual").orderBy(text.natural_key(F.col("source_file")), "source_file", "hash").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,11 +56,12 @@ def in_order(files: DataFrame) -> DataFrame:
 
 
 def _marked(ordered: DataFrame, line_range: int | None) -> DataFrame:
-    """Lines with the level and title of headings, and the range of its file that each is in."""
+    """Lines with the level and title of headings, the range of its file that each is in, and whether it is the first there."""
+    size = line_range or LINE_RANGE
     lines = ordered.select("manual", "source_file", "file_ord", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line", "value"))
     level = F.length(F.regexp_extract("value", HEADING, 1))
-    title = F.regexp_extract("value", HEADING, 2)
-    return lines.withColumns({"level": F.when(F.col("value").rlike(HEADING) & (title != ""), level).otherwise(0), "title": title, "range": F.floor(F.col("line") / (line_range or LINE_RANGE))})
+    title = F.when(F.startswith("value", F.lit("#")), F.regexp_extract("value", HEADING, 2)).otherwise("")
+    return lines.withColumns({"level": F.when(title != "", level).otherwise(0), "title": title, "range": F.floor(F.col("line") / size), "starts": F.col("line") % size == 0})
 
 
 def _head(k: int) -> Column:
@@ -70,8 +71,9 @@ def _head(k: int) -> Column:
 
 def _heads_before(marked: DataFrame, initial: DataFrame | None) -> DataFrame:
     """(manual, file_ord, range, before, own, sections): headings that stand before each range, what it sets
-    itself, and how many sections its file has had."""
-    sums = marked.groupBy("manual", "file_ord", "range").agg(
+    itself, and how many sections its file has had. Of other lines than headings only the first of a range is looked at."""
+    few = marked.where((F.col("level") > 0) | F.col("starts")).select("manual", "file_ord", "range", "line", "level", "title")
+    sums = few.groupBy("manual", "file_ord", "range").agg(
         F.array(*[F.max_by(_head(k), F.when(_head(k).isNotNull(), F.col("line"))) for k in range(1, LEVELS + 1)]).alias("own"), F.count_if(F.col("level") > 0).alias("n")
     )
     so_far = Window.partitionBy("manual").orderBy("file_ord", "range").rowsBetween(Window.unboundedPreceding, -1)
@@ -234,12 +236,15 @@ def tails(chunks: DataFrame, by: str, target: int) -> DataFrame:
     """(manual, by, tail): of each range the last text chunks, as many as an overlap can reach into.
 
     An overlap is made of whole sentences at the end that have ``target`` characters, whatever stands before
-    them; a chunk boundary ends a sentence. So what comes after depends on no more than this.
+    them; a chunk boundary ends a sentence. So what comes after depends on no more than this. Each text chunk has a
+    character at least, so the sentences of the last ``target`` ones alone are counted.
     """
+    last = Window.partitionBy("manual", by).orderBy(F.desc("ord"))
+    near = chunks.where("chunk_type <> 'table'").withColumn("back", F.row_number().over(last)).where(F.col("back") <= target)
     chars = F.aggregate(text.sentences(F.col("text")), F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
-    texts = chunks.where("chunk_type <> 'table'").select("manual", by, F.col("ord").cast("bigint").alias("ord"), "first", "text", chars.alias("chars"))
-    back = Window.partitionBy("manual", by).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    last = texts.withColumn("after", F.coalesce(F.sum("chars").over(back), F.lit(0))).where(F.col("after") < target)
+    texts = near.select("manual", by, F.col("ord").cast("bigint").alias("ord"), "first", "text", chars.alias("chars"))
+    after = Window.partitionBy("manual", by).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    last = texts.withColumn("after", F.coalesce(F.sum("chars").over(after), F.lit(0))).where(F.col("after") < target)
     return last.groupBy("manual", by).agg(F.array_sort(F.collect_list(F.struct("ord", "first", "text", "chars"))).alias("tail"))
 
 
@@ -292,7 +297,10 @@ def with_prefixes(chunks: DataFrame, target: int = 250, initial: DataFrame | Non
 def prefix_of(previous: str, target: int) -> str:
     """The same prefix as the expression ``overlap_prefix``, for the ordered pass: the fewest last
     sentences that together have ``target`` characters."""
-    parts = [s for s in map(str.strip, SENTENCE.split(previous)) if s]
+    # Of a long text its end is enough, if the sentences behind the one that is cut there have as many characters.
+    parts = [s for s in map(str.strip, SENTENCE.split(previous[-2 * target :])[1:]) if s] if len(previous) > 2 * target else []
+    if sum(map(len, parts)) < target or target <= 0:
+        parts = [s for s in map(str.strip, SENTENCE.split(previous)) if s]
     upto = list(accumulate(map(len, reversed(parts)), initial=0))
     joined = " ".join(parts[max(0, len(parts) - bisect_left(upto, target)) :])
     return joined if not joined or joined.endswith(tuple("。！？.!?")) else f"{joined}。"

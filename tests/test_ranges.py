@@ -168,3 +168,23 @@ def test_recursive_pieces_are_given_out_in_turn():
     parts = list(ingest.pieces_in_turn(iter([texts, texts[:0], texts[:3]]), 900, 150))
     assert max(map(len, parts)) == ingest.TEXTS and sum(map(len, parts)) == 1005
     assert [x for p in parts for x in p] == [ingest.split_recursive(t or "", 900, 150) for t in [*texts, *texts[:3]]]
+
+
+def test_tails_split_only_what_an_overlap_can_reach(spark):
+    """Sentences are counted in the last chunks of a range alone, and only headings and starts of ranges are summed up."""
+    chunks = spark.range(1, 3001).selectExpr("'m' AS manual", "id AS ord", "if(id % 3 = 0, 'table', 'text') AS chunk_type", "true AS first", "concat('Is ', id, '. No.') AS text", "(id - 1) div 2048 AS range")
+    got = {r.range: [x.ord for x in r.tail] for r in ingest.tails(chunks, "range", 20).collect()}
+    assert got == {0: [2047, 2048], 1: [2998, 2999]}
+    plan = ingest.tails(chunks, "range", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_prefix_of_long_texts_reads_their_end():
+    for value in ["a. " * 400 + "b" * 300 + ".", "x" * 2000, "One. " + "y" * 900, "甲。" * 700, "a.\n \n b.  c\n" * 200 + " end", " . " * 500]:
+        for target in (1, 40, 250, 251):
+            parts, kept, n = [s for s in map(str.strip, ingest.SENTENCE.split(value)) if s], [], 0
+            while parts and n < target:
+                kept.insert(0, parts.pop())
+                n += len(kept[0])
+            joined = " ".join(kept)
+            assert ingest.prefix_of(value, target) == (joined if joined.endswith(tuple("。！？.!?")) else joined + "。")
