@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a repeated ingest overwrites; everything else keeps its first value.
 MUTABLE = ("chapter_path", "content", "embedding")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", mutable=MUTABLE) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", mutable=MUTABLE, by: str | None = None) -> DataFrame:
     """The snapshot after an ingest: rows of both, new values only in the mutable columns.
 
     Where the new rows repeat a key, the last by ``chunk_index`` or content wins. Rows that the new
-    ingest lacks stay.
+    ingest lacks stay. Null keys meet nothing.
+
+    Each row is shuffled once: by the key, or by ``by``, a column of both that follows from the key. The result is dealt
+    by it then, and has it.
     """
-    fresh = new.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in new.columns]), F.struct(*[F.col(c) for c in ("chunk_index", "content") if c in new.columns])).alias("row")).select("row.*")
-    both = old.alias("o").join(fresh.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    theirs, ours = ([c for c in df.columns if c != by] for df in (new, old))
+    old_type, new_type = (df.select(*own).schema for df, own in ((old, ours), (new, theirs)))
+    dealt = [by] if by else []
+    o = old.select(*dealt, F.col(key).alias("__key"), F.lit(0).alias("__new"), F.struct(*ours).alias("o"), F.lit(None).cast(new_type).alias("n"))
+    n = new.select(*dealt, F.col(key).alias("__key"), F.lit(1).alias("__new"), F.lit(None).cast(old_type).alias("o"), F.struct(*theirs).alias("n"))
+    both = o.unionAll(n).withColumn("__apart", F.when(F.col("__key").isNull(), F.col("__new")))
+    own = Window.partitionBy(*dealt, "__key", "__apart").orderBy(F.desc("__new"), F.desc(F.struct(*[F.col(f"n.{c}") for c in ("chunk_index", "content") if c in theirs])))
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = both.repartition(*dealt or ["__key"]).withColumns({"place": F.row_number().over(own), "olds": F.count("o").over(every), "n": F.first("n").over(every)})
+    met = placed.where(F.col("o").isNotNull() | (F.col("olds") == 0) & (F.col("place") == 1))
     picked = []
-    for c in old.columns:
+    for c in ours:
         first, second = (f"n.{c}", f"o.{c}") if c in mutable else (f"o.{c}", f"n.{c}")
-        if c not in new.columns:
+        if c not in theirs:
             picked.append(F.col(f"o.{c}"))
         elif c in mutable:
             picked.append(F.when(F.col(f"n.{key}").isNotNull(), F.col(first)).otherwise(F.col(second)).alias(c))
         else:
             picked.append(F.coalesce(first, second).alias(c))
-    return both.select(*picked)
+    return met.select(*dealt, *picked)
 
 
 def write_snapshot(merged: DataFrame, path: str, files: int = 64, key: str = "chunk_id") -> None:

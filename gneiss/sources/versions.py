@@ -83,15 +83,15 @@ def _write(rows: DataFrame, path: str, part: Column, deal: list) -> dict[str, st
 def upsert(new: DataFrame, path: str, schema, key: str = "chunk_id", buckets: int = BUCKETS, mutable=merge.MUTABLE) -> dict:
     """Merge ``new`` into the table by key (``merge.upsert``), and give the new version.
 
-    Only buckets that a new key falls into are read and written.
+    Only buckets that a new key falls into are read and written. Rows are shuffled once, by bucket.
     """
     spark = new.sparkSession
     before = version(spark, path)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")
     touched = [r[0] for r in new.select(bucket).distinct().collect()]  # at most `buckets`
     old = read(spark, path, schema, before, touched)
-    merged = merge.upsert(old, new, key, mutable)
-    written = _write(merged, path, bucket, ["__part"])
+    merged = merge.upsert(old.withColumn("__part", bucket), new.withColumn("__part", bucket), key, mutable, "__part")
+    written = _write(merged, path, F.col("__part"), [])
     parts = before["parts"] | {k: [v] for k, v in written.items()}
     return commit(spark, path, {"number": before["number"] + 1, "parts": parts})
 

@@ -84,3 +84,19 @@ def test_days_expire_and_readers_see_one_state(spark, tmp_path):
     assert [g.split("__part=")[1] for g in gone] == ["2024-03-12"] and not list(Path(path).rglob("*__part=2024-03-12"))
     assert sorted(versions.version(spark, path)["parts"]) == ["2024-03-21", "2024-03-23", "2024-03-24"]
     assert versions.read(spark, path, EVENTS).agg(F.min("timestamp")).first()[0] >= dt.datetime(2024, 3, 14)
+
+
+def test_merge_shuffles_each_row_once(spark):
+    """Repeated and null keys are merged as before, and neither a join nor a second exchange is planned."""
+    schema = "chunk_id bigint, source_file string, chapter_path string, content string"
+    old = spark.createDataFrame([(1, "a", "p", "x"), (2, None, "p", "y"), (None, "z", "p", "null")], schema)
+    new = spark.createDataFrame([(2, "b", "q", "u"), (2, "c", "r", "v"), (3, "d", "q", None), (None, "e", "q", "w")], schema)
+    made = merge.upsert(old, new)
+    expected = [(1, "a", "p", "x"), (2, "c", "r", "v"), (3, "d", "q", None), (None, "z", "p", "null"), (None, "e", None, None)]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(expected, key=str)
+    dealt = merge.upsert(*(df.withColumn("part", F.col("chunk_id") % 2) for df in (old, new)), by="part")
+    assert sorted(map(tuple, dealt.drop("part").collect()), key=str) == sorted(expected, key=str)
+    for df in (made, dealt):
+        plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
