@@ -205,3 +205,23 @@ def test_report_files(spark, tmp_path):
     evaluation.write_report(s, d, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/summary")).schema["k"].dataType.simpleString() == "string"
     assert spark.read.json(str(tmp_path / "r/details")).columns == ["case_id"]
+
+
+def test_report_searches_texts_once(spark, tmp_path, monkeypatch):
+    """What the report, its details and the count before a broadcast share is worked out once: documents' windows are made in one stored pass."""
+    from gneiss.functions import frames
+    from gneiss.plans import catalog
+
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return frames.stored(df)
+
+    monkeypatch.setattr(catalog, "stored", kept)
+    docs = spark.createDataFrame([(1, "s", "one two three four five six"), (2, "s", "nothing of it")], "doc_id bigint, source string, text string")
+    items = spark.createDataFrame([(7, "two three four"), (8, "of")], "item_id bigint, text string")
+    monkeypatch.setattr(catalog, "table", lambda spark, d, name: {"documents": docs, "benchmark": items}[name])
+    found = catalog.contained(spark, "")
+    assert sorted(map(tuple, found.collect())) == [(7, 1, "s", 5, 14), (8, 2, "s", 9, 2)]
+    assert len(plans) == 1 and "xxhash64" in plans[0] and "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()
