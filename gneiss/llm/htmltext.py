@@ -14,7 +14,7 @@ stands outside of it; only names of readers' comments always weigh. Elements tha
 The paths that are left name the content nodes: the articles and mains that hold them, or else the
 element around all containers with a share of the page's ratios. These nodes give the text: all
 their blocks in page order that no name speaks against, and the page's title where they have none. Content
-besides them counts only where they have less than half of what was chosen. Names are known in English, German,
+besides them counts only where they have less than half of what was chosen, or if by its name it leads into them. Names are known in English, German,
 French and Spanish; furniture inside of an article under other names, or without one, is told by its ratios alone.
 
 Reading is linear in the page: tags that never end, quotes that never close, elements that stay
@@ -59,6 +59,8 @@ pied entete publicidad\w* anuncios? patrocinad\w* compartir relacionad\w* pie"""
 COMMENT_WORDS = r"\w*kommentar\w* commentaires? comentarios? g(?:ae|ä)stebuch guestbook responses? comment comments commentlist \w*comments replies reply respond disqus\w*"
 NOISE = re.compile(r"(?:" + "|".join(NOISE_WORDS.split()) + r")\d*", re.IGNORECASE)
 COMMENT = re.compile(r"(?:" + "|".join(COMMENT_WORDS.split()) + r")\d*", re.IGNORECASE)
+#: Words for what leads into an article, as the last of a name.
+LEAD = re.compile(r"lead|lede|intro|standfirst|dek|vorspann|chapeau|chapo|entradilla", re.IGNORECASE)
 #: Words that, before others in a name, may as well say what an article is about.
 TOPIC = re.compile(r"tags?|social\w*|side|foot|legal|form", re.IGNORECASE)
 #: Last words of a name that don't say what an element is for.
@@ -67,7 +69,7 @@ SHAPE = re.compile(r"wrap|wrapper|container|inner|outer|lists?|items?|links?|box
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Names that only say what an element has beside it, or that it heads a piece of text.
 ABOUT = re.compile(r"\b(?:has|with|no|without)[-_]\S+|\b(?:article|entry|post|story|content|section|chapter|title|text|news|blog)[-_]?header\b", re.IGNORECASE)
-#: Share of the chosen text from which on articles are all of it.
+#: Share of the chosen text from which on articles are all of it, but for a lead before them.
 MOST_INSIDE = 0.5
 # Tags as HTML reads them: quotes count after an equals sign only. No part is ever tried twice.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
@@ -91,9 +93,9 @@ RAW_END = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in RAW}
 class Node:
     """An open element. What its blocks need to know of its ancestors is handed down."""
 
-    __slots__ = ("comment", "content", "dropped", "holder", "label", "name", "named", "near", "parent", "part", "place", "serial")
+    __slots__ = ("comment", "content", "dropped", "holder", "label", "lead", "name", "named", "near", "parent", "part", "place", "serial")
 
-    def __init__(self, name, parent, serial, place, label, never, kind):
+    def __init__(self, name, parent, serial, place, label, never, kind, lead):
         self.name, self.parent, self.serial, self.place, self.label = name, parent, serial, place, label
         #: The nearest element with content of its own: article or main.
         self.content = self if name in ("article", "main") else parent and parent.content
@@ -102,6 +104,8 @@ class Node:
         #: The nearest element that a name speaks against, and whether one of them holds comments.
         self.named = self if kind else parent and parent.named
         self.comment = kind == 2 or bool(parent and parent.comment)
+        #: Whether a name says that it leads into an article.
+        self.lead = lead or bool(parent and parent.lead)
         #: The nearest element that isn't inside a line, and the nearest list entry of each kind.
         self.holder = parent.holder if name in INLINE and parent else self
         self.near = parent.near if parent else {}
@@ -125,33 +129,36 @@ class Block:
         self.node, self.text, self.linked = node, [], 0
 
 
-def _kind(value: str) -> int:
-    """2 if a name among those of an attribute starts or ends with a word for comments, 1 for other noise."""
-    found = 0
+def _kind(value: str) -> tuple[int, bool]:
+    """2 if a name among those of an attribute starts or ends with a word for comments, 1 for other noise; whether
+    one ends with a word for what leads into an article."""
+    found, lead = 0, False
     for name in ABOUT.sub("", value).split():
         words = [w for w in re.split(r"[_-]+", CAMEL.sub("-", name)) if w]
         while len(words) > 1 and SHAPE.fullmatch(words[-1]):
             words.pop()
         if words and (COMMENT.fullmatch(words[-1]) or COMMENT.fullmatch(words[0])):
-            return 2
+            return 2, False
+        lead = lead or bool(words and LEAD.fullmatch(words[-1]))
         if words and (NOISE.fullmatch(words[-1]) or NOISE.fullmatch(words[0]) and not TOPIC.fullmatch(words[0])):
             found = 1
-    return found
+    return found, lead
 
 
-def _noise(name: str, attributes: str) -> tuple[bool, int]:
+def _noise(name: str, attributes: str) -> tuple[bool, int, bool]:
     """Whether an element is never text, and what its names say: see ``_kind``."""
     if name in DROPPED:
-        return True, 0
-    kind = 0
+        return True, 0, False
+    kind, lead = 0, False
     if attributes and name not in ("html", "body"):
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN_STYLE.search(value):
-                return True, 0
+                return True, 0, False
             if key in ("class", "id", "role") and name not in ("article", "main"):
-                kind = max(kind, _kind(value))
-    return False, kind
+                said, leads = _kind(value)
+                kind, lead = max(kind, said), lead or leads
+    return False, kind, lead
 
 
 class _Stack:
@@ -414,6 +421,10 @@ def main_text(html: str) -> str:
     alone = whole[inside[chosen_here]].sum() >= MOST_INSIDE * whole.sum()
     # A header's headings belong to the text only inside of the article that it heads.
     wanted = kept & inside if alone else kept & (inside | chosen_here)
+    # What by its name leads into the articles stands before them; it is text as what was chosen is.
+    if alone and wanted.any():
+        first = int(np.flatnonzero(wanted)[0])
+        wanted[[i for i in range(first) if kept[i] and chosen_here[i] and holders[i] is not None and holders[i].lead]] = True
     # The title where it stands before the text, outside of it.
     titles = [i for i, h in enumerate(holders) if h is not None and h.name == "h1" and kept[i] and plain[i] > 0.5]
     if wanted.any() and titles and not any(wanted[i] for i in titles):

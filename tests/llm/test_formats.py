@@ -415,6 +415,16 @@ def test_nothing_outside_of_an_article_and_no_adverts_inside(within, after):
     assert htmltext.main_text(page) == "\n".join(["Title here", *PARAGRAPHS])
 
 
+@pytest.mark.parametrize("name,kept", [("lead", True), ("article-intro", True), ("vorspann", True), ("x7q", False), ("lead-form", False), ("intro comments", False)])
+def test_a_named_lead_before_an_article_belongs_to_it(name, kept):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    lead = "What it is about, in a line, before it begins."
+    for at in ("before", "after"):
+        block = f"<div class='{name}'><p>{lead}</p></div>"
+        page = f"<html><body>{block * (at == 'before')}<article>{body}</article>{block * (at == 'after')}</body></html>"
+        assert htmltext.main_text(page) == "\n".join([lead] * (kept and at == "before") + PARAGRAPHS)
+
+
 def test_a_small_article_beside_the_text_does_not_hide_it():
     body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
     found = htmltext.main_text(f"<html><body><article><p>Teaser words.</p></article><div class='c'>{body}</div></body></html>")
