@@ -101,5 +101,81 @@ def test_no_rows(spark):
     assert expiring.in_batches(spark, none).count() == 0
 
 
+BASE = datetime(2024, 1, 1)
+
+
+def few(hours):
+    return [(click, BASE + timedelta(hours=h), BASE + timedelta(hours=h), 1, "k", 1.0, "p") for click, h in hours]
+
+
+def test_busy_clicks_are_counted_together(spark, monkeypatch):
+    seen, combined = [], expiring.combined
+    monkeypatch.setattr(expiring, "combined", lambda rows: seen.append(1) or combined(rows))
+    clicks = few([(i % 40 if i % 3 else 3, i * 7 % 400) for i in range(300)])
+    df = spark.createDataFrame(clicks, SCHEMA)
+    for busy_rows, calls in ((200, 0), (50, 3)):
+        seen.clear()
+        assert sorted(tuple(r) for r in expiring.in_batches(spark, df, 3, busy_rows).collect()) == brute(clicks, 3)
+        assert len(seen) == calls
+
+
+def test_one_micro_batch_for_each_start(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(expiring, "scratch", lambda spark: f"file://{tmp_path}")
+    clicks = few([(i, i * 10) for i in range(60)])
+    got = expiring.in_batches(spark, spark.createDataFrame(clicks, SCHEMA), 3)
+    assert sorted(tuple(r) for r in got.collect()) == brute(clicks, 3)
+    assert sorted(p.name for p in (tmp_path / "state" / "commits").glob("[0-9]*")) == ["0", "1", "2"]
+
+
+def test_batches_without_rows(spark):
+    clicks = few([(i, i * 10) for i in range(30)] + [(5, 4000), (31, 4010)])
+    got = expiring.in_batches(spark, spark.createDataFrame(clicks, SCHEMA), 6)
+    assert sorted(tuple(r) for r in got.collect()) == brute(clicks, 6)
+
+
+class Kept:
+    """A handle with a map state and timers, in memory."""
+
+    def __init__(self):
+        self.held, self.timers = {}, []
+
+    def getMapState(self, *names):
+        return self
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, due):
+        self.timers.append(due)
+
+    def deleteTimer(self, due):
+        self.timers.remove(due)
+
+
+def test_state_in_parts(monkeypatch):
+    monkeypatch.setattr(expiring, "PART_WINDOWS", 10)
+    shard, kept = expiring.Shard(1, False, 72), Kept()
+    shard.init(kept)
+    for n, parts in ((35, 4), (10, 1), (21, 3), (0, 0)):
+        numbers = np.arange(5 * n, dtype=np.int64).reshape(5, n)
+        now = expiring.Windows(numbers, np.arange(4 * n, dtype=np.uint64).reshape(n, 4))
+        shard._store(now)
+        assert sorted(kept.held) == [(i,) for i in range(parts)] and len(kept.timers) == bool(n)
+        open_, gone = shard._load(0)
+        assert as_rows(open_) == as_rows(now) and not len(gone)
+
+
 def test_shards_grow_with_rows():
     assert expiring.shards_for(10) == 64 and expiring.shards_for(10**9) == 20_000
